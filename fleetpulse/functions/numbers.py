@@ -53,7 +53,7 @@ def fixed(value: Column, digits: int) -> Column:
     error = (high * scale - product) + (size - high) * scale
     whole = F.floor(product).cast("double")
     rounded = whole + F.when((product - whole - F.lit(0.5)) + error >= 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(value < 0, -rounded / scale).otherwise(rounded / scale)
+    return F.signum(value.cast("double")) * (rounded / scale)
 
 
 def round_half_up(value: Column) -> Column:
@@ -62,29 +62,27 @@ def round_half_up(value: Column) -> Column:
 
 
 def plain_number_text(value: Column) -> Column:
-    """Shortest decimal text of a double: no fraction on whole numbers, exponent form only from 1e21 up or below 1e-6.
+    """Shortest decimal text of a double: no fraction on whole numbers, exponent form only from 1e21 up or below 1e-6."""
+    return place_digits(value.cast("double").cast("string"))
 
-    Spark's cast switches to exponent form outside [1e-3, 1e7), so the digits are re-placed around the point.
+
+def place_digits(text: Column) -> Column:
+    """The same from Spark's own double text, which uses exponent form outside [1e-3, 1e7).
+
+    The digits are re-placed around the point. `text` is used many times: pass a column, not an expression, in hot
+    paths.
     """
-    text = F.abs(value.cast("double")).cast("string")
     exponent = F.coalesce(F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    mantissa = F.regexp_replace(text, "E.*$", "")
-    has_exponent = F.contains(text, F.lit("E"))
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
+    mantissa = F.regexp_extract(text, "^-?([0-9]+(?:[.][0-9]*[1-9])?)", 1)
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
     shift = exponent + 1
-    large = F.when(
-        F.length(digits) <= shift, F.rpad(digits, shift, "0")
-    ).otherwise(F.concat(F.substring(digits, F.lit(1), shift), F.lit("."), F.substring(digits, shift + 1, F.length(digits))))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    scientific = F.concat(
-        F.regexp_replace(mantissa, r"\.0$", ""),
-        F.when(exponent > 0, F.lit("e+")).otherwise(F.lit("e-")),
-        F.abs(exponent).cast("string"),
+    large = F.concat(
+        F.rpad(F.substring(digits, F.lit(1), shift), shift, "0"),
+        F.when(F.length(digits) > shift, F.concat(F.lit("."), F.substring(digits, shift + 1, F.length(digits)))).otherwise(""),
     )
-    placed = (
-        F.when(~has_exponent, F.regexp_replace(text, r"\.0$", ""))
-        .when((exponent >= 21) | (exponent < -6), scientific)
-        .when(exponent > 0, large)
-        .otherwise(small)
-    )
-    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), placed)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    scientific = F.concat(mantissa, F.when(exponent > 0, "e+").otherwise("e-"), F.abs(exponent).cast("string"))
+    placed = F.when((exponent >= 21) | (exponent < -6), scientific).when(exponent > 0, large).otherwise(small)
+    return F.when(
+        F.contains(text, F.lit("E")), F.concat(F.when(text.startswith("-"), "-").otherwise(""), placed)
+    ).otherwise(F.regexp_replace(text, "[.]0$", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.numbers import fixed, mb, plain_number_text, round_half_up
+from fleetpulse.functions.numbers import fixed, mb, round_half_up
 
 MISSING = "-"
 GC_WAIT = "wait…"
@@ -79,12 +79,3 @@ def csv_field(value: Column) -> Column:
     """Field text, quoted only when it holds a quote, newline, semicolon or comma; null is empty."""
     quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(value.isNull(), F.lit("")).when(value.rlike('["\n;,]'), quoted).otherwise(value)
-
-
-def csv_line(columns: list[tuple[Column, str]]) -> Column:
-    """One `;`-separated line from (column, type name) pairs."""
-    fields = [
-        csv_field(plain_number_text(column) if kind == "double" else column.cast("string"))
-        for column, kind in columns
-    ]
-    return F.concat_ws(";", *fields)

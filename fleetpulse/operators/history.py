@@ -90,7 +90,7 @@ def to_history(rows: DataFrame) -> DataFrame:
         col("metric_source").alias("metricSource"),
         col("poll_seq").alias("pollSeq"),
         ingest_number(col("poll_seq"), col("executor_id")).alias("ingestSeq"),
-        time_ms(iso).alias("timeMs"),
+        col("wall_ms").alias("timeMs"),
     )
 
 

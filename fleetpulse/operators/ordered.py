@@ -78,7 +78,8 @@ def ordered_scan(
 
 
 def segment_of(order: Column, width: int) -> Column:
-    return F.floor(order / F.lit(width))
+    """Integer division, which stays exact for numbers that a double cannot hold."""
+    return F.call_function("div", order.cast("bigint"), F.lit(width).cast("bigint"))
 
 
 def _in(alias: str) -> str:

@@ -31,21 +31,20 @@ _BANDS = [("heap", "H"), ("overhead", "O"), ("off_heap", "F")]
 def series_points(samples: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Chart values per live sample, rounded for display."""
     live = with_deltas(active_only(samples), width)
-    heap = mb(memory.heap_bytes(F.col("peak_jvm_heap"), F.col("cur_jvm_heap")))
-    overhead, off_heap = mb(F.col("peak_jvm_off_heap")), mb(F.col("peak_off_heap_unified"))
     capacity = task_capacity(F.col("max_tasks"), F.col("total_cores"))
-    return live.select(
+    raw = live.select(
         *EXECUTOR,
         "poll_seq",
-        fixed(heap, 2).alias("heap"),
-        fixed(overhead, 2).alias("overhead"),
-        fixed(off_heap, 2).alias("off_heap"),
-        fixed(memory.estimated_total(heap, overhead, off_heap), 2).alias("total"),
-        fixed(mb(F.col("rss")), 2).alias("rss"),
-        fixed(F.col("gc_delta_ms").cast("double"), 1).alias("gc_delta"),
-        fixed(saturation_pct(F.col("active_tasks"), capacity), 2).alias("saturation"),
-        fixed(chart_cpu_pct(F.col("cpu_pct"), SERIES_CPU_CLIP), 2).alias("cpu"),
-    )
+        mb(memory.heap_bytes(F.col("peak_jvm_heap"), F.col("cur_jvm_heap"))).alias("heap"),
+        mb(F.col("peak_jvm_off_heap")).alias("overhead"),
+        mb(F.col("peak_off_heap_unified")).alias("off_heap"),
+        mb(F.col("rss")).alias("rss"),
+        F.col("gc_delta_ms").cast("double").alias("gc_delta"),
+        saturation_pct(F.col("active_tasks"), capacity).alias("saturation"),
+        chart_cpu_pct(F.col("cpu_pct"), SERIES_CPU_CLIP).alias("cpu"),
+    ).withColumn("total", memory.estimated_total(F.col("heap"), F.col("overhead"), F.col("off_heap")))
+    digits = {name: 1 if name == "gc_delta" else 2 for name in SERIES}
+    return raw.select(*EXECUTOR, "poll_seq", *[fixed(F.col(name), digits[name]).alias(name) for name in SERIES])
 
 
 def gap_filled(

@@ -31,6 +31,11 @@ ROW_CAP = 1000
 SMALL_CAP = 500
 MAX_AGE_MS = 30 * 60 * 1000
 
+# The derived samples of an executor, and the polls of an application, are at most the hours of a month
+# (derive.MAX_POLLS), whatever the size of the events table. Plain windows over them are safe and save the second pass
+# that keys of unknown size need. Queries over events themselves keep the default, which splits hot keys.
+PER_KEY = None
+
 
 def query(name: str):
     def register(build: Query) -> Query:
@@ -49,7 +54,7 @@ def task_ends_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows_of(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
-    return R.executor_rows(samples_of(spark, sf_dir), settings)
+    return R.executor_rows(samples_of(spark, sf_dir), settings, PER_KEY)
 
 
 def latest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +63,13 @@ def latest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded rows in which some times of executor 5 cannot be parsed."""
-    recorded = H.to_history(R.executor_rows(samples_of(spark, sf_dir)))
+    recorded = H.to_history(rows_of(spark, sf_dir))
     damaged = (F.col("executor") == "5") & (F.col("pollSeq") % 37 == 0)
-    return recorded.withColumn("timeIso", F.when(damaged, "n/a").otherwise(F.col("timeIso"))).withColumn(
-        "timeMs", H.time_ms(F.col("timeIso"))
+    return recorded.withColumns(
+        {
+            "timeIso": F.when(damaged, "n/a").otherwise(F.col("timeIso")),
+            "timeMs": F.when(~damaged, F.col("timeMs")),
+        }
     )
 
 
@@ -70,7 +78,7 @@ def in_view_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.live_grid(samples_of(spark, sf_dir))
+    return series.live_grid(samples_of(spark, sf_dir), width=PER_KEY)
 
 
 def selected_of(samples: DataFrame) -> DataFrame:
@@ -93,7 +101,7 @@ def live_apps_of(history: DataFrame) -> DataFrame:
 
 @query("live_summary")
 def _(spark, sf_dir):
-    summary = live_summary(samples_of(spark, sf_dir))
+    summary = live_summary(samples_of(spark, sf_dir), width=PER_KEY)
     return summary.withColumns(
         {c: F.round(c, 4) for c in ["avg_heap_pct", "avg_gc_delta_ms"]}
     )
@@ -326,7 +334,7 @@ def _(spark, sf_dir):
 
 @query("p20_series_rounding")
 def _(spark, sf_dir):
-    return series.series_points(samples_of(spark, sf_dir))
+    return series.series_points(samples_of(spark, sf_dir), PER_KEY)
 
 
 @query("p21_display_text")
@@ -350,7 +358,7 @@ def _(spark, sf_dir):
 
 @query("p23_metric_unpivot")
 def _(spark, sf_dir):
-    points = series.series_points(samples_of(spark, sf_dir)).withColumn("native_other", F.lit(None).cast("double"))
+    points = series.series_points(samples_of(spark, sf_dir), PER_KEY).withColumn("native_other", F.lit(None).cast("double"))
     chosen = series.unpivot_metrics(points, ROW, ["overhead", "total"])
     return chosen.unionByName(series.unpivot_metrics(points, ROW))
 
@@ -387,7 +395,7 @@ def _(spark, sf_dir):
 @query("f05_selected_rows")
 def _(spark, sf_dir):
     samples = samples_of(spark, sf_dir)
-    rows = R.executor_rows(samples)
+    rows = R.executor_rows(samples, width=PER_KEY)
     return selection.apply_selection(rows, selected_of(samples)).select(*ROW, "heap_mb")
 
 
@@ -442,7 +450,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     samples = samples_of(spark, sf_dir)
     polls = samples.select("app_id", "poll_seq").distinct()
-    return series.gap_filled(series.series_points(samples), polls, R.active_only(samples))
+    return series.gap_filled(series.series_points(samples, PER_KEY), polls, R.active_only(samples), width=PER_KEY)
 
 
 @query("j05_history_grid")
@@ -502,7 +510,7 @@ def _(spark, sf_dir):
 
 @query("d06_rss_availability_by_poll")
 def _(spark, sf_dir):
-    return rollups.rss_availability_by_poll(rows_of(spark, sf_dir))
+    return rollups.rss_availability_by_poll(rows_of(spark, sf_dir), PER_KEY)
 
 
 @query("d07_peak_source_flag")
@@ -524,7 +532,7 @@ def _(spark, sf_dir):
 @query("d10_selection_state")
 def _(spark, sf_dir):
     samples = samples_of(spark, sf_dir)
-    visible = ranking.latest_poll(R.executor_rows(samples))
+    visible = ranking.latest_poll(R.executor_rows(samples, width=PER_KEY))
     return selection.selection_state(visible, selected_of(samples))
 
 
@@ -549,7 +557,7 @@ _row_columns("x01_gc_delta", "gc_delta_ms")
 def _(spark, sf_dir):
     active = R.active_only(samples_of(spark, sf_dir))
     before = {f"prev_{c}": F.col(c) for c in ["wall_ms", "cpu_time_ms", "total_duration_ms"]}
-    return ordered_scan(active, EXECUTOR, "poll_seq", previous=before).select(*ROW, *before)
+    return ordered_scan(active, EXECUTOR, "poll_seq", previous=before, width=PER_KEY).select(*ROW, *before)
 
 
 _row_columns("x03_cpu_cascade", "cpu_pct", "cpu_source")
@@ -562,12 +570,12 @@ def _(spark, sf_dir):
 
 @query("x05_change_direction")
 def _(spark, sf_dir):
-    return R.change_directions(samples_of(spark, sf_dir))
+    return R.change_directions(samples_of(spark, sf_dir), width=PER_KEY)
 
 
 @query("x06_latest_non_null")
 def _(spark, sf_dir):
-    return rollups.latest_non_null(series.series_points(samples_of(spark, sf_dir)), series.SERIES)
+    return rollups.latest_non_null(series.series_points(samples_of(spark, sf_dir), PER_KEY), series.SERIES)
 
 
 @query("x07_live_window")
@@ -587,7 +595,7 @@ def _(spark, sf_dir):
 
 @query("x09_poll_ordinal")
 def _(spark, sf_dir):
-    return poll_ordinals(samples_of(spark, sf_dir))
+    return poll_ordinals(samples_of(spark, sf_dir), PER_KEY)
 
 
 # ---------------------------------------------------------------- order, retention, sets
@@ -611,7 +619,8 @@ def _(spark, sf_dir):
 
 @query("r01_age_retention")
 def _(spark, sf_dir):
-    return H.within_retention(history_of(spark, sf_dir), NOW_MS).select("appId", "executor", "pollSeq", "timeIso")
+    parsed = history_of(spark, sf_dir).withColumn("timeMs", H.time_ms(F.col("timeIso")))
+    return H.within_retention(parsed, NOW_MS).select("appId", "executor", "pollSeq", "timeIso")
 
 
 @query("r02_row_cap")

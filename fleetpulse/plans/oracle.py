@@ -258,9 +258,11 @@ ranked AS (
     FROM tall GROUP BY ALL) USING (app_id, executor_id, series)),
 stacked AS (
   SELECT *, coalesce(sum(value) OVER (PARTITION BY app_id, executor_id, poll_ord
-    ORDER BY latest DESC NULLS LAST, i ROWS UNBOUNDED PRECEDING), 0) AS running FROM ranked),
+    ORDER BY latest DESC NULLS LAST, i ROWS UNBOUNDED PRECEDING), 0) AS running,
+    coalesce(sum(value) OVER (PARTITION BY app_id, executor_id, poll_ord
+    ORDER BY latest DESC NULLS LAST, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM ranked),
 bands AS (
-  SELECT app_id, executor_id, poll_ord, series, running - coalesce(value, 0) AS base,
+  SELECT app_id, executor_id, poll_ord, series, base,
     CASE WHEN value IS NOT NULL THEN running END AS upper FROM stacked WHERE latest IS NOT NULL{native_rows}
   UNION ALL
   SELECT app_id, executor_id, poll_ord, '{label}', NULL, {total} FROM grid

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.text import csv_line
+from fleetpulse.functions.numbers import place_digits
+from fleetpulse.functions.text import csv_field
 from fleetpulse.operators.history import bounded
 from fleetpulse.schemas import HISTORY, HISTORY_CSV_COLUMNS
 from fleetpulse.settings import HISTORY_MAX_ROWS, RETENTION_MS
@@ -15,9 +16,23 @@ HEADER = SEPARATOR.join(HISTORY_CSV_COLUMNS)
 
 
 def csv_lines(history: DataFrame) -> DataFrame:
-    """One text line per recorded row: (appId, ingestSeq, executor, line)."""
-    fields = [(F.col(name), HISTORY[name].dataType.typeName()) for name in HISTORY_CSV_COLUMNS]
-    return history.select("appId", "ingestSeq", "executor", csv_line(fields).alias("line"))
+    """One text line per recorded row: (appId, ingestSeq, executor, line).
+
+    The doubles go through one array, so that the digit placement is planned once and not once per column.
+    """
+    kinds = {name: HISTORY[name].dataType.typeName() for name in HISTORY_CSV_COLUMNS}
+    doubles = [name for name in HISTORY_CSV_COLUMNS if kinds[name] == "double"]
+    numbers = F.transform(F.array(*[F.col(name).cast("string") for name in doubles]), place_digits)
+
+    def field(name: str):
+        if kinds[name] == "string":
+            return csv_field(F.col(name))
+        # The text of a number never needs quotes.
+        text = F.col("_numbers")[doubles.index(name)] if kinds[name] == "double" else F.col(name).cast("string")
+        return F.coalesce(text, F.lit(""))
+
+    line = F.concat_ws(SEPARATOR, *[field(name) for name in HISTORY_CSV_COLUMNS])
+    return history.withColumn("_numbers", numbers).select("appId", "ingestSeq", "executor", line.alias("line"))
 
 
 def write_csv(history: DataFrame, path: str, mode: str = "overwrite") -> None:

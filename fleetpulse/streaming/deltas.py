@@ -2,7 +2,8 @@
 
 The window functions the batch form uses do not exist on streams, so the baselines live in keyed state. Each call gets
 one executor's new samples of one micro-batch; its size is bounded by the source's rate limit. Samples at or before
-the newest one already seen are ignored. State of an executor that stays silent is dropped after `idle_ms`.
+the newest one already seen are ignored, and so are samples later than `late`. State of an executor is dropped once
+event time has passed its newest sample by `idle_ms`; event time is used so that a replay drops the same state.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from fleetpulse.schemas import EXECUTOR
 from fleetpulse.settings import MIN_CPU_ELAPSED_MS, Settings
 
 IDLE_MS = 24 * 60 * 60 * 1000
+LATE = "1 hour"
 
 _SAMPLE_STATE = "poll_seq bigint, wall_ms double, cpu_ms double, duration_ms double, gc_ms double"
 _PROCESS_STATE = "sample_seq bigint, wall_ns bigint, cpu_ns bigint"
 
 
-def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS, late: str = LATE) -> DataFrame:
     """Streaming counterpart of `with_deltas` on the live samples of a stream."""
     fields = samples.schema.fields
     # Nullable longs reach pandas as doubles anyway; milliseconds and byte counts are exact there up to 2^53.
@@ -34,7 +36,9 @@ def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
         for f in fields
     ]
     live = active_only(samples).select(
-        *as_double, task_capacity(F.col("max_tasks"), F.col("total_cores")).cast("double").alias("_capacity")
+        *as_double,
+        task_capacity(F.col("max_tasks"), F.col("total_cores")).cast("double").alias("_capacity"),
+        F.timestamp_millis("wall_ms").alias("_ts"),
     )
     kept = [T.StructField(f.name, T.DoubleType() if _is_long(f) and f.name != "poll_seq" else f.dataType) for f in fields]
     output = T.StructType(kept).add("gc_delta_ms", "double").add("cpu_pct", "double").add("cpu_source", "string")
@@ -60,11 +64,11 @@ def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
                 float(carried[-1]),
             )
         )
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(int(newest["wall_ms"]) + idle_ms)
         yield rows[columns]
 
-    result = live.groupBy(*EXECUTOR).applyInPandasWithState(
-        advance, output, _SAMPLE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    result = live.withWatermark("_ts", late).groupBy(*EXECUTOR).applyInPandasWithState(
+        advance, output, _SAMPLE_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     return result.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields],
@@ -74,11 +78,26 @@ def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     )
 
 
-def stream_process_cpu(samples: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
-    """Streaming counterpart of `process_cpu_pct`; nanoseconds stay integers, -1 stands for an unavailable reading."""
+def stream_process_cpu(
+    samples: DataFrame, event_time_ms: str | None = None, idle_ms: int = IDLE_MS, late: str = LATE
+) -> DataFrame:
+    """Streaming counterpart of `process_cpu_pct`; nanoseconds stay integers, -1 stands for an unavailable reading.
+
+    `wall_ns` has its own origin in every process, so it cannot serve as event time. With `event_time_ms`, a column of
+    epoch milliseconds, state of silent executors expires; without it state is kept.
+    """
     columns = ["app_id", "executor_id", "sample_seq", "wall_ns", "cpu_ns", "cores"]
-    prepared = samples.select(*columns).withColumn("cpu_ns", F.coalesce("cpu_ns", F.lit(-1)))
-    output = prepared.schema.add("cpu_pct", "double")
+    reading = F.coalesce("cpu_ns", F.lit(-1)).alias("cpu_ns")
+    prepared = samples.select("app_id", "executor_id", "sample_seq", "wall_ns", reading, "cores")
+    output = T.StructType([*prepared.schema.fields, T.StructField("cpu_pct", T.DoubleType())])
+    timeout = GroupStateTimeout.NoTimeout
+    if event_time_ms is not None:
+        at = F.col(event_time_ms)
+        prepared = samples.select(
+            "app_id", "executor_id", "sample_seq", "wall_ns", reading, "cores", at.alias("_at_ms"),
+            F.timestamp_millis(at).alias("_ts"),
+        ).withWatermark("_ts", late)
+        timeout = GroupStateTimeout.EventTimeTimeout
 
     def advance(key, frames, state: GroupState):
         rows, seen = _new_rows(frames, state, "sample_seq")
@@ -94,12 +113,11 @@ def stream_process_cpu(samples: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
             prev_wall, prev_cpu = wall_ns, cpu_ns if cpu_ns >= 0 else prev_cpu
         rows["cpu_pct"] = np.array(used) * 100.0 / (np.array(passed) * rows["cores"].to_numpy())
         state.update((int(rows["sample_seq"].iloc[-1]), int(prev_wall), int(prev_cpu)))
-        state.setTimeoutDuration(idle_ms)
+        if event_time_ms is not None:
+            state.setTimeoutTimestamp(int(rows["_at_ms"].max()) + idle_ms)
         yield rows[[*columns, "cpu_pct"]]
 
-    result = prepared.groupBy(*EXECUTOR).applyInPandasWithState(
-        advance, output, _PROCESS_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    result = prepared.groupBy(*EXECUTOR).applyInPandasWithState(advance, output, _PROCESS_STATE, "append", timeout)
     return result.withColumn("cpu_ns", F.when(F.col("cpu_ns") >= 0, F.col("cpu_ns")))
 
 
