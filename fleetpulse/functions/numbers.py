@@ -53,7 +53,8 @@ def fixed(value: Column, digits: int) -> Column:
     error = (high * scale - product) + (size - high) * scale
     whole = F.floor(product).cast("double")
     rounded = whole + F.when((product - whole - F.lit(0.5)) + error >= 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.signum(value.cast("double")) * (rounded / scale)
+    # From 2^53 up neighbouring doubles are further apart than the rounding step, so the value is its own rounding.
+    return F.signum(value.cast("double")) * F.when(product >= F.lit(2.0**53), size).otherwise(rounded / scale)
 
 
 def round_half_up(value: Column) -> Column:
@@ -69,7 +70,7 @@ def plain_number_text(value: Column) -> Column:
 def place_digits(text: Column) -> Column:
     """The same from Spark's own double text, which uses exponent form outside [1e-3, 1e7).
 
-    The digits are re-placed around the point. `text` is used many times: pass a column, not an expression, in hot
+    The digits are re-placed around the point. (Before Java 19 that text can carry a surplus digit from 1e16 up.) `text` is used many times: pass a column, not an expression, in hot
     paths.
     """
     exponent = F.coalesce(F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))

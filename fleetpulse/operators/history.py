@@ -31,12 +31,10 @@ _SERIES_SOURCE = {
 
 def iso_time(wall_ms: Column) -> Column:
     """UTC time text with milliseconds, e.g. 2024-01-01T00:00:05.000Z, whatever the session time zone."""
-    seconds = F.floor(wall_ms / F.lit(1000))
-    stamp = F.timestamp_add("SECOND", seconds, F.lit("1970-01-01T00:00:00").cast("timestamp_ntz"))
-    return F.concat(
-        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.format_string(".%03dZ", F.pmod(wall_ms, F.lit(1000))),
-    )
+    epoch = F.lit("1970-01-01T00:00:00").cast("timestamp_ntz")
+    seconds = F.timestamp_add("SECOND", F.floor(wall_ms / F.lit(1000)), epoch).cast("string")
+    millis = F.lpad(F.pmod(wall_ms, F.lit(1000)).cast("string"), 3, "0")
+    return F.concat(F.replace(seconds, F.lit(" "), F.lit("T")), F.lit("."), millis, F.lit("Z"))
 
 
 def time_ms(time_iso: Column) -> Column:
