@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.tasks import counted_cpu_ns
-from fleetpulse.operators.ordered import DEFAULT_WIDTH, ordered_scan
+from fleetpulse.operators.ordered import SPLIT, Split, ordered_scan
 from fleetpulse.schemas import EXECUTOR
 
 NS_PER_MS = 1000000
@@ -22,7 +22,7 @@ def cpu_time_as_of(
     task_ends: DataFrame,
     poll_time: str = "poll_seq",
     event_time: str = "poll_seq",
-    width: int | None = DEFAULT_WIDTH,
+    split: Split | None = SPLIT,
 ) -> DataFrame:
     """Add `cpu_time_ms`: CPU milliseconds of the tasks finished up to each poll, 0 when there are none."""
     events = (
@@ -32,7 +32,7 @@ def cpu_time_as_of(
     )
     merged = _one_axis(polls, events, poll_time)
     scanned = ordered_scan(
-        merged, EXECUTOR, "_time", running_sum={"_total_ns": F.col("_cpu_ns")}, ties=["_is_poll"], width=width
+        merged, EXECUTOR, "_position", running_sum={"_total_ns": F.col("_cpu_ns")}, split=split
     )
     total_ms = F.expr(f"coalesce(_total_ns, 0L) div {NS_PER_MS}L")
     return _polls_only(scanned, polls, {"cpu_time_ms": total_ms})
@@ -44,7 +44,7 @@ def process_cpu_as_of(
     poll_time: str = "poll_seq",
     sample_time: str = "poll_seq",
     sample_seq: str = "sample_seq",
-    width: int | None = DEFAULT_WIDTH,
+    split: Split | None = SPLIT,
 ) -> DataFrame:
     """Add `os_cpu_pct`: the newest published CPU percentage at or before each poll, however old; null when none."""
     events = (
@@ -54,7 +54,7 @@ def process_cpu_as_of(
     )
     merged = _one_axis(polls, events, poll_time)
     scanned = ordered_scan(
-        merged, EXECUTOR, "_time", last_up_to={"_latest_pct": F.col("_pct")}, ties=["_is_poll"], width=width
+        merged, EXECUTOR, "_position", last_up_to={"_latest_pct": F.col("_pct")}, split=split
     )
     return _polls_only(scanned, polls, {"os_cpu_pct": F.col("_latest_pct")})
 
@@ -65,10 +65,11 @@ def attach_cpu_totals(polls: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def _one_axis(polls: DataFrame, events: DataFrame, poll_time: str) -> DataFrame:
-    marked_polls = polls.withColumn("_time", F.col(poll_time)).withColumn("_is_poll", F.lit(1))
-    return marked_polls.unionByName(events.withColumn("_is_poll", F.lit(0)), allowMissingColumns=True)
+    """Both sides on one integer axis; an event's position is even and a poll's is the odd one behind it."""
+    marked = polls.withColumn("_position", F.col(poll_time) * 2 + 1)
+    return marked.unionByName(events.withColumn("_position", F.col("_time") * 2).drop("_time"), allowMissingColumns=True)
 
 
 def _polls_only(scanned: DataFrame, polls: DataFrame, added: dict[str, Column]) -> DataFrame:
     payload = [c for c in polls.columns if c not in added]
-    return scanned.filter("_is_poll = 1").select(*payload, *[v.alias(a) for a, v in added.items()])
+    return scanned.filter("_position % 2 <> 0").select(*payload, *[v.alias(a) for a, v in added.items()])

@@ -230,9 +230,7 @@ def history_grid(in_view: DataFrame) -> DataFrame:
     numbered = axis.withColumn("position", F.row_number().over(Window.partitionBy("appId").orderBy("timeIso")))
     length = numbered.groupBy("appId").agg(F.max("position").alias("_points"))
     grid = (
-        in_view.select(*HISTORY_EXECUTOR)
-        .distinct()
-        .join(length, "appId")
+        spread_join(in_view.select(*HISTORY_EXECUTOR).distinct(), length, ["appId"], spread=["executor"])
         .select(*HISTORY_EXECUTOR, F.explode(F.sequence(F.lit(1), F.col("_points"))).alias("position"))
         .join(numbered, ["appId", "position"])
     )

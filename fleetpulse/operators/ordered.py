@@ -1,28 +1,60 @@
 """Ordered computations over keys of any size.
 
-A plain window sorts all rows of a key in one task, so one hot key decides the run time of the job. Here a key's axis
-is cut into segments of `width` order values. Each segment is summarised to one row (a partially aggregated
-`groupBy`), the summaries are scanned in order to find what each segment inherits from the segments before it, and
-the rows themselves are windowed inside their segment only. The rows are shuffled once, on (keys, segment), and the
-inherited values arrive by an equi-join on the same columns, so the row side needs no second exchange.
-
-With unique order values a window partition holds at most `width` rows; the summary scan sees 1/width of the rows.
+A plain window sorts all rows of a key in one task, which is right for most keys and fatal for a key that holds a
+third of the table. Keys with more than `Split.max_rows` rows are therefore cut into segments of their order axis, of
+about `Split.segment_rows` rows each; all other keys stay whole. Each segment is summarised to one row, the summaries
+of a key are scanned in order to find what a segment inherits from the ones before it, and rows are windowed inside
+their segment only. Rows are shuffled once, on (keys, segment); the inherited values arrive by an equi-join on the
+same columns, so the row side needs no second exchange and no second sort.
+
+The table of cut keys is broadcast. It never has more than `MAX_HOT_KEYS` rows: should more keys be large, the largest
+are cut, and a key that stays whole then has fewer than 1/MAX_HOT_KEYS of all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = "_segment"
-DEFAULT_WIDTH = 65536
+MAX_HOT_KEYS = 10000
+ADJACENT_WIDTH = 65536
 
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
 
+@dataclass(frozen=True)
+class Split:
+    """From which size on a key is cut, and how many rows its segments have on average."""
+
+    max_rows: int = 1 << 22
+    segment_rows: int = 1 << 20
+
+
+SPLIT = Split()
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], order: str, split: Split = SPLIT) -> DataFrame:
+    """Keys to cut: (keys, `_from`, `_width`), the start of their axis and the length of a segment on it.
+
+    Counting is a partially aggregated pass over the key and order columns only.
+    """
+    rows, first, last = F.col("_rows"), F.col("_from"), F.col("_to")
+    width = F.ceil((last - first + 1).cast("double") * F.lit(float(split.segment_rows)) / rows)
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_from"), F.max(order).alias("_to"))
+        .filter(rows > split.max_rows)
+        .orderBy(F.desc("_rows"), *keys)
+        .limit(MAX_HOT_KEYS)
+        .select(*keys, "_from", F.greatest(F.lit(1).cast("bigint"), width).alias("_width"))
+    )
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,9 +66,10 @@ def ordered_scan(
     running_sum: Mapping[str, Column] | None = None,
     running_max: Mapping[str, Column] | None = None,
     ties: Sequence[str] = (),
-    width: int | None = DEFAULT_WIDTH,
+    split: Split | None = SPLIT,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ordered columns to `df`; keys must not be null and `order` must be an integer column.
+    """Add ordered columns to `df`; `order` must be an integer column without nulls.
 
     previous      value on the row just before (null there stays null)
     last_before   newest non-null value strictly before the row
@@ -44,16 +77,19 @@ def ordered_scan(
     running_sum   sum up to and including the row, nulls skipped
     running_max   maximum up to and including the row, nulls skipped
 
-    `ties` orders rows of equal `order`. `width=None` uses one plain window per key, for keys of proven small size.
+    `ties` orders rows of equal `order`. `split=None` uses plain windows, for keys of proven small size. When several
+    scans run over the same keys and axis, `with_segments` places the rows first and `hot` is the table it used; the
+    scans then share one exchange and one sort.
     """
     previous, last_before, last_up_to = dict(previous or {}), dict(last_before or {}), dict(last_up_to or {})
     running_sum, running_max = dict(running_sum or {}), dict(running_max or {})
     keys = list(keys)
 
-    if width is None:
-        row_window = Window.partitionBy(*keys).orderBy(order, *ties)
+    if split is None:
+        rows, row_window = df, Window.partitionBy(*keys).orderBy(order, *ties)
     else:
-        df = df.withColumn(SEGMENT, segment_of(F.col(order), width))
+        hot = hot_keys(df, keys, order, split) if hot is None else hot
+        rows = df if SEGMENT in df.columns else with_segments(df, keys, order, hot)
         row_window = Window.partitionBy(*keys, SEGMENT).orderBy(order, *ties)
     before, up_to = row_window.rowsBetween(*_BEFORE), row_window.rowsBetween(*_UP_TO)
 
@@ -62,24 +98,35 @@ def ordered_scan(
     local |= {alias: F.last(value, ignorenulls=True).over(up_to) for alias, value in last_up_to.items()}
     local |= {alias: F.sum(value).over(up_to) for alias, value in running_sum.items()}
     local |= {alias: F.max(value).over(up_to) for alias, value in running_max.items()}
-    if width is None:
-        return df.withColumns(local)
+    if split is None:
+        return rows.select(*df.columns, *[value.alias(alias) for alias, value in local.items()])
 
-    inherited = _inherited(df, keys, order, ties, previous, {**last_before, **last_up_to}, running_sum, running_max)
-    in_segment = df.withColumns({**local, "_row": F.row_number().over(row_window)})
-    joined = in_segment.join(inherited, [*keys, SEGMENT], "left")
+    cut = df.join(F.broadcast(hot), keys)
+    cut = cut if SEGMENT in df.columns else cut.withColumn(SEGMENT, _segment(order))
+    inherited = _inherited(cut, keys, order, ties, previous, {**last_before, **last_up_to}, running_sum, running_max)
+    joined = rows.withColumns({**local, "_row": F.row_number().over(row_window)}).join(inherited, [*keys, SEGMENT], "left")
 
     merged = {a: F.when(F.col("_row") == 1, F.col(_in(a))).otherwise(F.col(a)) for a in previous}
     merged |= {a: F.coalesce(F.col(a), F.col(_in(a))) for a in [*last_before, *last_up_to]}
     merged |= {a: F.coalesce(F.col(a) + F.col(_in(a)), F.col(a), F.col(_in(a))) for a in running_sum}
     merged |= {a: F.greatest(F.col(a), F.col(_in(a))) for a in running_max}
-    payload = [c for c in df.columns if c != SEGMENT]
-    return joined.select(*payload, *[value.alias(alias) for alias, value in merged.items()])
+    return joined.select(*df.columns, *[value.alias(alias) for alias, value in merged.items()])
+
 
+def with_segments(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> DataFrame:
+    """Add the segment of each row; all rows of a key that is not cut are in segment 0."""
+    placed = df.join(F.broadcast(hot), list(keys), "left")
+    return placed.withColumn(SEGMENT, F.coalesce(_segment(order), F.lit(0))).drop("_from", "_width")
 
-def segment_of(order: Column, width: int) -> Column:
+
+def segment_of(order: Column, width: int | Column) -> Column:
     """Integer division, which stays exact for numbers that a double cannot hold."""
-    return F.call_function("div", order.cast("bigint"), F.lit(width).cast("bigint"))
+    length = width if isinstance(width, Column) else F.lit(width).cast("bigint")
+    return F.call_function("div", order.cast("bigint"), length)
+
+
+def _segment(order: str) -> Column:
+    return segment_of(F.col(order) - F.col("_from"), F.col("_width"))
 
 
 def _in(alias: str) -> str:
@@ -106,9 +153,9 @@ def _inherited(df, keys, order, ties, previous, last, sums, maxima) -> DataFrame
 
 
 def with_previous_adjacent(
-    df: DataFrame, keys: Sequence[str], ordinal: str, previous: Mapping[str, Column], width: int | None = DEFAULT_WIDTH
+    df: DataFrame, keys: Sequence[str], ordinal: str, previous: Mapping[str, Column], width: int | None = ADJACENT_WIDTH
 ) -> DataFrame:
-    """Values of the key's row at exactly `ordinal - 1`, null when the key has no such row.
+    """Values of the key's row at exactly `ordinal - 1`, null when the key has no such row; ordinals are unique per key.
 
     Only the direct neighbour matters, so each segment's last position is copied into the next segment (one row in
     `width`) instead of being joined back; the copies are dropped again after the window.
@@ -130,11 +177,13 @@ def with_previous_adjacent(
     return rows.withColumns(found).filter(~F.col("_copy")).select(*df.columns, *previous)
 
 
-def poll_ordinals(df: DataFrame, width: int | None = DEFAULT_WIDTH, key: str = "app_id", order: str = "poll_seq") -> DataFrame:
+def poll_ordinals(
+    df: DataFrame, split: Split | None = SPLIT, key: str = "app_id", order: str = "poll_seq"
+) -> DataFrame:
     """Dense poll number per application, computed on the distinct polls only."""
     polls = df.select(key, order).distinct()
-    return ordered_scan(polls, [key], order, running_sum={"poll_ord": F.lit(1).cast("bigint")}, width=width)
+    return ordered_scan(polls, [key], order, running_sum={"poll_ord": F.lit(1).cast("bigint")}, split=split)
 
 
-def with_poll_ordinal(df: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
-    return df.join(poll_ordinals(df, width), ["app_id", "poll_seq"])
+def with_poll_ordinal(df: DataFrame, split: Split | None = SPLIT) -> DataFrame:
+    return df.join(poll_ordinals(df, split), ["app_id", "poll_seq"])

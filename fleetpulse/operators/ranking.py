@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.text import natural_key
 from fleetpulse.operators.joins import spread_join
-from fleetpulse.operators.ordered import DEFAULT_WIDTH, SEGMENT, segment_of
+from fleetpulse.operators.ordered import SEGMENT, segment_of
 from fleetpulse.settings import TOP_OFFENDERS
 
 # Fixed value: the seven offender sections and the row column each one ranks.
@@ -41,7 +41,7 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def newest_rows(
-    df: DataFrame, keys: Sequence[str], order: str, n: int, ties: Sequence[str] = (), width: int = DEFAULT_WIDTH
+    df: DataFrame, keys: Sequence[str], order: str, n: int, ties: Sequence[str] = (), width: int = 65536
 ) -> DataFrame:
     """The `n` rows of each key with the largest `order` (then `ties`), for any `n` and any key size.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetpulse.functions.memory import PEAK_HEAP
 from fleetpulse.functions.tasks import counted_cpu_ns
 from fleetpulse.operators.asof import NS_PER_MS
-from fleetpulse.operators.ordered import DEFAULT_WIDTH, ordered_scan
+from fleetpulse.operators.ordered import SPLIT, Split, ordered_scan
 from fleetpulse.schemas import EXECUTOR
 from fleetpulse.settings import MEMORY_MODES
 
@@ -111,10 +111,10 @@ def rss_availability(rows: DataFrame, mode: str = "rss") -> DataFrame:
     return seen.withColumn("rss_warning", F.lit(mode == "rss") & ~F.col("rss_available"))
 
 
-def rss_availability_by_poll(rows: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
+def rss_availability_by_poll(rows: DataFrame, split: Split | None = SPLIT) -> DataFrame:
     """The same flag as it stood at each poll; once set it stays set."""
     per_poll = rows.groupBy("app_id", "poll_seq").agg(F.max(F.col("rss_mb").isNotNull().cast("int")).alias("_any"))
-    scanned = ordered_scan(per_poll, ["app_id"], "poll_seq", running_max={"_seen": F.col("_any")}, width=width)
+    scanned = ordered_scan(per_poll, ["app_id"], "poll_seq", running_max={"_seen": F.col("_any")}, split=split)
     return scanned.select("app_id", "poll_seq", (F.col("_seen") == 1).alias("rss_available"))
 
 

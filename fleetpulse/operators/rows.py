@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions import health, memory, tasks, text
 from fleetpulse.functions.numbers import mb, percent
-from fleetpulse.operators.ordered import DEFAULT_WIDTH, ordered_scan, with_poll_ordinal, with_previous_adjacent
+from fleetpulse.operators.ordered import ADJACENT_WIDTH, SPLIT, Split, ordered_scan, with_poll_ordinal, with_previous_adjacent
 from fleetpulse.schemas import EXECUTOR
 from fleetpulse.settings import MIN_CPU_ELAPSED_MS, Settings
 
@@ -93,7 +93,7 @@ def cpu_cascade(
     return pct, source
 
 
-def with_deltas(active: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
+def with_deltas(active: DataFrame, split: Split | None = SPLIT) -> DataFrame:
     """Add `gc_delta_ms`, `cpu_pct` and `cpu_source` to active samples.
 
     The two baselines differ on purpose: garbage collection compares with the newest non-null reading, CPU with the
@@ -109,7 +109,7 @@ def with_deltas(active: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFra
             "_prev_duration_ms": F.col("total_duration_ms"),
         },
         last_before={"_prev_gc_ms": F.col("total_gc_ms")},
-        width=width,
+        split=split,
     )
     pct, source = cpu_cascade(
         F.col("os_cpu_pct"),
@@ -199,11 +199,11 @@ def with_health(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def executor_rows(
     samples: DataFrame,
     settings: Settings = Settings(),
-    width: int | None = DEFAULT_WIDTH,
+    split: Split | None = SPLIT,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """The hub table: live samples with deltas, flattened."""
-    return flatten(with_deltas(active_only(samples), width), settings, keep)
+    return flatten(with_deltas(active_only(samples), split), settings, keep)
 
 
 def with_total_shares(rows: DataFrame) -> DataFrame:
@@ -218,15 +218,15 @@ def with_total_shares(rows: DataFrame) -> DataFrame:
 
 
 def change_directions(
-    samples: DataFrame, settings: Settings = Settings(), width: int | None = DEFAULT_WIDTH
+    samples: DataFrame, settings: Settings = Settings(), split: Split | None = SPLIT
 ) -> DataFrame:
     """`up`, `down` or null per metric against the directly preceding poll.
 
     Poll adjacency is judged on every poll of the application, including those at which an executor was dead.
     """
-    rows = with_total_shares(executor_rows(with_poll_ordinal(samples, width), settings, width, keep=["poll_ord"]))
+    rows = with_total_shares(executor_rows(with_poll_ordinal(samples, split), settings, split, keep=["poll_ord"]))
     paired = with_previous_adjacent(
-        rows, EXECUTOR, "poll_ord", {f"_prev_{m}": F.col(m) for m in CHANGE_METRICS}, width
+        rows, EXECUTOR, "poll_ord", {f"_prev_{m}": F.col(m) for m in CHANGE_METRICS}, None if split is None else ADJACENT_WIDTH
     )
     return paired.select(*ROW_KEYS, *[change(F.col(f"_prev_{m}"), F.col(m)).alias(m) for m in CHANGE_METRICS])
 
@@ -235,7 +235,9 @@ def change(before: Column, now: Column) -> Column:
     return F.when(now > before, "up").when(now < before, "down")
 
 
-def process_cpu_pct(samples: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
+def process_cpu_pct(
+    samples: DataFrame, split: Split | None = SPLIT, hot: DataFrame | None = None
+) -> DataFrame:
     """CPU percentage from cumulative process CPU time.
 
     The wall baseline moves with every sample, the CPU baseline only with samples that have a reading (a negative
@@ -249,7 +251,8 @@ def process_cpu_pct(samples: DataFrame, width: int | None = DEFAULT_WIDTH) -> Da
         "sample_seq",
         previous={"_prev_wall_ns": F.col("wall_ns")},
         last_before={"_prev_cpu_ns": reading},
-        width=width,
+        split=split,
+        hot=hot,
     )
     wall = F.col("wall_ns") - F.col("_prev_wall_ns")
     used = reading - F.col("_prev_cpu_ns")

@@ -12,7 +12,7 @@ from fleetpulse.functions.numbers import fixed, mb
 from fleetpulse.functions.tasks import chart_cpu_pct, saturation_pct, task_capacity
 from fleetpulse.functions.text import mb_text, short_id
 from fleetpulse.operators.joins import spread_join
-from fleetpulse.operators.ordered import DEFAULT_WIDTH, poll_ordinals
+from fleetpulse.operators.ordered import SPLIT, Split, poll_ordinals
 from fleetpulse.operators.ranking import last_polls
 from fleetpulse.operators.rows import active_only, with_deltas
 from fleetpulse.schemas import EXECUTOR
@@ -28,9 +28,9 @@ DEFAULT_MEMORY_METRICS = ("heap",)
 _BANDS = [("heap", "H"), ("overhead", "O"), ("off_heap", "F")]
 
 
-def series_points(samples: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
+def series_points(samples: DataFrame, split: Split | None = SPLIT) -> DataFrame:
     """Chart values per live sample, rounded for display."""
-    live = with_deltas(active_only(samples), width)
+    live = with_deltas(active_only(samples), split)
     capacity = task_capacity(F.col("max_tasks"), F.col("total_cores"))
     raw = live.select(
         *EXECUTOR,
@@ -52,7 +52,7 @@ def gap_filled(
     polls: DataFrame,
     executors: DataFrame | None = None,
     columns: Sequence[str] = SERIES,
-    width: int | None = DEFAULT_WIDTH,
+    split: Split | None = SPLIT,
 ) -> DataFrame:
     """One row per (executor, poll of its application), null where the executor has no sample.
 
@@ -60,7 +60,7 @@ def gap_filled(
     numbers, so each executor produces its own positions from the application's point count, and the samples arrive
     by an equi-join. `executors` defaults to those that have a point.
     """
-    axis = poll_ordinals(polls, width)
+    axis = poll_ordinals(polls, split)
     length = axis.groupBy("app_id").agg(F.max("poll_ord").alias("_points"))
     known = (points if executors is None else executors).select(*EXECUTOR).distinct()
     grid = spread_join(known, length, ["app_id"], spread=["executor_id"]).select(
@@ -71,14 +71,14 @@ def gap_filled(
 
 
 def live_grid(
-    samples: DataFrame, max_points: int = LIVE_WINDOW_POINTS, width: int | None = DEFAULT_WIDTH
+    samples: DataFrame, max_points: int = LIVE_WINDOW_POINTS, split: Split | None = SPLIT
 ) -> DataFrame:
     """Gap-filled series over each application's last `max_points` polls.
 
     Executors whose samples all lie before the window stay known and get an all-null series.
     """
     window = last_polls(samples.select("app_id", "poll_seq").distinct(), max_points)
-    return gap_filled(series_points(samples, width), window, active_only(samples), width=width)
+    return gap_filled(series_points(samples, split), window, active_only(samples), split=split)
 
 
 def memory_metric_choice(metrics: Sequence[str] = ()) -> list[str]:
@@ -204,7 +204,7 @@ def nearest_points(bands: DataFrame, axis_points: DataFrame, probes: DataFrame)
     index = F.when(last <= 0, F.lit(0).cast("bigint")).otherwise(
         F.greatest(F.lit(0).cast("bigint"), F.least(last, F.floor(F.col("x") * last + F.lit(0.5))))
     )
-    located = probes.join(axis_points, "app_id").select("app_id", "x", (index + 1).alias("poll_ord"))
+    located = spread_join(probes, axis_points, ["app_id"], spread=["x"]).select("app_id", "x", (index + 1).alias("poll_ord"))
     label = F.concat(short_id(F.col("executor_id")), F.lit(" ("), F.col("series"), F.lit(")"))
     value = F.col("upper") - F.coalesce("base", F.lit(0.0))
     return (

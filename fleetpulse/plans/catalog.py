@@ -12,7 +12,7 @@ from fleetpulse.functions import health, memory, numbers, tasks, text
 from fleetpulse.operators import asof, ranking, rollups, rows as R, selection, series
 from fleetpulse.operators import history as H
 from fleetpulse.operators.joins import spread_join
-from fleetpulse.operators.ordered import ordered_scan, poll_ordinals
+from fleetpulse.operators.ordered import SEGMENT, hot_keys, ordered_scan, poll_ordinals, with_segments
 from fleetpulse.plans import derive
 from fleetpulse.plans.views import live_summary
 from fleetpulse.schemas import EXECUTOR, SAMPLES
@@ -57,6 +57,18 @@ def rows_of(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -
     return R.executor_rows(samples_of(spark, sf_dir), settings, PER_KEY)
 
 
+def process_cpu_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.process_cpu(derive.process_readings(derive.read_events(spark, sf_dir)))
+
+
+def published_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CPU percentages; the two scans run over the same executors and axis, so they share one placement of the rows."""
+    readings = derive.process_readings(derive.read_events(spark, sf_dir))
+    hot = hot_keys(readings, EXECUTOR, "sample_seq")
+    placed = with_segments(readings, EXECUTOR, "sample_seq", hot)
+    return R.process_cpu_pct(derive.process_cpu(placed, hot=hot), hot=hot).drop(SEGMENT)
+
+
 def latest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.latest_poll(rows_of(spark, sf_dir))
 
@@ -78,7 +90,7 @@ def in_view_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.live_grid(samples_of(spark, sf_dir), width=PER_KEY)
+    return series.live_grid(samples_of(spark, sf_dir), split=PER_KEY)
 
 
 def selected_of(samples: DataFrame) -> DataFrame:
@@ -101,7 +113,7 @@ def live_apps_of(history: DataFrame) -> DataFrame:
 
 @query("live_summary")
 def _(spark, sf_dir):
-    summary = live_summary(samples_of(spark, sf_dir), width=PER_KEY)
+    summary = live_summary(samples_of(spark, sf_dir), split=PER_KEY)
     return summary.withColumns(
         {c: F.round(c, 4) for c in ["avg_heap_pct", "avg_gc_delta_ms"]}
     )
@@ -395,7 +407,7 @@ def _(spark, sf_dir):
 @query("f05_selected_rows")
 def _(spark, sf_dir):
     samples = samples_of(spark, sf_dir)
-    rows = R.executor_rows(samples, width=PER_KEY)
+    rows = R.executor_rows(samples, split=PER_KEY)
     return selection.apply_selection(rows, selected_of(samples)).select(*ROW, "heap_mb")
 
 
@@ -436,7 +448,7 @@ def _(spark, sf_dir):
 @query("j02_process_cpu_as_of_poll")
 def _(spark, sf_dir):
     polls = samples_of(spark, sf_dir).select(*ROW)
-    published = R.process_cpu_pct(derive.process_cpu(derive.read_events(spark, sf_dir)))
+    published = published_of(spark, sf_dir)
     return asof.process_cpu_as_of(polls, published)
 
 
@@ -450,7 +462,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     samples = samples_of(spark, sf_dir)
     polls = samples.select("app_id", "poll_seq").distinct()
-    return series.gap_filled(series.series_points(samples, PER_KEY), polls, R.active_only(samples), width=PER_KEY)
+    return series.gap_filled(series.series_points(samples, PER_KEY), polls, R.active_only(samples), split=PER_KEY)
 
 
 @query("j05_history_grid")
@@ -482,7 +494,7 @@ def _(spark, sf_dir):
 
 @query("d02_latest_process_cpu")
 def _(spark, sf_dir):
-    return rollups.latest_cpu_pct(R.process_cpu_pct(derive.process_cpu(derive.read_events(spark, sf_dir))))
+    return rollups.latest_cpu_pct(published_of(spark, sf_dir))
 
 
 @query("d03_summary_cards")
@@ -532,7 +544,7 @@ def _(spark, sf_dir):
 @query("d10_selection_state")
 def _(spark, sf_dir):
     samples = samples_of(spark, sf_dir)
-    visible = ranking.latest_poll(R.executor_rows(samples, width=PER_KEY))
+    visible = ranking.latest_poll(R.executor_rows(samples, split=PER_KEY))
     return selection.selection_state(visible, selected_of(samples))
 
 
@@ -557,7 +569,7 @@ _row_columns("x01_gc_delta", "gc_delta_ms")
 def _(spark, sf_dir):
     active = R.active_only(samples_of(spark, sf_dir))
     before = {f"prev_{c}": F.col(c) for c in ["wall_ms", "cpu_time_ms", "total_duration_ms"]}
-    return ordered_scan(active, EXECUTOR, "poll_seq", previous=before, width=PER_KEY).select(*ROW, *before)
+    return ordered_scan(active, EXECUTOR, "poll_seq", previous=before, split=PER_KEY).select(*ROW, *before)
 
 
 _row_columns("x03_cpu_cascade", "cpu_pct", "cpu_source")
@@ -565,12 +577,12 @@ _row_columns("x03_cpu_cascade", "cpu_pct", "cpu_source")
 
 @query("x04_process_cpu_pct")
 def _(spark, sf_dir):
-    return R.process_cpu_pct(derive.process_cpu(derive.read_events(spark, sf_dir)))
+    return published_of(spark, sf_dir)
 
 
 @query("x05_change_direction")
 def _(spark, sf_dir):
-    return R.change_directions(samples_of(spark, sf_dir), width=PER_KEY)
+    return R.change_directions(samples_of(spark, sf_dir), split=PER_KEY)
 
 
 @query("x06_latest_non_null")
@@ -722,7 +734,7 @@ def _(spark, sf_dir):
 @query("t04_stateful_process_cpu")
 def _(spark, sf_dir):
     root = work_dir(spark, "process-cpu")
-    readings = derive.process_cpu(derive.read_events(spark, sf_dir))
+    readings = process_cpu_of(spark, sf_dir)
     readings.write.parquet(f"{root}/readings")
     found = deltas.stream_process_cpu(spark.readStream.schema(readings.schema).parquet(f"{root}/readings"))
     counters.write_rows(found, f"{root}/out", f"{root}/checkpoint", availableNow=True).awaitTermination()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.operators.ordered import DEFAULT_WIDTH, ordered_scan
+from fleetpulse.operators.ordered import SEGMENT, SPLIT, Split, ordered_scan
 from fleetpulse.schemas import EXECUTOR
 
 # Constants of the derivation.
@@ -133,9 +133,9 @@ def executor_samples(events: DataFrame) -> DataFrame:
     )
 
 
-def process_cpu(events: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
-    """OS readings: one per event, with a cumulative CPU time that is unavailable on every thirteenth."""
-    readings = events.select(
+def process_readings(events: DataFrame) -> DataFrame:
+    """CPU use per OS reading, one reading per event."""
+    return events.select(
         app_id().alias("app_id"),
         executor_id().alias("executor_id"),
         poll_seq().alias("poll_seq"),
@@ -144,8 +144,12 @@ def process_cpu(events: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFra
         _long(f"floor(value * {NS_PER_VALUE})").alias("used_ns"),
         F.lit(4).alias("cores"),
     )
+
+
+def process_cpu(readings: DataFrame, split: Split | None = SPLIT, hot: DataFrame | None = None) -> DataFrame:
+    """OS readings with a cumulative CPU time that is unavailable on every thirteenth."""
     scanned = ordered_scan(
-        readings, EXECUTOR, "sample_seq", running_sum={"_total_ns": F.col("used_ns")}, width=width
+        readings, EXECUTOR, "sample_seq", running_sum={"_total_ns": F.col("used_ns")}, split=split, hot=hot
     )
     return scanned.select(
         *EXECUTOR,
@@ -154,4 +158,5 @@ def process_cpu(events: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFra
         "wall_ns",
         F.when(F.col("sample_seq") % 13 != 0, F.col("_total_ns")).alias("cpu_ns"),
         "cores",
+        *[c for c in readings.columns if c == SEGMENT],
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.operators import history as H
-from fleetpulse.operators.ordered import DEFAULT_WIDTH
+from fleetpulse.operators.ordered import SPLIT, Split
 from fleetpulse.operators.ranking import latest_poll, sort_rows, top_offenders
 from fleetpulse.operators.rollups import summarise
 from fleetpulse.operators.rows import executor_rows
@@ -19,10 +19,10 @@ def live_table(
     settings: Settings = Settings(),
     selected: DataFrame | None = None,
     only_unhealthy: bool = False,
-    width: int | None = DEFAULT_WIDTH,
+    split: Split | None = SPLIT,
 ) -> DataFrame:
     """Rows of each application's newest poll that pass the unhealthy filter and the selection."""
-    rows = latest_poll(executor_rows(samples, settings, width))
+    rows = latest_poll(executor_rows(samples, settings, split))
     if only_unhealthy:
         rows = rows.filter("is_unhealthy")
     return rows if selected is None else apply_selection(rows, selected)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetpulse.operators.history import bounded, only_apps
+from fleetpulse.operators.history import bounded
 from fleetpulse.settings import HISTORY_MAX_ROWS, RETENTION_MS
 from fleetpulse.sources import history_store
 from fleetpulse.streaming.counters import POLL_TRIGGER
@@ -44,7 +44,10 @@ def keep_bounded(
         newest = new.agg(F.max("timeMs")).first()[0] if now_ms is None else now_ms(new)
         if newest is None:
             return
-        stored = only_apps(history_store.read(spark, path), new)
+        # Only partitions of the batch's applications are read: with this filter on the small side Spark prunes the
+        # stored partitions at run time.
+        touched = new.filter("pollSeq > 0").select("appId").distinct()
+        stored = history_store.read(spark, path).join(touched, "appId", "left_semi")
         merged = stored.unionByName(new).dropDuplicates(["appId", "pollSeq", "executor"])
         bounded(merged, newest, max_rows, max_age_ms).write.mode("overwrite").parquet(f"{stage}/merged")
         history_store.replace_apps(spark.read.parquet(f"{stage}/merged"), path)

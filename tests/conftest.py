@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from fleetpulse.operators.ordered import SPLIT, Split  # noqa: E402
 from fleetpulse.schemas import SAMPLES  # noqa: E402
 
+# Plain windows, every key cut into tiny segments, only larger keys cut, and the default.
+SPLITS = [None, Split(0, 1), Split(0, 3), Split(3, 2), SPLIT]
+
 SMALL = "/root/testdata/sf0.001"
 
 

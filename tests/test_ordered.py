@@ -4,10 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetpulse.operators.joins import spread_join
-from fleetpulse.operators.ordered import ordered_scan, poll_ordinals, with_previous_adjacent
+from fleetpulse.operators.ordered import SPLIT, Split, hot_keys, ordered_scan, poll_ordinals, with_previous_adjacent, with_segments
 from fleetpulse.operators.ranking import last_polls, newest_rows, top_per_group
 
 
+from conftest import SPLITS
+
+
 @pytest.fixture(scope="module")
 def data():
     """A hot key with most rows, some small keys, gaps in the order, and nulls."""
@@ -33,8 +36,8 @@ def expected_scan(rows):
     return result
 
 
-@pytest.mark.parametrize("width", [None, 1, 7, 64, 100000])
-def test_scan_equals_a_loop(spark, data, width):
+@pytest.mark.parametrize("split", [None, Split(0, 1), Split(0, 7), Split(30, 10), Split(100, 300), SPLIT])
+def test_scan_equals_a_loop(spark, data, split):
     df = spark.createDataFrame(data, "k string, o bigint, v bigint")
     v = F.col("v")
     found = ordered_scan(
@@ -46,18 +49,50 @@ def test_scan_equals_a_loop(spark, data, width):
         last_up_to={"lu": v},
         running_sum={"s": v},
         running_max={"m": v},
-        width=width,
+        split=split,
     )
     assert found.columns == ["k", "o", "v", "p", "lb", "lu", "s", "m"]
     assert {(r.k, r.o): tuple(r)[3:] for r in found.collect()} == expected_scan(data)
 
 
-@pytest.mark.parametrize("width", [3, 100])
-def test_scan_with_ties(spark, width):
+def test_only_large_keys_are_cut(spark, data):
+    df = spark.createDataFrame(data, "k string, o bigint, v bigint")
+    found = {r.k: (r["_from"], r["_width"]) for r in hot_keys(df, ["k"], "o", Split(39, 10)).collect()}
+    mine = {k: [r[1] for r in data if r[0] == k] for k in ("hot", "b")}
+    assert found == {k: (min(o), -(-(max(o) - min(o) + 1) * 10 // len(o))) for k, o in mine.items()}
+    assert hot_keys(df, ["k"], "o").count() == 0
+
+
+def test_scan_takes_null_keys_and_a_shared_hot_table(spark):
+    rows = [(None, 1, 5), (None, 2, 6)] + [("k", i, i) for i in range(9)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
+    hot = hot_keys(df, ["k"], "o", Split(2, 2))
+    found = ordered_scan(df, ["k"], "o", running_sum={"s": F.col("v")}, hot=hot)
+    assert {(r.k, r.o): r.s for r in found.collect()} == {(None, 1): 5, (None, 2): 11, **{("k", i): i * (i + 1) // 2 for i in range(9)}}
+
+
+@pytest.mark.parametrize("split", [Split(0, 5), Split(20, 9), SPLIT])
+def test_scans_share_one_placement(spark, data, split):
+    df = spark.createDataFrame(data, "k string, o bigint, v bigint")
+    hot = hot_keys(df, ["k"], "o", split)
+    first = ordered_scan(with_segments(df, ["k"], "o", hot), ["k"], "o", running_sum={"s": F.col("v")}, hot=hot)
+    both = ordered_scan(first, ["k"], "o", previous={"p": F.col("s")}, hot=hot)
+    sums = {key: value[3] for key, value in expected_scan(data).items()}
+    last = {}
+    for key in sorted(sums):
+        last[key] = (sums[key], last.get(key[0]))
+        last[key[0]] = sums[key]
+    assert {(r.k, r.o): (r.s, r.p) for r in both.collect()} == {k: v for k, v in last.items() if isinstance(k, tuple)}
+    row_side = both._jdf.queryExecution().executedPlan().toString().split("_in_p")[0]
+    assert row_side.count("Exchange hashpartitioning") <= 1
+
+
+@pytest.mark.parametrize("split", [Split(0, 1), Split(0, 5), SPLIT])
+def test_scan_with_ties(spark, split):
     rows = [("k", t, side, t * 10 if side == 0 else None) for t in range(12) for side in (0, 1)]
     df = spark.createDataFrame(rows, "k string, o bigint, side int, v bigint")
     found = ordered_scan(
-        df, ["k"], "o", previous={"p": F.col("side")}, last_up_to={"l": F.col("v")}, ties=["side"], width=width
+        df, ["k"], "o", previous={"p": F.col("side")}, last_up_to={"l": F.col("v")}, ties=["side"], split=split
     )
     seen = {(r.o, r.side): (r.p, r.l) for r in found.collect()}
     assert all(seen[t, 1] == (0, t * 10) for t in range(12))
@@ -74,12 +109,12 @@ def test_adjacent_only(spark, width):
     assert seen == {**expected, ("j", 4): None, ("j", 5): 1}
 
 
-@pytest.mark.parametrize("width", [None, 2, 50])
-def test_poll_ordinals_are_dense(spark, width):
+@pytest.mark.parametrize("split", SPLITS)
+def test_poll_ordinals_are_dense(spark, split):
     polls = {"a": [3, 9, 10, 40], "b": [1, 2]}
     rows = [(app, p, e) for app, ps in polls.items() for p in ps for e in ("1", "2")]
     df = spark.createDataFrame(rows, "app_id string, poll_seq bigint, executor_id string")
-    found = {(r.app_id, r.poll_seq): r.poll_ord for r in poll_ordinals(df, width).collect()}
+    found = {(r.app_id, r.poll_seq): r.poll_ord for r in poll_ordinals(df, split).collect()}
     assert found == {(app, p): i + 1 for app, ps in polls.items() for i, p in enumerate(ps)}
 
 

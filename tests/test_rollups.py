@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.operators import ranking, rollups, selection
 from fleetpulse.operators import rows as R
+from conftest import SPLITS
 from fleetpulse.plans.views import live_summary, live_table
 
 
@@ -67,8 +68,8 @@ def test_rss_warning(samples):
     found = {r.app_id: (r.rss_available, r.rss_warning) for r in rollups.rss_availability(rows).collect()}
     assert found == {"app": (True, False), "none": (False, True)}
     assert not any(r.rss_warning for r in rollups.rss_availability(rows, "estimated").collect())
-    for width in (None, 1, 100):
-        seen = rollups.rss_availability_by_poll(rows, width).filter("app_id = 'app'").collect()
+    for split in SPLITS:
+        seen = rollups.rss_availability_by_poll(rows, split).filter("app_id = 'app'").collect()
         assert {r.poll_seq: r.rss_available for r in seen} == {1: False, 2: True, 3: True}
 
 

@@ -3,27 +3,27 @@ from pyspark.sql import functions as F
 
 from fleetpulse import Settings
 from fleetpulse.operators import asof, rows as R
-from fleetpulse.operators.ordered import DEFAULT_WIDTH
+from fleetpulse.operators.ordered import Split
 from fleetpulse.schemas import PROCESS_CPU
 
-WIDTHS = [None, 1, 3, DEFAULT_WIDTH]
+from conftest import SPLITS
 
 
 def by_poll(df, *columns):
     return {r.poll_seq: tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in df.collect()}
 
 
-@pytest.mark.parametrize("width", WIDTHS)
-def test_gc_delta_baseline_skips_nulls_and_follows_resets(samples, width):
+@pytest.mark.parametrize("split", SPLITS)
+def test_gc_delta_baseline_skips_nulls_and_follows_resets(samples, split):
     values = [None, 100, 150, None, 200, 50, 60, 60]
     table = samples(*[{"poll_seq": i + 1, "total_gc_ms": v} for i, v in enumerate(values)])
-    found = by_poll(R.with_deltas(table, width), "gc_delta_ms")
+    found = by_poll(R.with_deltas(table, split), "gc_delta_ms")
     # first reading, null reading and reset give null; the lower value is the next baseline
     assert found == {1: None, 2: None, 3: 50, 4: None, 5: 50, 6: None, 7: 10, 8: 0}
 
 
-@pytest.mark.parametrize("width", WIDTHS)
-def test_cpu_cascade_branches(samples, width):
+@pytest.mark.parametrize("split", SPLITS)
+def test_cpu_cascade_branches(samples, split):
     table = samples(
         {"poll_seq": 1, "wall_ms": 0, "cpu_time_ms": 0, "total_duration_ms": 0},
         {"poll_seq": 2, "wall_ms": 100, "cpu_time_ms": 10, "total_duration_ms": 10},
@@ -36,7 +36,7 @@ def test_cpu_cascade_branches(samples, width):
         {"poll_seq": 9, "wall_ms": 7100, "cpu_time_ms": 50, "total_duration_ms": None, "active_tasks": None},
         {"poll_seq": 10, "wall_ms": 8100, "cpu_time_ms": 90, "max_tasks": 0, "total_cores": 0},
     )
-    found = by_poll(R.with_deltas(table, width), "cpu_pct", "cpu_source")
+    found = by_poll(R.with_deltas(table, split), "cpu_pct", "cpu_source")
     assert found == {
         1: (None, "wait"),
         2: (None, "wait"),
@@ -51,14 +51,14 @@ def test_cpu_cascade_branches(samples, width):
     }
 
 
-@pytest.mark.parametrize("width", WIDTHS)
-def test_previous_sample_survives_gaps_but_only_while_active(samples, width):
+@pytest.mark.parametrize("split", SPLITS)
+def test_previous_sample_survives_gaps_but_only_while_active(samples, split):
     table = samples(
         {"poll_seq": 1, "wall_ms": 0, "cpu_time_ms": 0, "total_duration_ms": 0},
         {"poll_seq": 2, "wall_ms": 1000, "cpu_time_ms": 800, "is_active": False},
         {"poll_seq": 9, "wall_ms": 10000, "cpu_time_ms": 4000, "total_duration_ms": 0},
     )
-    found = by_poll(R.executor_rows(table, width=width), "cpu_pct")
+    found = by_poll(R.executor_rows(table, split=split), "cpu_pct")
     assert found == {1: None, 9: 10.0}
 
 
@@ -104,13 +104,13 @@ def test_saturation_threshold_is_separate(samples):
     assert by_poll(R.executor_rows(table, Settings(sat_warn_pct=500)), "is_unhealthy") == {1: False, 2: False}
 
 
-@pytest.mark.parametrize("width", [None, 1, 2, DEFAULT_WIDTH])
-def test_change_needs_the_adjacent_poll(samples, width):
+@pytest.mark.parametrize("split", SPLITS)
+def test_change_needs_the_adjacent_poll(samples, split):
     mb = 1048576
     polls = [(10, 1), (11, 2), (13, 3), (20, 3), (21, 1)]
     mine = [{"poll_seq": p, "rss": v * mb} for p, v in polls]
     other = [{"poll_seq": 12, "executor_id": "2", "is_active": False}]
-    found = by_poll(R.change_directions(samples(*mine, *other), width=width), "total_memory_mb", "heap_mb")
+    found = by_poll(R.change_directions(samples(*mine, *other), split=split), "total_memory_mb", "heap_mb")
     # poll 12 exists, so 13 does not follow 11 directly; 20 follows 13
     assert found == {10: (None, None), 11: ("up", None), 13: (None, None), 20: (None, None), 21: ("down", None)}
 
@@ -134,35 +134,35 @@ PROCESS = [
 ]
 
 
-@pytest.mark.parametrize("width", [None, 1, 4, DEFAULT_WIDTH])
-def test_process_cpu_baselines_differ(spark, width):
+@pytest.mark.parametrize("split", SPLITS)
+def test_process_cpu_baselines_differ(spark, split):
     table = spark.createDataFrame([("a", "1", s, w, c, 2) for s, w, c, _ in PROCESS], PROCESS_CPU)
-    found = {r.sample_seq: r.cpu_pct for r in R.process_cpu_pct(table, width).collect()}
+    found = {r.sample_seq: r.cpu_pct for r in R.process_cpu_pct(table, split).collect()}
     assert found == {s: e for s, _, _, e in PROCESS}
 
 
-@pytest.mark.parametrize("width", [None, 2, DEFAULT_WIDTH])
-def test_cpu_time_as_of_poll(spark, width):
+@pytest.mark.parametrize("split", SPLITS)
+def test_cpu_time_as_of_poll(spark, split):
     polls = spark.createDataFrame([("a", "1", p) for p in (1, 3, 5, 9)] + [("a", "2", 5)], "app_id string, executor_id string, poll_seq bigint")
     ends = [("a", "1", 2, 1_500_000), ("a", "1", 2, 600_000), ("a", "1", 3, 400_000), ("a", "1", 9, 1_000_000), ("a", "1", 10, 5_000_000)]
     ends += [("a", None, 1, 9_000_000), ("a", "1", 1, None), ("a", "1", 1, -4), ("a", "3", 1, 7_000_000)]
     task_ends = spark.createDataFrame(ends, "app_id string, executor_id string, poll_seq bigint, cpu_ns bigint")
-    found = {(r.executor_id, r.poll_seq): r.cpu_time_ms for r in asof.cpu_time_as_of(polls, task_ends, width=width).collect()}
+    found = {(r.executor_id, r.poll_seq): r.cpu_time_ms for r in asof.cpu_time_as_of(polls, task_ends, split=split).collect()}
     # events at the poll's own time count; nanoseconds are summed before the division
     assert found == {("1", 1): 0, ("1", 3): 2, ("1", 5): 2, ("1", 9): 3, ("2", 5): 0}
 
 
-@pytest.mark.parametrize("width", [None, 2, DEFAULT_WIDTH])
-def test_process_cpu_as_of_poll(spark, width):
+@pytest.mark.parametrize("split", SPLITS)
+def test_process_cpu_as_of_poll(spark, split):
     polls = spark.createDataFrame([("a", "1", p) for p in (1, 3, 90)] + [("a", "2", 5)], "app_id string, executor_id string, poll_seq bigint")
     published = [("a", "1", 2, 1, 10.0), ("a", "1", 2, 2, 20.0), ("a", "1", 3, 3, None), ("a", "1", 95, 4, 50.0)]
     samples = spark.createDataFrame(published, "app_id string, executor_id string, poll_seq bigint, sample_seq bigint, cpu_pct double")
-    found = {(r.executor_id, r.poll_seq): r.os_cpu_pct for r in asof.process_cpu_as_of(polls, samples, width=width).collect()}
+    found = {(r.executor_id, r.poll_seq): r.os_cpu_pct for r in asof.process_cpu_as_of(polls, samples, split=split).collect()}
     assert found == {("1", 1): None, ("1", 3): 20.0, ("1", 90): 20.0, ("2", 5): None}
 
 
-def test_widths_agree_on_derived_data(derived):
+def test_splits_agree_on_derived_data(derived):
     keys = ["app_id", "executor_id", "poll_seq"]
-    plain = R.executor_rows(derived, width=None).orderBy(*keys).collect()
-    assert plain == R.executor_rows(derived, width=50).orderBy(*keys).collect()
+    plain = R.executor_rows(derived, split=None).orderBy(*keys).collect()
+    assert plain == R.executor_rows(derived, split=Split(40, 25)).orderBy(*keys).collect()
     assert len(plain) > 900

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from fleetpulse.operators import series
 from fleetpulse.operators.rollups import latest_non_null
 
+from conftest import SPLITS
+
 MB = 1048576
 GRID = "app_id string, executor_id string, poll_ord bigint, heap double, overhead double, off_heap double, total double, rss double, gc_delta double, saturation double, cpu double"
 
@@ -30,8 +32,8 @@ def test_points_are_rounded_and_clipped(samples):
     assert (row.heap, row.total, row.gc_delta, row.saturation, row.cpu, row.rss) == (1.18, 1.18, 7.0, 33.33, 200.0, None)
 
 
-@pytest.mark.parametrize("width", [None, 1, 100])
-def test_live_grid_fills_gaps_and_keeps_known_executors(samples, width):
+@pytest.mark.parametrize("split", SPLITS)
+def test_live_grid_fills_gaps_and_keeps_known_executors(samples, split):
     table = samples(
         {"poll_seq": 1, "executor_id": "old", "rss": MB},
         {"poll_seq": 2, "rss": MB},
@@ -39,7 +41,7 @@ def test_live_grid_fills_gaps_and_keeps_known_executors(samples, width):
         {"poll_seq": 9, "executor_id": "new", "rss": 3 * MB},
         {"poll_seq": 9, "executor_id": "dead", "rss": 9 * MB, "is_active": False},
     )
-    found = {(r.executor_id, r.poll_ord): r.rss for r in series.live_grid(table, 3, width).collect()}
+    found = {(r.executor_id, r.poll_ord): r.rss for r in series.live_grid(table, 3, split).collect()}
     assert found == {
         **{("old", i): None for i in (1, 2, 3)},
         **{("1", 1): 1, ("1", 2): 2, ("1", 3): None},
