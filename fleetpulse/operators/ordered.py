@@ -67,7 +67,6 @@ def ordered_scan(
     running_max: Mapping[str, Column] | None = None,
     ties: Sequence[str] = (),
     split: Split | None = SPLIT,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add ordered columns to `df`; `order` must be an integer column without nulls.
 
@@ -78,8 +77,8 @@ def ordered_scan(
     running_max   maximum up to and including the row, nulls skipped
 
     `ties` orders rows of equal `order`. `split=None` uses plain windows, for keys of proven small size. When several
-    scans run over the same keys and axis, `with_segments` places the rows first and `hot` is the table it used; the
-    scans then share one exchange and one sort.
+    scans run over the same keys and axis, `with_segments` places the rows first; the scans then share one exchange and
+    one sort.
     """
     previous, last_before, last_up_to = dict(previous or {}), dict(last_before or {}), dict(last_up_to or {})
     running_sum, running_max = dict(running_sum or {}), dict(running_max or {})
@@ -88,8 +87,7 @@ def ordered_scan(
     if split is None:
         rows, row_window = df, Window.partitionBy(*keys).orderBy(order, *ties)
     else:
-        hot = hot_keys(df, keys, order, split) if hot is None else hot
-        rows = df if SEGMENT in df.columns else with_segments(df, keys, order, hot)
+        rows = df if SEGMENT in df.columns else with_segments(df, keys, order, split)
         row_window = Window.partitionBy(*keys, SEGMENT).orderBy(order, *ties)
     before, up_to = row_window.rowsBetween(*_BEFORE), row_window.rowsBetween(*_UP_TO)
 
@@ -101,8 +99,9 @@ def ordered_scan(
     if split is None:
         return rows.select(*df.columns, *[value.alias(alias) for alias, value in local.items()])
 
-    cut = df.join(F.broadcast(hot), keys)
-    cut = cut if SEGMENT in df.columns else cut.withColumn(SEGMENT, _segment(order))
+    # The filter is on a partitioning column, so Spark moves it below the windows of an earlier scan: only rows of cut
+    # keys are read for the summaries.
+    cut = rows.filter(F.col(SEGMENT) > 0)
     inherited = _inherited(cut, keys, order, ties, previous, {**last_before, **last_up_to}, running_sum, running_max)
     joined = rows.withColumns({**local, "_row": F.row_number().over(row_window)}).join(inherited, [*keys, SEGMENT], "left")
 
@@ -113,10 +112,11 @@ def ordered_scan(
     return joined.select(*df.columns, *[value.alias(alias) for alias, value in merged.items()])
 
 
-def with_segments(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> DataFrame:
-    """Add the segment of each row; all rows of a key that is not cut are in segment 0."""
-    placed = df.join(F.broadcast(hot), list(keys), "left")
-    return placed.withColumn(SEGMENT, F.coalesce(_segment(order), F.lit(0))).drop("_from", "_width")
+def with_segments(df: DataFrame, keys: Sequence[str], order: str, split: Split = SPLIT) -> DataFrame:
+    """Add the segment of each row: 1 and up along the axis of a cut key, 0 for all rows of a key that stays whole."""
+    placed = df.join(F.broadcast(hot_keys(df, keys, order, split)), list(keys), "left")
+    position = segment_of(F.col(order) - F.col("_from"), F.col("_width")) + 1
+    return placed.withColumn(SEGMENT, F.coalesce(position, F.lit(0))).drop("_from", "_width")
 
 
 def segment_of(order: Column, width: int | Column) -> Column:
@@ -125,10 +125,6 @@ def segment_of(order: Column, width: int | Column) -> Column:
     return F.call_function("div", order.cast("bigint"), length)
 
 
-def _segment(order: str) -> Column:
-    return segment_of(F.col(order) - F.col("_from"), F.col("_width"))
-
-
 def _in(alias: str) -> str:
     return f"_in_{alias}"
 

@@ -218,15 +218,24 @@ def with_total_shares(rows: DataFrame) -> DataFrame:
 
 
 def change_directions(
-    samples: DataFrame, settings: Settings = Settings(), split: Split | None = SPLIT
+    samples: DataFrame,
+    settings: Settings = Settings(),
+    split: Split | None = SPLIT,
+    ordinal: str | None = None,
 ) -> DataFrame:
     """`up`, `down` or null per metric against the directly preceding poll.
 
-    Poll adjacency is judged on every poll of the application, including those at which an executor was dead.
+    Poll adjacency is judged on every poll of the application, including those at which an executor was dead. Where a
+    column already numbers the polls of an application without gaps, name it as `ordinal` to save numbering them.
     """
-    rows = with_total_shares(executor_rows(with_poll_ordinal(samples, split), settings, split, keep=["poll_ord"]))
+    numbered = with_poll_ordinal(samples, split) if ordinal is None else samples.withColumn("poll_ord", F.col(ordinal))
+    rows = with_total_shares(executor_rows(numbered, settings, split, keep=["poll_ord"]))
     paired = with_previous_adjacent(
-        rows, EXECUTOR, "poll_ord", {f"_prev_{m}": F.col(m) for m in CHANGE_METRICS}, None if split is None else ADJACENT_WIDTH
+        rows,
+        EXECUTOR,
+        "poll_ord",
+        {f"_prev_{m}": F.col(m) for m in CHANGE_METRICS},
+        None if split is None else ADJACENT_WIDTH,
     )
     return paired.select(*ROW_KEYS, *[change(F.col(f"_prev_{m}"), F.col(m)).alias(m) for m in CHANGE_METRICS])
 
@@ -235,9 +244,7 @@ def change(before: Column, now: Column) -> Column:
     return F.when(now > before, "up").when(now < before, "down")
 
 
-def process_cpu_pct(
-    samples: DataFrame, split: Split | None = SPLIT, hot: DataFrame | None = None
-) -> DataFrame:
+def process_cpu_pct(samples: DataFrame, split: Split | None = SPLIT) -> DataFrame:
     """CPU percentage from cumulative process CPU time.
 
     The wall baseline moves with every sample, the CPU baseline only with samples that have a reading (a negative
@@ -252,7 +259,6 @@ def process_cpu_pct(
         previous={"_prev_wall_ns": F.col("wall_ns")},
         last_before={"_prev_cpu_ns": reading},
         split=split,
-        hot=hot,
     )
     wall = F.col("wall_ns") - F.col("_prev_wall_ns")
     used = reading - F.col("_prev_cpu_ns")

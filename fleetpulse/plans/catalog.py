@@ -12,7 +12,7 @@ from fleetpulse.functions import health, memory, numbers, tasks, text
 from fleetpulse.operators import asof, ranking, rollups, rows as R, selection, series
 from fleetpulse.operators import history as H
 from fleetpulse.operators.joins import spread_join
-from fleetpulse.operators.ordered import SEGMENT, hot_keys, ordered_scan, poll_ordinals, with_segments
+from fleetpulse.operators.ordered import SEGMENT, ordered_scan, poll_ordinals, with_segments
 from fleetpulse.plans import derive
 from fleetpulse.plans.views import live_summary
 from fleetpulse.schemas import EXECUTOR, SAMPLES
@@ -64,9 +64,8 @@ def process_cpu_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CPU percentages; the two scans run over the same executors and axis, so they share one placement of the rows."""
     readings = derive.process_readings(derive.read_events(spark, sf_dir))
-    hot = hot_keys(readings, EXECUTOR, "sample_seq")
-    placed = with_segments(readings, EXECUTOR, "sample_seq", hot)
-    return R.process_cpu_pct(derive.process_cpu(placed, hot=hot), hot=hot).drop(SEGMENT)
+    placed = with_segments(readings, EXECUTOR, "sample_seq")
+    return R.process_cpu_pct(derive.process_cpu(placed)).drop(SEGMENT)
 
 
 def latest_of(spark: SparkSession, sf_dir: str) -> DataFrame:

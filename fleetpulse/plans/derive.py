@@ -146,11 +146,9 @@ def process_readings(events: DataFrame) -> DataFrame:
     )
 
 
-def process_cpu(readings: DataFrame, split: Split | None = SPLIT, hot: DataFrame | None = None) -> DataFrame:
+def process_cpu(readings: DataFrame, split: Split | None = SPLIT) -> DataFrame:
     """OS readings with a cumulative CPU time that is unavailable on every thirteenth."""
-    scanned = ordered_scan(
-        readings, EXECUTOR, "sample_seq", running_sum={"_total_ns": F.col("used_ns")}, split=split, hot=hot
-    )
+    scanned = ordered_scan(readings, EXECUTOR, "sample_seq", running_sum={"_total_ns": F.col("used_ns")}, split=split)
     return scanned.select(
         *EXECUTOR,
         "poll_seq",

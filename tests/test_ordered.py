@@ -63,20 +63,19 @@ def test_only_large_keys_are_cut(spark, data):
     assert hot_keys(df, ["k"], "o").count() == 0
 
 
-def test_scan_takes_null_keys_and_a_shared_hot_table(spark):
+def test_scan_takes_null_keys(spark):
     rows = [(None, 1, 5), (None, 2, 6)] + [("k", i, i) for i in range(9)]
     df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
-    hot = hot_keys(df, ["k"], "o", Split(2, 2))
-    found = ordered_scan(df, ["k"], "o", running_sum={"s": F.col("v")}, hot=hot)
+    found = ordered_scan(df, ["k"], "o", running_sum={"s": F.col("v")}, split=Split(1, 2))
     assert {(r.k, r.o): r.s for r in found.collect()} == {(None, 1): 5, (None, 2): 11, **{("k", i): i * (i + 1) // 2 for i in range(9)}}
 
 
 @pytest.mark.parametrize("split", [Split(0, 5), Split(20, 9), SPLIT])
 def test_scans_share_one_placement(spark, data, split):
     df = spark.createDataFrame(data, "k string, o bigint, v bigint")
-    hot = hot_keys(df, ["k"], "o", split)
-    first = ordered_scan(with_segments(df, ["k"], "o", hot), ["k"], "o", running_sum={"s": F.col("v")}, hot=hot)
-    both = ordered_scan(first, ["k"], "o", previous={"p": F.col("s")}, hot=hot)
+    placed = with_segments(df, ["k"], "o", split)
+    first = ordered_scan(placed, ["k"], "o", running_sum={"s": F.col("v")})
+    both = ordered_scan(first, ["k"], "o", previous={"p": F.col("s")})
     sums = {key: value[3] for key, value in expected_scan(data).items()}
     last = {}
     for key in sorted(sums):

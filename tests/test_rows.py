@@ -115,6 +115,12 @@ def test_change_needs_the_adjacent_poll(samples, split):
     assert found == {10: (None, None), 11: ("up", None), 13: (None, None), 20: (None, None), 21: ("down", None)}
 
 
+def test_change_with_polls_that_are_numbered_already(samples):
+    table = samples(*[{"poll_seq": p, "active_tasks": a} for p, a in ((1, 1), (2, 2), (4, 1), (5, 1))])
+    found = by_poll(R.change_directions(table, ordinal="poll_seq"), "active_tasks")
+    assert found == {1: None, 2: "up", 4: None, 5: None}
+
+
 def test_change_metrics_are_complete(samples):
     found = R.change_directions(samples({"poll_seq": 1}))
     assert len(R.CHANGE_METRICS) == 27 and set(R.CHANGE_METRICS) <= set(found.columns)
