@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetpulse.settings import GC_DANGER_MS, GC_PCT_UNHEALTHY, GC_WARN_MS
+from fleetpulse.settings import (
+    CARD_HEAP_DANGER_PCT,
+    CARD_HEAP_WARN_PCT,
+    CPU_DANGER_PCT,
+    CPU_WARN_PCT,
+    GC_DANGER_MS,
+    GC_PCT_UNHEALTHY,
+    GC_WARN_MS,
+    SATURATION_WARN_SHARE,
+)
 
 
 def _holds(condition: Column) -> Column:
@@ -46,8 +55,8 @@ def cell_severities(warn_pct: float, sat_warn_pct: float) -> dict[str, Column]:
     return {
         "heap_severity": severity(F.col("heap_pct"), danger=warn_pct),
         "gc_severity": severity(F.col("gc_delta_ms"), danger=GC_DANGER_MS, warn=GC_WARN_MS),
-        "saturation_severity": severity(F.col("saturation_pct"), danger=sat_warn_pct, warn=sat_warn_pct * 0.75),
-        "cpu_severity": severity(F.col("cpu_pct"), danger=50, warn=20),
+        "saturation_severity": severity(F.col("saturation_pct"), danger=sat_warn_pct, warn=sat_warn_pct * SATURATION_WARN_SHARE),
+        "cpu_severity": severity(F.col("cpu_pct"), danger=CPU_DANGER_PCT, warn=CPU_WARN_PCT),
         "failed_severity": F.when(F.col("failed_tasks") > 0, "danger").otherwise("normal"),
     }
 
@@ -56,8 +65,8 @@ def card_severities() -> dict[str, Column]:
     """Severity of the summary cards; these bounds are fixed and do not follow the user thresholds."""
     return {
         "unhealthy_severity": F.when(F.col("unhealthy") > 0, "warn").otherwise("normal"),
-        "avg_heap_severity": severity(F.col("avg_heap_pct"), warn=85),
-        "max_heap_severity": severity(F.col("max_heap_pct"), danger=90, warn=85),
+        "avg_heap_severity": severity(F.col("avg_heap_pct"), warn=CARD_HEAP_WARN_PCT),
+        "max_heap_severity": severity(F.col("max_heap_pct"), danger=CARD_HEAP_DANGER_PCT, warn=CARD_HEAP_WARN_PCT),
         "failed_severity": F.when(F.col("failed_tasks") > 0, "danger").otherwise("normal"),
         "gc_severity": severity(F.col("avg_gc_delta_ms"), danger=GC_DANGER_MS, warn=GC_WARN_MS),
     }

@@ -67,9 +67,11 @@ def newest_rows(
     )
 
 
-def latest_poll(df: DataFrame, key: str = "app_id", order: str = "poll_seq") -> DataFrame:
-    """Rows of each application's last poll."""
-    newest = df.groupBy(key).agg(F.max(order).alias(order))
+def latest_poll(
+    df: DataFrame, polls: DataFrame | None = None, key: str = "app_id", order: str = "poll_seq"
+) -> DataFrame:
+    """Rows of each application's last poll; the last one in `polls` where that is given."""
+    newest = (df if polls is None else polls).groupBy(key).agg(F.max(order).alias(order))
     return df.join(newest, [key, order], "left_semi")
 
 

@@ -18,6 +18,14 @@ from fleetpulse.settings import MEMORY_MODES
 NICE_STEPS = [1, 1.2, 1.5, 2, 2.5, 3, 4, 5, 6, 8, 10]
 
 
+# Status texts.
+NOTHING_SELECTED = "No executors selected for charts with current filters."
+NOTHING_UNHEALTHY = "No unhealthy executors with current filters."
+NOTHING_ACTIVE = "No active executors found."
+NO_HEAP_METRIC = "Executors found but heap metric is not available from the REST API (check executorMetrics)."
+STATUS = "Shown executors: %d | unhealthy: %d | heap available for %d | active tasks: %d | failed tasks: %d."
+
+
 def cpu_totals(task_ends: DataFrame) -> DataFrame:
     """CPU milliseconds per executor; nanoseconds are summed first and divided once."""
     return (
@@ -73,32 +81,14 @@ def status(
         F.coalesce(F.sum(F.when(F.col("_shown"), F.col("active_tasks"))), F.lit(0)).alias("active_tasks"),
         F.coalesce(F.sum(F.when(F.col("_shown"), F.col("failed_tasks"))), F.lit(0)).alias("failed_tasks"),
     )
-    if mode == "selected":
-        nothing = "No executors selected for charts with current filters."
-    elif only_unhealthy:
-        nothing = "No unhealthy executors with current filters."
-    else:
-        nothing = "No active executors found."
-    no_heap = "Executors found but heap metric is not available from the REST API (check executorMetrics)."
-    ok = F.concat(
-        F.lit("Shown executors: "),
-        F.col("shown"),
-        F.lit(" | unhealthy: "),
-        F.col("unhealthy"),
-        F.lit(" | heap available for "),
-        F.col("with_heap"),
-        F.lit(" | active tasks: "),
-        F.col("active_tasks"),
-        F.lit(" | failed tasks: "),
-        F.col("failed_tasks"),
-        F.lit("."),
-    )
+    nothing = NOTHING_SELECTED if mode == "selected" else NOTHING_UNHEALTHY if only_unhealthy else NOTHING_ACTIVE
+    ok = F.format_string(STATUS, *[F.col(c) for c in ["shown", "unhealthy", "with_heap", "active_tasks", "failed_tasks"]])
     empty, heapless = F.col("shown") == 0, F.col("with_heap") == 0
     return figures.withColumns(
         {
             "state": F.when(empty, "empty").when(heapless, "no_heap").otherwise("ok"),
             "level": F.when(empty, "danger").when(heapless | (F.col("unhealthy") > 0), "warn").otherwise("normal"),
-            "message": F.when(empty, nothing).when(heapless, no_heap).otherwise(ok),
+            "message": F.when(empty, nothing).when(heapless, NO_HEAP_METRIC).otherwise(ok),
         }
     )
 

@@ -14,7 +14,7 @@ from fleetpulse.operators import history as H
 from fleetpulse.operators.joins import spread_join
 from fleetpulse.operators.ordered import SEGMENT, ordered_scan, poll_ordinals, with_segments
 from fleetpulse.plans import derive
-from fleetpulse.plans.views import live_summary
+from fleetpulse.plans.views import live_summary, live_table
 from fleetpulse.schemas import EXECUTOR, SAMPLES
 from fleetpulse.settings import Settings
 from fleetpulse.sources import csv_export, events as event_sources, history_store, snapshots
@@ -69,7 +69,7 @@ def published_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.latest_poll(rows_of(spark, sf_dir))
+    return live_table(samples_of(spark, sf_dir), split=PER_KEY)
 
 
 def history_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,8 +543,7 @@ def _(spark, sf_dir):
 @query("d10_selection_state")
 def _(spark, sf_dir):
     samples = samples_of(spark, sf_dir)
-    visible = ranking.latest_poll(R.executor_rows(samples, split=PER_KEY))
-    return selection.selection_state(visible, selected_of(samples))
+    return selection.selection_state(live_table(samples, split=PER_KEY), selected_of(samples))
 
 
 @query("d11_record_count")

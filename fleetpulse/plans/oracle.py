@@ -292,7 +292,7 @@ _CARDS = """count(*) AS executors, CAST(count_if(is_unhealthy) AS BIGINT) AS unh
   coalesce(sum(jvm_off_heap_mb), 0) AS jvm_off_heap_mb, coalesce(sum(off_heap_unified_mb), 0) AS off_heap_unified_mb,
   coalesce(sum(total_memory_mb), 0) AS total_memory_mb, max(on_heap_unified_mb) AS max_on_heap_unified_mb"""
 
-_LATEST = "(app_id, poll_seq) IN (SELECT (app_id, max(poll_seq)) FROM executor_rows GROUP BY app_id)"
+_LATEST = "(app_id, poll_seq) IN (SELECT (app_id, max(poll_seq)) FROM executor_samples GROUP BY app_id)"
 
 _add("live_summary", ROWS, f"SELECT app_id, {_CARDS} FROM executor_rows WHERE {_LATEST} GROUP BY app_id")
 

@@ -21,8 +21,11 @@ def live_table(
     only_unhealthy: bool = False,
     split: Split | None = SPLIT,
 ) -> DataFrame:
-    """Rows of each application's newest poll that pass the unhealthy filter and the selection."""
-    rows = latest_poll(executor_rows(samples, settings, split))
+    """Live rows of each application's newest poll that pass the unhealthy filter and the selection.
+
+    An application whose executors were all dead at its newest poll has no rows.
+    """
+    rows = latest_poll(executor_rows(samples, settings, split), polls=samples)
     if only_unhealthy:
         rows = rows.filter("is_unhealthy")
     return rows if selected is None else apply_selection(rows, selected)

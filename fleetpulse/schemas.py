@@ -1,4 +1,7 @@
-"""Fixed schemas of the tables this library reads and writes; none is inferred."""
+"""Fixed schemas of the tables this library reads and writes; none is inferred.
+
+Fixed values: the JSON field names, and the names and order of the history columns.
+"""
 
 from __future__ import annotations
 

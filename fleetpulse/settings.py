@@ -20,6 +20,11 @@ GC_WARN_MS = 500
 GC_DANGER_MS = 2000
 GC_PCT_UNHEALTHY = 10.0
 TOP_OFFENDERS = 3
+CPU_WARN_PCT = 20.0
+CPU_DANGER_PCT = 50.0
+SATURATION_WARN_SHARE = 0.75  # of the danger threshold
+CARD_HEAP_WARN_PCT = 85.0
+CARD_HEAP_DANGER_PCT = 90.0
 
 MEMORY_MODES = ("rss", "estimated")
 

@@ -8,6 +8,8 @@ event time has passed its newest sample by `idle_ms`; event time is used so that
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +22,9 @@ from fleetpulse.operators.rows import active_only, flatten
 from fleetpulse.schemas import EXECUTOR
 from fleetpulse.settings import MIN_CPU_ELAPSED_MS, Settings
 
+# PySpark itself joins an empty frame to the state of every new key, which pandas warns about once per key.
+warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty", category=FutureWarning)
+
 IDLE_MS = 24 * 60 * 60 * 1000
 LATE = "1 hour"
 

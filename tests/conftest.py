@@ -10,8 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from fleetpulse.operators.ordered import SPLIT, Split  # noqa: E402
 from fleetpulse.schemas import SAMPLES  # noqa: E402
 
-# Plain windows, every key cut into tiny segments, only larger keys cut, and the default.
-SPLITS = [None, Split(0, 1), Split(0, 3), Split(3, 2), SPLIT]
+# Plain windows, every key cut into single rows, only larger keys cut, and the default.
+SPLITS = [None, Split(0, 1), Split(3, 2), SPLIT]
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -22,6 +22,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .appName("fleetpulse-tests")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Results must not depend on the session's time zone.
         .config("spark.sql.session.timeZone", "America/New_York")
         .config("spark.ui.enabled", "false")

@@ -48,6 +48,10 @@ def test_live_table_filters(samples, spark):
     assert ids(live_table(table, selected=selected, only_unhealthy=True)) == []
 
 
+def test_no_rows_once_all_executors_are_dead(samples):
+    assert live_table(samples({"poll_seq": 1}, {"poll_seq": 2, "is_active": False})).count() == 0
+
+
 def test_status_states(samples):
     rows = R.executor_rows(samples({"poll_seq": 1, "peak_jvm_heap": 5, "active_tasks": 2}, {"poll_seq": 1, "executor_id": "2", "failed_tasks": 4}))
     one = lambda *a, **k: rollups.status(rows, *a, **k).first()
