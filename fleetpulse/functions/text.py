@@ -31,11 +31,6 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(runs, keyed), "")
 
 
-def series_rank(executor_id: Column) -> list[Column]:
-    """Order of chart series: the driver first, then natural order."""
-    return [executor_id != "driver", natural_key(executor_id), executor_id]
-
-
 def fixed_text(value: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", fixed(value, digits))
 

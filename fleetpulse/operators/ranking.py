@@ -23,6 +23,8 @@ OFFENDER_METRICS = [
     "shuffle_read_mb",
 ]
 
+NATURAL = "_natural"
+
 # Fixed value: sortable table columns that hold text; all others sort as numbers.
 TEXT_SORT_KEYS = ("executor_id", "host", "metric_source", "total_memory_source", "cpu_source")
 
@@ -88,12 +90,18 @@ def last_polls(df: DataFrame, points: int, key: str = "app_id", order: str = "po
 
 def top_offenders(rows: DataFrame, group: Sequence[str] = ("app_id",), limit: int = TOP_OFFENDERS) -> DataFrame:
     """Highest executors per offender metric; rows without a value are left out, ties go by natural id."""
-    wide = rows.select(*group, "executor_id", "host", *[F.col(m).cast("double").alias(m) for m in OFFENDER_METRICS])
-    tall = wide.unpivot([*group, "executor_id", "host"], OFFENDER_METRICS, "metric", "value").filter(
-        F.col("value").isNotNull()
+    # The natural key is computed once per row, not once per comparison of the sort.
+    wide = rows.select(
+        *group,
+        "executor_id",
+        "host",
+        natural_key(F.col("executor_id")).alias(NATURAL),
+        *[F.col(m).cast("double").alias(m) for m in OFFENDER_METRICS],
     )
-    order = [F.desc("value"), natural_key(F.col("executor_id")), F.col("executor_id")]
-    return top_per_group(tall, [*group, "metric"], order, limit, rank="rank")
+    kept = [*group, "executor_id", "host", NATURAL]
+    tall = wide.unpivot(kept, OFFENDER_METRICS, "metric", "value").filter(F.col("value").isNotNull())
+    order = [F.desc("value"), F.col(NATURAL), F.col("executor_id")]
+    return top_per_group(tall, [*group, "metric"], order, limit, rank="rank").drop(NATURAL)
 
 
 def default_direction(key: str) -> str:
@@ -107,14 +115,18 @@ def sort_rows(rows: DataFrame, key: str = "heap_pct", direction: str | None = No
     if direction not in ("asc", "desc"):
         raise ValueError(f"direction must be 'asc' or 'desc', got {direction!r}")
     value = natural_key(F.nullif(F.col(key), F.lit(""))) if key in TEXT_SORT_KEYS else F.col(key)
-    first = value.asc_nulls_last() if direction == "asc" else value.desc_nulls_last()
-    return rows.orderBy(first, natural_key(F.col("executor_id")), "executor_id")
+    keyed = rows.withColumns({"_value": value, NATURAL: natural_key(F.col("executor_id"))})
+    first = F.col("_value").asc_nulls_last() if direction == "asc" else F.col("_value").desc_nulls_last()
+    return keyed.orderBy(first, NATURAL, "executor_id").drop("_value", NATURAL)
+
+
+def sort_series(found: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Order of chart series inside each `within` group: the driver first, then natural order."""
+    keyed = found.withColumn(NATURAL, natural_key(F.col("executor_id")))
+    return keyed.orderBy(*within, F.col("executor_id") != "driver", NATURAL, "executor_id").drop(NATURAL)
 
 
 def top_rows(rows: DataFrame, metric: str, limit: int) -> DataFrame:
     """Highest rows of one metric over the whole input."""
-    return (
-        rows.filter(F.col(metric).isNotNull())
-        .orderBy(F.desc(metric), natural_key(F.col("executor_id")), "executor_id", "app_id")
-        .limit(limit)
-    )
+    keyed = rows.filter(F.col(metric).isNotNull()).withColumn(NATURAL, natural_key(F.col("executor_id")))
+    return keyed.orderBy(F.desc(metric), NATURAL, "executor_id", "app_id").limit(limit).drop(NATURAL)

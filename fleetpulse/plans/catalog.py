@@ -618,8 +618,7 @@ def _(spark, sf_dir):
 
 @query("o02_visible_series")
 def _(spark, sf_dir):
-    found = series.visible_series(grid_of(spark, sf_dir))
-    return found.orderBy("app_id", "metric", *text.series_rank(F.col("executor_id")))
+    return ranking.sort_series(series.visible_series(grid_of(spark, sf_dir)), ["app_id", "metric"])
 
 
 @query("o03_top_rows")

@@ -155,3 +155,9 @@ def test_selection(spark, samples):
         selection.apply_selection(rows, pick(("app", "2")), "none")
     state = {r.app_id: tuple(r)[1:] for r in selection.selection_state(rows, pick(("app", "2"), ("app", "77"), ("b", "1"), ("c", "1"))).collect()}
     assert state == {"app": (2, 2, 1, "some"), "b": (1, 1, 1, "all"), "c": (1, 0, 0, "none")}
+
+
+def test_series_order_starts_with_the_driver(spark):
+    ids = [("10", "m"), ("2", "m"), ("driver", "m"), ("abc", "m"), ("1", "k")]
+    df = spark.createDataFrame(ids, "executor_id string, metric string")
+    assert [r.executor_id for r in ranking.sort_series(df, ["metric"]).collect()] == ["1", "driver", "2", "10", "abc"]
