@@ -55,7 +55,9 @@ def cell_severities(warn_pct: float, sat_warn_pct: float) -> dict[str, Column]:
     return {
         "heap_severity": severity(F.col("heap_pct"), danger=warn_pct),
         "gc_severity": severity(F.col("gc_delta_ms"), danger=GC_DANGER_MS, warn=GC_WARN_MS),
-        "saturation_severity": severity(F.col("saturation_pct"), danger=sat_warn_pct, warn=sat_warn_pct * SATURATION_WARN_SHARE),
+        "saturation_severity": severity(
+            F.col("saturation_pct"), danger=sat_warn_pct, warn=sat_warn_pct * SATURATION_WARN_SHARE
+        ),
         "cpu_severity": severity(F.col("cpu_pct"), danger=CPU_DANGER_PCT, warn=CPU_WARN_PCT),
         "failed_severity": F.when(F.col("failed_tasks") > 0, "danger").otherwise("normal"),
     }

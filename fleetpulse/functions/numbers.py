@@ -63,15 +63,15 @@ def round_half_up(value: Column) -> Column:
 
 
 def plain_number_text(value: Column) -> Column:
-    """Shortest decimal text of a double: no fraction on whole numbers, exponent form only from 1e21 up or below 1e-6."""
+    """Shortest decimal text: no fraction on whole numbers, exponent form only from 1e21 up or below 1e-6."""
     return place_digits(value.cast("double").cast("string"))
 
 
 def place_digits(text: Column) -> Column:
     """The same from Spark's own double text, which uses exponent form outside [1e-3, 1e7).
 
-    The digits are re-placed around the point. (Before Java 19 that text can carry a surplus digit from 1e16 up.) `text` is used many times: pass a column, not an expression, in hot
-    paths.
+    The digits are re-placed around the point. (Before Java 19 that text can carry a surplus digit from 1e16 up.)
+    `text` is used many times: pass a column, not an expression, in hot paths.
     """
     exponent = F.coalesce(F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
     mantissa = F.regexp_extract(text, "^-?([0-9]+(?:[.][0-9]*[1-9])?)", 1)
@@ -79,7 +79,9 @@ def place_digits(text: Column) -> Column:
     shift = exponent + 1
     large = F.concat(
         F.rpad(F.substring(digits, F.lit(1), shift), shift, "0"),
-        F.when(F.length(digits) > shift, F.concat(F.lit("."), F.substring(digits, shift + 1, F.length(digits)))).otherwise(""),
+        F.when(
+            F.length(digits) > shift, F.concat(F.lit("."), F.substring(digits, shift + 1, F.length(digits)))
+        ).otherwise(""),
     )
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
     scientific = F.concat(mantissa, F.when(exponent > 0, "e+").otherwise("e-"), F.abs(exponent).cast("string"))

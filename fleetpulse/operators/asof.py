@@ -67,7 +67,8 @@ def attach_cpu_totals(polls: DataFrame, totals: DataFrame) -> DataFrame:
 def _one_axis(polls: DataFrame, events: DataFrame, poll_time: str) -> DataFrame:
     """Both sides on one integer axis; an event's position is even and a poll's is the odd one behind it."""
     marked = polls.withColumn("_position", F.col(poll_time) * 2 + 1)
-    return marked.unionByName(events.withColumn("_position", F.col("_time") * 2).drop("_time"), allowMissingColumns=True)
+    placed = events.withColumn("_position", F.col("_time") * 2).drop("_time")
+    return marked.unionByName(placed, allowMissingColumns=True)
 
 
 def _polls_only(scanned: DataFrame, polls: DataFrame, added: dict[str, Column]) -> DataFrame:

@@ -207,7 +207,10 @@ def range_info(history: DataFrame, in_view: DataFrame) -> DataFrame:
     total = history.groupBy("appId").agg(F.count(F.lit(1)).alias("total_rows"))
     zero = F.lit(0)
     return total.join(view, "appId", "left").select(
-        "appId", F.coalesce("samples", zero).alias("samples"), F.coalesce("executors", zero).alias("executors"), "total_rows"
+        "appId",
+        F.coalesce("samples", zero).alias("samples"),
+        F.coalesce("executors", zero).alias("executors"),
+        "total_rows",
     )
 
 

@@ -103,7 +103,8 @@ def ordered_scan(
     # keys are read for the summaries.
     cut = rows.filter(F.col(SEGMENT) > 0)
     inherited = _inherited(cut, keys, order, ties, previous, {**last_before, **last_up_to}, running_sum, running_max)
-    joined = rows.withColumns({**local, "_row": F.row_number().over(row_window)}).join(inherited, [*keys, SEGMENT], "left")
+    windowed = rows.withColumns({**local, "_row": F.row_number().over(row_window)})
+    joined = windowed.join(inherited, [*keys, SEGMENT], "left")
 
     merged = {a: F.when(F.col("_row") == 1, F.col(_in(a))).otherwise(F.col(a)) for a in previous}
     merged |= {a: F.coalesce(F.col(a), F.col(_in(a))) for a in [*last_before, *last_up_to]}

@@ -29,7 +29,9 @@ NATURAL = "_natural"
 TEXT_SORT_KEYS = ("executor_id", "host", "metric_source", "total_memory_source", "cpu_source")
 
 
-def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
+def top_per_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None
+) -> DataFrame:
     """First `n` rows of each group.
 
     Spark turns the bounded row number into a group limit that runs before the shuffle as well, so at most `n` rows

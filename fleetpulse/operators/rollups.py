@@ -82,7 +82,7 @@ def status(
         F.coalesce(F.sum(F.when(F.col("_shown"), F.col("failed_tasks"))), F.lit(0)).alias("failed_tasks"),
     )
     nothing = NOTHING_SELECTED if mode == "selected" else NOTHING_UNHEALTHY if only_unhealthy else NOTHING_ACTIVE
-    ok = F.format_string(STATUS, *[F.col(c) for c in ["shown", "unhealthy", "with_heap", "active_tasks", "failed_tasks"]])
+    ok = F.format_string(STATUS, "shown", "unhealthy", "with_heap", "active_tasks", "failed_tasks")
     empty, heapless = F.col("shown") == 0, F.col("with_heap") == 0
     return figures.withColumns(
         {

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions import health, memory, tasks, text
 from fleetpulse.functions.numbers import mb, percent
-from fleetpulse.operators.ordered import ADJACENT_WIDTH, SPLIT, Split, ordered_scan, with_poll_ordinal, with_previous_adjacent
+from fleetpulse.operators.ordered import (
+    ADJACENT_WIDTH,
+    SPLIT,
+    Split,
+    ordered_scan,
+    with_poll_ordinal,
+    with_previous_adjacent,
+)
 from fleetpulse.schemas import EXECUTOR
 from fleetpulse.settings import MIN_CPU_ELAPSED_MS, Settings
 

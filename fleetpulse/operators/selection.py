@@ -13,7 +13,9 @@ from fleetpulse.schemas import EXECUTOR
 MODES = ("all", "selected")
 
 
-def apply_selection(rows: DataFrame, selected: DataFrame, mode: str = "selected", on: Sequence[str] = EXECUTOR) -> DataFrame:
+def apply_selection(
+    rows: DataFrame, selected: DataFrame, mode: str = "selected", on: Sequence[str] = EXECUTOR
+) -> DataFrame:
     """Rows of the selected executors; mode `all` keeps every row. `selected` is a table of ids, not a driver list."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")

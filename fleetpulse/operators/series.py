@@ -204,7 +204,8 @@ def nearest_points(bands: DataFrame, axis_points: DataFrame, probes: DataFrame)
     index = F.when(last <= 0, F.lit(0).cast("bigint")).otherwise(
         F.greatest(F.lit(0).cast("bigint"), F.least(last, F.floor(F.col("x") * last + F.lit(0.5))))
     )
-    located = spread_join(probes, axis_points, ["app_id"], spread=["x"]).select("app_id", "x", (index + 1).alias("poll_ord"))
+    sized = spread_join(probes, axis_points, ["app_id"], spread=["x"])
+    located = sized.select("app_id", "x", (index + 1).alias("poll_ord"))
     label = F.concat(short_id(F.col("executor_id")), F.lit(" ("), F.col("series"), F.lit(")"))
     value = F.col("upper") - F.coalesce("base", F.lit(0.0))
     return (

@@ -89,8 +89,6 @@ published AS (
       last_value(cpu_ns IGNORE NULLS) OVER (PARTITION BY app_id, executor_id ORDER BY sample_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_cpu
     FROM process_cpu WINDOW w AS (PARTITION BY app_id, executor_id ORDER BY sample_seq)))"""
 
-_MB = "CAST({0} AS DOUBLE) / 1048576"
-
 ROWS = (
     SAMPLES
     + """,
@@ -162,7 +160,6 @@ history AS (
     wall_ms AS wall
   FROM executor_rows))"""
 )
-_HISTORY_COLUMNS = "* EXCLUDE (wall)"
 
 KEPT = (
     HISTORY
@@ -368,7 +365,7 @@ _add(
     SAMPLES,
     f"SELECT app_id, poll_seq, executor_id, {_json_object(_members)} AS value FROM executor_samples",
 )
-_add("s05_history_records", HISTORY, f"SELECT {_HISTORY_COLUMNS} FROM history")
+_add("s05_history_records", HISTORY, "SELECT * EXCLUDE (wall) FROM history")
 _add("s06_history_restore", KEPT, "SELECT * FROM kept")
 _add(
     "s07_persisted_tail",

@@ -61,11 +61,8 @@ TASK_END_JSON = _struct(
     METRICS=_struct("Executor CPU Time bigint"),
 )
 
-TASK_ENDS = _struct("app_id string, executor_id string, event_seq bigint, cpu_ns bigint")
-
 # One published per-executor CPU percentage.
 PROCESS_SAMPLE_JSON = _struct("appId string, executorId string, sampleSeq bigint, cpuPct double")
-PROCESS_SAMPLES = _struct("app_id string, executor_id string, sample_seq bigint, cpu_pct double")
 
 # Raw OS readings from which the percentage is derived.
 PROCESS_CPU = _struct(

@@ -13,7 +13,6 @@ LIVE_WINDOW_POINTS = 120
 RETENTION_MS = 60 * 60 * 1000
 HISTORY_MAX_ROWS = 20000
 PERSIST_MAX_ROWS = 500
-VIEW_RANGE_MINUTES = (5, 15, 30, 60)
 MIN_CPU_ELAPSED_MS = 100
 SERIES_CPU_CLIP = 200.0
 GC_WARN_MS = 500

@@ -45,8 +45,8 @@ def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS, late: str = LATE)
         task_capacity(F.col("max_tasks"), F.col("total_cores")).cast("double").alias("_capacity"),
         F.timestamp_millis("wall_ms").alias("_ts"),
     )
-    kept = [T.StructField(f.name, T.DoubleType() if _is_long(f) and f.name != "poll_seq" else f.dataType) for f in fields]
-    output = T.StructType(kept).add("gc_delta_ms", "double").add("cpu_pct", "double").add("cpu_source", "string")
+    output = T.StructType([live.schema[f.name] for f in fields])
+    output = output.add("gc_delta_ms", "double").add("cpu_pct", "double").add("cpu_source", "string")
     columns = [f.name for f in output.fields]
 
     def advance(key, frames, state: GroupState):

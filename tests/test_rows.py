@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from fleetpulse import Settings
 from fleetpulse.operators import asof, rows as R
