@@ -19,7 +19,7 @@ from fleetpulse.llm import words as W
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-MAX_CACHED = 600_000
+MAX_CACHED = 400_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 

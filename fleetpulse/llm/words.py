@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # texts are scanned in runs of about this size, which bounds memory
+CHUNK_BYTES = 1 << 20  # texts are scanned in runs of about this size, which bounds memory
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -114,11 +114,11 @@ def chunks(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Iterat
         at = end
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Scan:
-    """The words of one run of texts; `lower` folds A-Z."""
+def scan(data: np.ndarray, offsets: np.ndarray, lower: bool, inside: np.ndarray = ~_SPACE) -> Scan:
+    """The words of one run of texts; `lower` folds A-Z, `inside` marks the bytes that words are made of."""
     if lower:
         data = _LOWER[data]
-    word = ~_SPACE[data]
+    word = inside[data]
     full = offsets[:-1] < offsets[1:]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
@@ -130,9 +130,9 @@ def scan(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Scan:
     return Scan(data, offsets, start, end, np.searchsorted(start, offsets), runs, runs.of(start, end))
 
 
-def scans(texts: pa.Array | pa.ChunkedArray, lower: bool) -> Iterator[tuple[int, int, Scan]]:
+def scans(texts: pa.Array | pa.ChunkedArray, lower: bool, inside: np.ndarray = ~_SPACE) -> Iterator[tuple[int, int, Scan]]:
     for at, end, data, offsets in chunks(texts):
-        yield at, end, scan(data, offsets, lower)
+        yield at, end, scan(data, offsets, lower, inside)
 
 
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> Iterator[np.ndarray]:
@@ -146,9 +146,9 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> Iterator[np.ndarr
             if n >= k:
                 yield np.unique(grams[bounds[t] : bounds[t + 1]])
             elif n:
-                h = np.uint64(n)
+                h = np.array([n], np.uint64)
                 for word in s.hashes[s.bounds[t] : s.bounds[t + 1]]:
-                    h = mix(np.array([h * _STEPS[0] + word], np.uint64))[0]
-                yield np.array([h], np.uint64)
+                    h = mix(h * _STEPS[0] + word)
+                yield h
             else:
                 yield np.zeros(0, np.uint64)
