@@ -33,7 +33,6 @@ from fleetpulse.llm.tables import materialize
 SHINGLE = 4
 PERCENT = 85
 REGION = 32
-LOW_SHARE = 0.25
 
 SIGNATURE = "doc_id long, rid long, n long, cls long, low binary"
 POSTING = "k long, kind int, cls long, n long"
@@ -268,16 +267,23 @@ def crowded_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return links, pairs
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, region: int = REGION, low_share: float = LOW_SHARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text, any others).
+def row_id() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
+    """(doc_id, n_shingles, component_id, rid, first_rid) of every row of `docs` (doc_id, text, any others).
 
     Words are runs of characters other than ASCII white space, A-Z folded. Sets link when their Jaccard similarity is at
     least `percent` %. component_id is the smallest doc_id that can be reached by links. A null text counts as empty; texts
     without words have no shingles and no links, and their own id as component. Repeated rows are in one component; rows with
-    a null id link like others but never name a component. An empty table gives no rows.
+    a null id link like others but never name a component. An empty table gives no rows. `rid` is a hash of id and text, and
+    `first_rid` that of the row that stands for the group.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("rid", row_id())
+    # Of the shingles below this share of the hash range, most sets have well over as many as a link may leave out.
+    low_share = (100 - percent) / 60
     signed = materialize(signatures(docs, k, low_share), "signatures")
     classes = signed.where("cls IS NOT NULL").select("cls", "n", "rid", "low").dropDuplicates(["cls"])
     counted = materialize(region_pairs(postings(classes, region), region, percent), "regions")
@@ -308,9 +314,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     links = links.unionByName(pivot_links).unionByName(verified(pairs, sets, percent))
     roots = components(links)
 
-    names = signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("name"))
-    named = names.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    first = named.groupBy("root").agg(F.min("name").alias("component_id"))
-    of_class = named.join(first, "root").select(F.col("cls").alias("_cls"), "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(of_class, F.col("cls") == F.col("_cls"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # The row that stands for a group: the smallest id, nulls last, then the row's hash.
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("first")
+    firsts = signed.where("cls IS NOT NULL").groupBy("cls").agg(place)
+    named = firsts.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    best = named.groupBy("root").agg(F.min("first").alias("best"))
+    of_class = named.join(best, "root").select(F.col("cls").alias("_cls"), "best")
+    out = signed.select("doc_id", "rid", F.col("n").alias("n_shingles"), "cls").join(of_class, F.col("cls") == F.col("_cls"), "left")
+    alone = F.col("cls").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id")
+    first = F.when(alone, F.col("rid")).otherwise(F.col("best.rid")).alias("first_rid")
+    return out.select("doc_id", "n_shingles", component, "rid", first)
+
+
+def first_of_groups(docs: DataFrame, **parameters) -> DataFrame:
+    """One row of each group of `near_duplicates`, whole: that of the smallest doc_id. Texts without words all stay; rows that
+    repeat both id and text are one."""
+    kept = near_duplicates(docs, **parameters).where("rid = first_rid").select(F.col("rid").alias("_rid"))
+    keyed = docs.withColumn("_rid", row_id())
+    return keyed.join(kept.distinct(), "_rid", "left_semi").dropDuplicates(["_rid"]).select(*docs.columns)

@@ -28,7 +28,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 @query
@@ -63,7 +64,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query

@@ -39,6 +39,7 @@ FEATURES = (
     "n_words hit_rate hits distinct_hits densest_run near_second second_rate capital_rate shouted_rate exclamations "
     "questions punctuation symbols mixed_words repeated_letters"
 ).split()
+INPUTS = [f"_f_{name}" for name in FEATURES]
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -99,9 +100,9 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> np.ndarray:
 
 
 def features(docs: DataFrame, lexicon: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """FEATURES of every row of `docs`, computed from `text` alone, and its columns `keep` (long or boolean)."""
+    """FEATURES of every row of `docs`, computed from `text` alone, and its columns `keep`."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{f} double" for f in FEATURES])
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{f} double" for f in INPUTS])
     one = [W.scan(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), True).hashes[0] for w in SECOND_PERSON]
     second = np.array(sorted(one), np.uint64)
 
@@ -167,58 +168,60 @@ def features(docs: DataFrame, lexicon: np.ndarray, keep: tuple[str, ...] = ()) -
                 parts.append(of(data, W.scan(data, offsets, lower=True, inside=_INSIDE)))
             if parts:
                 columns = [batch.column(k) for k in keep] + [pa.array(np.concatenate(c).astype(float)) for c in zip(*parts)]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, *FEATURES])
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *INPUTS])
 
-    return docs.select("text", *keep).mapInArrow(measure, schema)
+    return docs.select(*dict.fromkeys(("text", *keep))).mapInArrow(measure, schema)
 
 
 def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def score(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """Adds held_out, score (0 to 1) and predicted to the doc_id of every row of `docs` (doc_id, text, any others).
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """The columns `keep` of every row of `docs` (doc_id, text, any others), and held_out, score (0 to 1) and predicted.
 
     `labels` has doc_id and toxic (0, 1; others are ignored). At most `training_rows` labelled ids outside fold 0 are used,
     chosen by hash: folds 1 and 2 teach the lexicon, 1 to 3 the trees, 4 the calibration. Ids only choose folds; a
     score depends on the text alone, so equal texts get equal scores. Null and empty texts are scored as texts of no words.
     Without labels of both kinds every score is the share of toxic ones (0 without labels). A null id is not held out.
+    Kept columns with the name of an added one are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("label"))
-    known = known.withColumn("fold", fold("_id")).where("fold <> 0").orderBy(F.xxhash64("_id"), "_id").limit(training_rows)
-    chosen = known.collect()  # at most training_rows pairs of numbers
+    keep = tuple(k for k in keep if k not in ("held_out", "score", "predicted"))
     held_out = F.coalesce(fold() == 0, F.lit(False))
-    toxic = sum(r.label for r in chosen)
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_label"))
+    known = known.withColumn("_fold", fold("_id")).where("_fold <> 0").orderBy(F.xxhash64("_id"), "_id").limit(training_rows)
+    chosen = known.collect()  # at most training_rows pairs of numbers
+    toxic = sum(r._label for r in chosen)
     if toxic in (0, len(chosen)):
         share = toxic / max(len(chosen), 1)
-        out = docs.select("doc_id", held_out.alias("held_out"), F.lit(float(share)).alias("score"))
+        out = docs.select(*keep, held_out.alias("held_out"), F.lit(float(share)).alias("score"))
         return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    sample = spark.createDataFrame([(r._id, int(r.label), int(r.fold)) for r in chosen], "_id long, label long, fold long")
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    sample = spark.createDataFrame([(r._id, int(r._label), int(r._fold)) for r in chosen], "_id long, label long, fold long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
     lexicon = learn_lexicon(rows.where("fold <= 2"))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    assembler = VectorAssembler(inputCols=INPUTS, outputCol="_features")
     # At most training_rows rows of a few numbers: many small jobs read them, so they are kept in few partitions.
     measured = materialize(features(rows, lexicon, ("label", "fold")), "toxicity").coalesce(4)
-    training = assembler.transform(measured).select("label", "fold", "features").cache()
-    trees = GBTClassifier(labelCol="label", maxIter=20, maxDepth=4, maxBins=64, minInstancesPerNode=5, stepSize=0.2, seed=11)
-    both = training.where("fold <= 3").groupBy("label").count().count() == 2
+    training = assembler.transform(measured).select("label", "fold", "_features").cache()
+    trees = GBTClassifier(
+        labelCol="label", featuresCol="_features", predictionCol="_class", maxIter=20, maxDepth=4, maxBins=64, minInstancesPerNode=5, stepSize=0.2, seed=11
+    )
+    trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_chances")
+    both = training.where("fold <= 3").select("label").distinct().count() == 2
     model = trees.fit(training.where("fold <= 3") if both else training)
-    margin = vector_to_array("rawPrediction")[1]
-    calibration = training.where("fold = 4") if both else training
-    raw = model.transform(calibration).select("label", margin.alias("margin"))
-    calibrated = IsotonicRegression(labelCol="label", featuresCol="margin", predictionCol="chance").fit(raw) if raw.head(1) else None
+    margin = vector_to_array("_raw")[1]
+    calibration = model.transform(training.where("fold = 4") if both else training).select("label", margin.alias("_margin"))
+    steps = IsotonicRegression(labelCol="label", featuresCol="_margin", predictionCol="_chance")
+    calibrated = steps.fit(calibration) if calibration.head(1) else None
     training.unpersist()
-    scored = docs.withColumn("held_out", held_out)
-    scored = model.transform(assembler.transform(features(scored, lexicon, ("doc_id", "held_out"))))
-    scored = scored.select("doc_id", "held_out", margin.alias("margin"))
-    if calibrated is not None:
-        scored = calibrated.transform(scored)
-    else:
-        scored = scored.withColumn("chance", 1 / (1 + F.exp(-2 * F.col("margin"))))
+    marked = docs.withColumn("held_out", held_out).withColumn("text", F.col("text").cast("string"))
+    scored = model.transform(assembler.transform(features(marked, lexicon, (*keep, "held_out"))))
+    scored = scored.select(*keep, "held_out", margin.alias("_margin"))
+    order = 1 / (1 + F.exp(-2 * F.col("_margin")))
+    scored = calibrated.transform(scored) if calibrated is not None else scored.withColumn("_chance", order)
+    chance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_chance")))
     # Among texts that calibration puts on one step, the margin keeps its order.
-    chance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("chance")))
-    order = 1 / (1 + F.exp(-2 * F.col("margin")))
-    value = F.when(chance >= 0.5, F.greatest(F.lit(0.5), 0.98 * chance + 0.02 * order)).otherwise(F.least(F.lit(0.4999), 0.98 * chance + 0.02 * order))
-    return scored.select("doc_id", "held_out", value.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    value = 0.98 * chance + 0.02 * order
+    value = F.when(chance >= 0.5, F.greatest(F.lit(0.5), value)).otherwise(F.least(F.lit(0.4999), value))
+    return scored.select(*keep, "held_out", value.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
