@@ -64,6 +64,14 @@ def attach_cpu_totals(polls: DataFrame, totals: DataFrame) -> DataFrame:
     return polls.join(totals, EXECUTOR, "left").withColumn("cpu_time_ms", F.coalesce("cpu_time_ms", F.lit(0)))
 
 
+def enriched(
+    samples: DataFrame, task_ends: DataFrame, cpu_samples: DataFrame, split: Split | None = SPLIT
+) -> DataFrame:
+    """Samples with `cpu_time_ms` and `os_cpu_pct` as they stood at each poll; both replace what the samples hold."""
+    bare = samples.drop("cpu_time_ms", "os_cpu_pct")
+    return process_cpu_as_of(cpu_time_as_of(bare, task_ends, split=split), cpu_samples, split=split)
+
+
 def _one_axis(polls: DataFrame, events: DataFrame, poll_time: str) -> DataFrame:
     """Both sides on one integer axis; an event's position is even and a poll's is the odd one behind it."""
     marked = polls.withColumn("_position", F.col(poll_time) * 2 + 1)

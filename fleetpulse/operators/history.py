@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions import memory
 from fleetpulse.functions.numbers import percent
 from fleetpulse.operators.joins import spread_join
+from fleetpulse.operators.ordered import ordered_scan
 from fleetpulse.operators.ranking import newest_rows, top_per_group
 from fleetpulse.operators.rows import with_health
 from fleetpulse.operators.series import SERIES
 from fleetpulse.schemas import HISTORY
-from fleetpulse.settings import HISTORY_MAX_ROWS, PERSIST_MAX_ROWS, RETENTION_MS, Settings
+from fleetpulse.settings import PERSIST_MAX_ROWS, RETENTION_MS, Settings
 
 HISTORY_EXECUTOR = ["appId", "executor"]
 
@@ -127,10 +128,27 @@ def within_retention(history: DataFrame, now_ms: int, max_age_ms: int = RETENTIO
 
 
 def bounded(
-    history: DataFrame, now_ms: int, max_rows: int = HISTORY_MAX_ROWS, max_age_ms: int = RETENTION_MS
+    history: DataFrame, now_ms: int, max_rows: int | None = None, max_age_ms: int | None = None
 ) -> DataFrame:
-    """Retention by age first, then the newest `max_rows` rows of each application in insertion order."""
-    return _newest(within_retention(history, now_ms, max_age_ms), max_rows)
+    """Retention by age first, then the newest `max_rows` rows of each application in insertion order.
+
+    None sets no bound; `HISTORY_MAX_ROWS` and `RETENTION_MS` are the bounds of a session's own memory.
+    """
+    kept = history if max_age_ms is None else within_retention(history, now_ms, max_age_ms)
+    return kept if max_rows is None else _newest(kept, max_rows)
+
+
+def bounded_by_own_clock(
+    history: DataFrame, max_rows: int | None = None, max_age_ms: int | None = None
+) -> DataFrame:
+    """The same bounds where the present of each application is the newest time it has recorded itself."""
+    kept = history
+    if max_age_ms is not None:
+        clocks = history.groupBy(F.col("appId").alias("_app")).agg(F.max("timeMs").alias("_now"))
+        dated = spread_join(history, clocks.withColumnRenamed("_app", "appId"), ["appId"], spread=["executor", "pollSeq"])
+        fresh = F.col("timeMs").isNull() | (F.col("timeMs") >= F.col("_now") - F.lit(max_age_ms))
+        kept = dated.filter(fresh).select(*history.columns)
+    return kept if max_rows is None else _newest(kept, max_rows)
 
 
 def persisted_tail(history: DataFrame, max_rows: int = PERSIST_MAX_ROWS) -> DataFrame:
@@ -217,9 +235,8 @@ def range_info(history: DataFrame, in_view: DataFrame) -> DataFrame:
 def history_grid(in_view: DataFrame) -> DataFrame:
     """Gap-filled series of a range view: executors by the distinct times of their application.
 
-    Rows of one (executor, time) are merged value by value, the last recorded non-null one winning. `in_view` comes
-    from a bounded history, so an application has at most `HISTORY_MAX_ROWS` distinct times and they are numbered by
-    a plain window over the distinct times.
+    Rows of one (executor, time) are merged value by value, the last recorded non-null one winning. Distinct times are
+    numbered by an ordered scan, so an application may have any number of them; unparsable times come last.
     """
     estimate = memory.estimated_total(F.col("heapMB"), F.col("jvmOffHeapMB"), F.col("offHeapUnifiedMB"))
     values = in_view.withColumn("totalMemoryMB", F.coalesce(F.col("totalMemoryMB"), estimate))
@@ -229,8 +246,11 @@ def history_grid(in_view: DataFrame) -> DataFrame:
             for name, source in _SERIES_SOURCE.items()
         ]
     )
-    axis = in_view.groupBy("appId", "timeIso").agg(F.min_by("timeLabel", "ingestSeq").alias("timeLabel"))
-    numbered = axis.withColumn("position", F.row_number().over(Window.partitionBy("appId").orderBy("timeIso")))
+    at = F.coalesce(F.min("timeMs"), F.lit((1 << 62)))
+    axis = in_view.groupBy("appId", "timeIso").agg(F.min_by("timeLabel", "ingestSeq").alias("timeLabel"), at.alias("_at"))
+    one = F.lit(1).cast("bigint")
+    scanned = ordered_scan(axis, ["appId"], "_at", running_sum={"position": one}, ties=["timeIso"])
+    numbered = scanned.withColumn("position", F.col("position").cast("int")).drop("_at")
     length = numbered.groupBy("appId").agg(F.max("position").alias("_points"))
     grid = (
         spread_join(in_view.select(*HISTORY_EXECUTOR).distinct(), length, ["appId"], spread=["executor"])

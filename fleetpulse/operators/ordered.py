@@ -7,8 +7,8 @@ of a key are scanned in order to find what a segment inherits from the ones befo
 their segment only. Rows are shuffled once, on (keys, segment); the inherited values arrive by an equi-join on the
 same columns, so the row side needs no second exchange and no second sort.
 
-The table of cut keys is broadcast. It never has more than `MAX_HOT_KEYS` rows: should more keys be large, the largest
-are cut, and a key that stays whole then has fewer than 1/MAX_HOT_KEYS of all rows.
+The table of cut keys is broadcast. Each has over `Split.max_rows` rows, so it has at most one row for every `max_rows`
+rows of the input: about 240,000 short rows for 10^12.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = "_segment"
-MAX_HOT_KEYS = 10000
 ADJACENT_WIDTH = 65536
 
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -49,8 +48,6 @@ def hot_keys(df: DataFrame, keys: Sequence[str], order: str, split: Split = SPLI
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_from"), F.max(order).alias("_to"))
         .filter(rows > split.max_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
         .select(*keys, "_from", F.greatest(F.lit(1).cast("bigint"), width).alias("_width"))
     )
 

@@ -25,6 +25,9 @@ OFFENDER_METRICS = [
 
 NATURAL = "_natural"
 
+# Up to this many rows per group Spark limits groups before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
 # Fixed value: sortable table columns that hold text; all others sort as numbers.
 TEXT_SORT_KEYS = ("executor_id", "host", "metric_source", "total_memory_source", "cpu_source")
 
@@ -49,11 +52,13 @@ def newest_rows(
 ) -> DataFrame:
     """The `n` rows of each key with the largest `order` (then `ties`), for any `n` and any key size.
 
+    Null keys form a group like any other, and rows with a null `order` are the oldest of their key.
     Rows are counted per (key, segment of the order axis), the counts tell how many newer rows each segment has, and
     only segments that still have room are ranked; a segment is ranked on its own task.
     """
     keys = list(keys)
-    df = df.withColumn(SEGMENT, segment_of(F.col(order), width))
+    columns = df.columns
+    df = df.withColumn(SEGMENT, segment_of(F.coalesce(F.col(order), F.lit(-(1 << 63))), width))
     newer = Window.partitionBy(*keys).orderBy(F.desc(SEGMENT)).rowsBetween(Window.unboundedPreceding, -1)
     room = (
         df.groupBy(*keys, SEGMENT)
@@ -62,12 +67,16 @@ def newest_rows(
         .filter(F.col("_room") > 0)
         .drop("_rows")
     )
-    window = Window.partitionBy(*keys, SEGMENT).orderBy(F.desc(order), *[F.desc(t) for t in ties])
+    window = Window.partitionBy(*keys, SEGMENT).orderBy(F.desc_nulls_last(order), *[F.desc(t) for t in ties])
+    room = room.toDF(*[f"_room_{k}" for k in keys], "_room_segment", "_room")
+    same = F.col(SEGMENT) == F.col("_room_segment")
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"_room_{key}"))
     return (
-        df.join(room, [*keys, SEGMENT])
+        df.join(room, same)
         .withColumn("_rank", F.row_number().over(window))
         .filter(F.col("_rank") <= F.col("_room"))
-        .drop("_rank", "_room", SEGMENT)
+        .select(*columns)
     )
 
 
@@ -82,7 +91,9 @@ def latest_poll(
 def last_polls(df: DataFrame, points: int, key: str = "app_id", order: str = "poll_seq") -> DataFrame:
     """Rows of each application's last `points` polls; the axis belongs to the application, not to its executors."""
     polls = df.select(key, order).distinct()
-    oldest = top_per_group(polls, [key], [F.desc(order)], points).groupBy(key).agg(F.min(order).alias("_oldest"))
+    small = points <= GROUP_LIMIT
+    newest = top_per_group(polls, [key], [F.desc(order)], points) if small else newest_rows(polls, [key], order, points)
+    oldest = newest.groupBy(key).agg(F.min(order).alias("_oldest"))
     return (
         spread_join(df, oldest, [key], spread=[order])
         .filter(F.col(order) >= F.col("_oldest"))

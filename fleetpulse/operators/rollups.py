@@ -68,20 +68,30 @@ def summarise(rows: DataFrame, group: Sequence[str] = ("app_id",)) -> DataFrame:
 
 
 def status(
-    rows: DataFrame, shown: Column, mode: str = "all", only_unhealthy: bool = False, group: Sequence[str] = ("app_id",)
+    rows: DataFrame,
+    shown: Column,
+    mode: str = "all",
+    only_unhealthy: bool = False,
+    group: Sequence[str] = ("app_id",),
+    samples: DataFrame | None = None,
 ) -> DataFrame:
     """Status line per group. `rows` are all live rows; `shown` tells which of them pass the filters.
 
-    The heap count covers all live rows, the other figures only the shown ones.
+    The heap count covers all live rows, the other figures only the shown ones. Groups without live rows appear if all
+    `samples` are given.
     """
     figures = rows.withColumn("_shown", shown).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_live"),
         F.count_if("_shown").alias("shown"),
         F.count_if(F.col("_shown") & F.col("is_unhealthy")).alias("unhealthy"),
         F.count_if(F.col("heap_bytes").isNotNull()).alias("with_heap"),
         F.coalesce(F.sum(F.when(F.col("_shown"), F.col("active_tasks"))), F.lit(0)).alias("active_tasks"),
         F.coalesce(F.sum(F.when(F.col("_shown"), F.col("failed_tasks"))), F.lit(0)).alias("failed_tasks"),
     )
-    nothing = NOTHING_SELECTED if mode == "selected" else NOTHING_UNHEALTHY if only_unhealthy else NOTHING_ACTIVE
+    if samples is not None:
+        figures = samples.select(*group).distinct().join(figures, list(group), "left").na.fill(0)
+    filtered = NOTHING_SELECTED if mode == "selected" else NOTHING_UNHEALTHY if only_unhealthy else NOTHING_ACTIVE
+    nothing = F.when(F.col("_live") == 0, NOTHING_ACTIVE).otherwise(filtered)
     ok = F.format_string(STATUS, "shown", "unhealthy", "with_heap", "active_tasks", "failed_tasks")
     empty, heapless = F.col("shown") == 0, F.col("with_heap") == 0
     return figures.withColumns(
@@ -90,7 +100,7 @@ def status(
             "level": F.when(empty, "danger").when(heapless | (F.col("unhealthy") > 0), "warn").otherwise("normal"),
             "message": F.when(empty, nothing).when(heapless, NO_HEAP_METRIC).otherwise(ok),
         }
-    )
+    ).drop("_live")
 
 
 def rss_availability(rows: DataFrame, mode: str = "rss") -> DataFrame:
@@ -101,9 +111,12 @@ def rss_availability(rows: DataFrame, mode: str = "rss") -> DataFrame:
     return seen.withColumn("rss_warning", F.lit(mode == "rss") & ~F.col("rss_available"))
 
 
-def rss_availability_by_poll(rows: DataFrame, split: Split | None = SPLIT) -> DataFrame:
-    """The same flag as it stood at each poll; once set it stays set."""
-    per_poll = rows.groupBy("app_id", "poll_seq").agg(F.max(F.col("rss_mb").isNotNull().cast("int")).alias("_any"))
+def rss_availability_by_poll(rows: DataFrame, split: Split | None = SPLIT, samples: DataFrame | None = None) -> DataFrame:
+    """The same flag as it stood at each poll, of all `samples` if given; once set it stays set."""
+    seen = rows.select("app_id", "poll_seq", F.col("rss_mb").isNotNull().cast("int").alias("_has"))
+    if samples is not None:
+        seen = seen.unionByName(samples.select("app_id", "poll_seq", F.lit(0).alias("_has")))
+    per_poll = seen.groupBy("app_id", "poll_seq").agg(F.max("_has").alias("_any"))
     scanned = ordered_scan(per_poll, ["app_id"], "poll_seq", running_max={"_seen": F.col("_any")}, split=split)
     return scanned.select("app_id", "poll_seq", (F.col("_seen") == 1).alias("rss_available"))
 
@@ -114,9 +127,9 @@ def peak_source_used(rows: DataFrame, group: Sequence[str] = ("app_id",)) -> Dat
     return rows.groupBy(*group).agg(used.alias("uses_peak_source"))
 
 
-def record_count(active: DataFrame) -> DataFrame:
-    """Live records per poll."""
-    return active.groupBy("app_id", "poll_seq").agg(F.count(F.lit(1)).alias("records"))
+def record_count(samples: DataFrame) -> DataFrame:
+    """Live records per poll; 0 where no executor was live."""
+    return samples.groupBy("app_id", "poll_seq").agg(F.count_if("is_active").alias("records"))
 
 
 def nice_ceiling(value: Column) -> Column:

@@ -16,7 +16,7 @@ from fleetpulse.operators.ordered import SEGMENT, ordered_scan, poll_ordinals, w
 from fleetpulse.plans import derive
 from fleetpulse.plans.views import live_summary, live_table
 from fleetpulse.schemas import EXECUTOR, SAMPLES
-from fleetpulse.settings import Settings
+from fleetpulse.settings import HISTORY_MAX_ROWS, RETENTION_MS, Settings
 from fleetpulse.sources import csv_export, events as event_sources, history_store, snapshots
 from fleetpulse.sources.shared import work_dir
 from fleetpulse.streaming import counters, deltas, recording
@@ -85,7 +85,7 @@ def history_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_view_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.in_range(H.bounded(history_of(spark, sf_dir), NOW_MS), NOW_MS, RANGE_MINUTES)
+    return H.in_range(history_of(spark, sf_dir), NOW_MS, RANGE_MINUTES)
 
 
 def grid_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ def _(spark, sf_dir):
 
 @query("s06_history_restore")
 def _(spark, sf_dir):
-    return H.bounded(history_of(spark, sf_dir), NOW_MS)
+    return H.bounded(history_of(spark, sf_dir), NOW_MS, HISTORY_MAX_ROWS, RETENTION_MS)
 
 
 @query("s07_persisted_tail")
@@ -451,6 +451,13 @@ def _(spark, sf_dir):
     return asof.process_cpu_as_of(polls, published)
 
 
+@query("l01_enriched_rows")
+def _(spark, sf_dir):
+    """From bare samples, task ends and process readings to derived rows: both counters feed the CPU cascade."""
+    samples = asof.enriched(samples_of(spark, sf_dir), task_ends_of(spark, sf_dir), published_of(spark, sf_dir))
+    return R.executor_rows(samples, split=PER_KEY).select(*ROW, "cpu_source", F.round("cpu_pct", 6).alias("cpu_pct"), "is_unhealthy")
+
+
 @query("j03_selected_semi_join")
 def _(spark, sf_dir):
     samples = samples_of(spark, sf_dir)
@@ -504,9 +511,10 @@ def _(spark, sf_dir):
 
 @query("d04_status_line")
 def _(spark, sf_dir):
-    return rollups.status(
-        rows_of(spark, sf_dir), F.col("is_unhealthy"), only_unhealthy=True, group=["app_id", "poll_seq"]
-    )
+    samples = samples_of(spark, sf_dir)
+    rows = R.executor_rows(samples, Settings(), PER_KEY)
+    group = ["app_id", "poll_seq"]
+    return rollups.status(rows, F.col("is_unhealthy"), only_unhealthy=True, group=group, samples=samples)
 
 
 @query("d05_top_offenders")
@@ -521,7 +529,8 @@ def _(spark, sf_dir):
 
 @query("d06_rss_availability_by_poll")
 def _(spark, sf_dir):
-    return rollups.rss_availability_by_poll(rows_of(spark, sf_dir), PER_KEY)
+    samples = samples_of(spark, sf_dir)
+    return rollups.rss_availability_by_poll(R.executor_rows(samples, Settings(), PER_KEY), PER_KEY, samples)
 
 
 @query("d07_peak_source_flag")
@@ -536,7 +545,7 @@ def _(spark, sf_dir):
 
 @query("d09_range_info")
 def _(spark, sf_dir):
-    history = H.bounded(history_of(spark, sf_dir), NOW_MS)
+    history = history_of(spark, sf_dir)
     return H.range_info(history, H.in_range(history, NOW_MS, RANGE_MINUTES))
 
 
@@ -548,7 +557,7 @@ def _(spark, sf_dir):
 
 @query("d11_record_count")
 def _(spark, sf_dir):
-    return rollups.record_count(R.active_only(samples_of(spark, sf_dir)))
+    return rollups.record_count(samples_of(spark, sf_dir))
 
 
 @query("d12_axis_scale")
@@ -634,7 +643,7 @@ def _(spark, sf_dir):
 
 @query("r02_row_cap")
 def _(spark, sf_dir):
-    return H.bounded(history_of(spark, sf_dir), NOW_MS, max_rows=ROW_CAP).select("appId", "executor", "pollSeq")
+    return H.bounded(history_of(spark, sf_dir), NOW_MS, ROW_CAP, RETENTION_MS).select("appId", "executor", "pollSeq")
 
 
 @query("u01_series_union")
@@ -684,40 +693,55 @@ def rows_in_steps(spark: SparkSession, sf_dir: str, purpose: str, build: Callabl
     return spark.read.parquet(f"{root}/out")
 
 
-def current_values(spark: SparkSession, purpose: str, stream: DataFrame) -> DataFrame:
-    root = work_dir(spark, purpose)
-    counters.write_updates(stream, f"{root}/out", f"{root}/checkpoint", availableNow=True).awaitTermination()
-    return counters.read_updates(spark, f"{root}/out", EXECUTOR)
+def in_parts(table: DataFrame, number: str, root: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Feed a table to a stream in three parts, each a run from the checkpoint; parts follow `number` in runs of 100."""
+    spark = table.sparkSession
+    for part in range(3):
+        rows = table.filter(F.call_function("div", F.col(number), F.lit(100).cast("bigint")) % 3 == part)
+        rows.write.mode("append").parquet(f"{root}/in")
+        start(spark.readStream.schema(table.schema).parquet(f"{root}/in")).awaitTermination()
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = derive.read_events(spark, sf_dir).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def current_values(table: DataFrame, purpose: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    spark = table.sparkSession
+    root = work_dir(spark, purpose)
+    in_parts(
+        table,
+        "event_id",
+        root,
+        lambda stream: counters.write_updates(build(stream), f"{root}/out", f"{root}/checkpoint", availableNow=True),
+    )
+    return counters.read_updates(spark, f"{root}/out", EXECUTOR)
 
 
 @query("t01_snapshot_stream")
 def _(spark, sf_dir):
     def build(stream):
-        return counters.stateless_rows(stream).select(*ROW, "heap_pct", "saturation_pct", "is_unhealthy")
+        return counters.stateless_rows(stream).select(*ROW, "heap_pct", "saturation_pct")
 
     return rows_in_steps(spark, sf_dir, "snapshot-stream", build)
 
 
 @query("t02_running_cpu_totals")
 def _(spark, sf_dir):
-    totals = counters.running_cpu_totals(derive.task_ends(event_stream(spark, sf_dir)))
-    return current_values(spark, "cpu-totals", totals)
+    def build(stream):
+        return counters.running_cpu_totals(derive.task_ends(stream))
+
+    return current_values(derive.read_events(spark, sf_dir), "cpu-totals", build)
 
 
 @query("t03_latest_process_cpu")
 def _(spark, sf_dir):
-    published = event_stream(spark, sf_dir).select(
-        derive.app_id().alias("app_id"),
-        derive.executor_id().alias("executor_id"),
-        F.col("event_id").alias("sample_seq"),
-        F.col("value").alias("cpu_pct"),
-    )
-    return current_values(spark, "latest-cpu", counters.running_latest_cpu(published))
+    def build(stream):
+        published = stream.select(
+            derive.app_id().alias("app_id"),
+            derive.executor_id().alias("executor_id"),
+            F.col("event_id").alias("sample_seq"),
+            F.col("value").alias("cpu_pct"),
+        )
+        return counters.running_latest_cpu(published)
+
+    return current_values(derive.read_events(spark, sf_dir), "latest-cpu", build)
 
 
 @query("t04_stateful_deltas")
@@ -733,8 +757,13 @@ def _(spark, sf_dir):
     root = work_dir(spark, "process-cpu")
     readings = process_cpu_of(spark, sf_dir)
     readings.write.parquet(f"{root}/readings")
-    found = deltas.stream_process_cpu(spark.readStream.schema(readings.schema).parquet(f"{root}/readings"))
-    counters.write_rows(found, f"{root}/out", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    readings = spark.read.parquet(f"{root}/readings")
+    newest = readings.agg(F.max("sample_seq")).first()[0] or 0
+    for low, high in ((0, newest // 3), (newest // 3, newest // 2), (newest // 2, newest + 1)):
+        part = readings.filter((F.col("sample_seq") >= low) & (F.col("sample_seq") < high))
+        part.write.mode("append").parquet(f"{root}/in")
+        found = deltas.stream_process_cpu(spark.readStream.schema(readings.schema).parquet(f"{root}/in"))
+        counters.write_rows(found, f"{root}/out", f"{root}/checkpoint", availableNow=True).awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 

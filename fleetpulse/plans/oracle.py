@@ -170,6 +170,12 @@ kept AS (
 in_view AS (SELECT * FROM kept WHERE "timeMs" >= {NOW_MS} - 1800000)"""
 )
 
+VIEW = (
+    HISTORY
+    + f""",
+in_view AS (SELECT * EXCLUDE (wall) FROM history WHERE "timeMs" >= {NOW_MS} - 1800000)"""
+)
+
 SELECTED = """selected AS (
   SELECT DISTINCT app_id, executor_id FROM executor_samples
   WHERE executor_id = 'driver' OR (CAST(substr(app_id, 5) AS BIGINT) % 2 = 0 AND TRY_CAST(executor_id AS BIGINT) % 2 = 1))"""
@@ -598,6 +604,25 @@ FROM executor_samples p LEFT JOIN published e ON e.app_id = p.app_id AND e.execu
   AND e.poll_seq <= p.poll_seq AND e.cpu_pct IS NOT NULL
 GROUP BY p.app_id, p.executor_id, p.poll_seq""",
 )
+_add(
+    "l01_enriched_rows",
+    SAMPLES.replace("executor_samples AS (", "bare_samples AS (")
+    + ",\n"
+    + PROCESS_CPU
+    + """,
+per_poll AS (SELECT app_id, executor_id, poll_seq, sum(cpu_ns) AS ns FROM task_ends
+  WHERE executor_id IS NOT NULL AND cpu_ns > 0 GROUP BY ALL),
+task_cpu AS (SELECT p.app_id, p.executor_id, p.poll_seq, CAST(coalesce(sum(e.ns), 0) // 1000000 AS BIGINT) AS ms
+  FROM bare_samples p LEFT JOIN per_poll e ON e.app_id = p.app_id AND e.executor_id = p.executor_id AND e.poll_seq <= p.poll_seq
+  GROUP BY ALL),
+os_cpu AS (SELECT p.app_id, p.executor_id, p.poll_seq, arg_max(e.cpu_pct, e.sample_seq) AS pct
+  FROM bare_samples p LEFT JOIN published e ON e.app_id = p.app_id AND e.executor_id = p.executor_id
+    AND e.poll_seq <= p.poll_seq AND e.cpu_pct IS NOT NULL GROUP BY ALL),
+executor_samples AS (SELECT b.* REPLACE (t.ms AS cpu_time_ms, o.pct AS os_cpu_pct)
+  FROM bare_samples b JOIN task_cpu t USING (app_id, executor_id, poll_seq) JOIN os_cpu o USING (app_id, executor_id, poll_seq))"""
+    + ROWS[len(SAMPLES) :],
+    "SELECT app_id, executor_id, poll_seq, cpu_source, round(cpu_pct, 6) AS cpu_pct, is_unhealthy FROM executor_rows",
+)
 _add(
     "j03_selected_semi_join",
     SAMPLES + ",\n" + SELECTED,
@@ -616,7 +641,7 @@ FROM axis JOIN (SELECT DISTINCT app_id, executor_id FROM points) USING (app_id)
 )
 _add(
     "j05_history_grid",
-    KEPT
+    VIEW
     + """,
 axis AS (SELECT "appId", "timeIso", arg_min("timeLabel", "ingestSeq") AS "timeLabel",
   CAST(row_number() OVER (PARTITION BY "appId" ORDER BY "timeIso") AS INTEGER) AS position FROM in_view GROUP BY "appId", "timeIso")""",
@@ -654,16 +679,17 @@ _add("d03_summary_cards", ROWS, f"SELECT app_id, poll_seq, {_CARDS} FROM executo
 _add(
     "d04_status_line",
     ROWS,
-    """SELECT *, CASE WHEN shown = 0 THEN 'empty' WHEN with_heap = 0 THEN 'no_heap' ELSE 'ok' END AS state,
+    """SELECT * EXCLUDE (live), CASE WHEN shown = 0 THEN 'empty' WHEN with_heap = 0 THEN 'no_heap' ELSE 'ok' END AS state,
   CASE WHEN shown = 0 THEN 'danger' WHEN with_heap = 0 OR unhealthy > 0 THEN 'warn' ELSE 'normal' END AS level,
-  CASE WHEN shown = 0 THEN 'No unhealthy executors with current filters.'
+  CASE WHEN live = 0 THEN 'No active executors found.' WHEN shown = 0 THEN 'No unhealthy executors with current filters.'
     WHEN with_heap = 0 THEN 'Executors found but heap metric is not available from the REST API (check executorMetrics).'
     ELSE printf('Shown executors: %d | unhealthy: %d | heap available for %d | active tasks: %d | failed tasks: %d.',
       shown, unhealthy, with_heap, active_tasks, failed_tasks) END AS message
-FROM (SELECT app_id, poll_seq, CAST(count_if(is_unhealthy) AS BIGINT) AS shown, CAST(count_if(is_unhealthy) AS BIGINT) AS unhealthy,
+FROM (SELECT app_id, poll_seq, count(r.wall_ms) AS live, CAST(count_if(is_unhealthy) AS BIGINT) AS shown, CAST(count_if(is_unhealthy) AS BIGINT) AS unhealthy,
     count(heap_bytes) AS with_heap, CAST(coalesce(sum(active_tasks) FILTER (WHERE is_unhealthy), 0) AS BIGINT) AS active_tasks,
     CAST(coalesce(sum(failed_tasks) FILTER (WHERE is_unhealthy), 0) AS BIGINT) AS failed_tasks
-  FROM executor_rows GROUP BY app_id, poll_seq)""",
+  FROM (SELECT DISTINCT app_id, poll_seq FROM executor_samples) LEFT JOIN executor_rows r USING (app_id, poll_seq)
+  GROUP BY app_id, poll_seq)""",
 )
 _OFFENDERS = ["heap_pct", "total_memory_mb", "gc_delta_ms", "saturation_pct", "jvm_off_heap_mb", "on_heap_unified_mb", "shuffle_read_mb"]
 _add(
@@ -687,7 +713,7 @@ _add(
     "d06_rss_availability_by_poll",
     ROWS,
     """SELECT p.app_id, p.poll_seq, coalesce(p.poll_seq >= f.first_seen, false) AS rss_available
-FROM (SELECT DISTINCT app_id, poll_seq FROM executor_rows) p
+FROM (SELECT DISTINCT app_id, poll_seq FROM executor_samples) p
   LEFT JOIN (SELECT app_id, min(poll_seq) AS first_seen FROM executor_rows WHERE rss_mb IS NOT NULL GROUP BY app_id) f USING (app_id)""",
 )
 _add(
@@ -698,7 +724,7 @@ FROM executor_rows GROUP BY app_id, poll_seq""",
 )
 _add(
     "d08_last_samples",
-    KEPT,
+    VIEW,
     f"""SELECT *, (coalesce(heap_pct >= 85, false) OR coalesce(gc_delta_ms >= 500, false)
     OR coalesce(saturation_pct >= 400, false) OR coalesce(failed_tasks > 0, false)) AS is_unhealthy
 FROM (SELECT "appId" AS app_id, executor AS executor_id, "pollSeq" AS poll_seq, "timeMs" AS wall_ms, host,
@@ -718,9 +744,9 @@ FROM (SELECT "appId" AS app_id, executor AS executor_id, "pollSeq" AS poll_seq,
 )
 _add(
     "d09_range_info",
-    KEPT,
+    VIEW,
     """SELECT "appId", coalesce(samples, 0) AS samples, coalesce(executors, 0) AS executors, total_rows
-FROM (SELECT "appId", count(*) AS total_rows FROM kept GROUP BY "appId")
+FROM (SELECT "appId", count(*) AS total_rows FROM history GROUP BY "appId")
   LEFT JOIN (SELECT "appId", count(DISTINCT "timeIso") AS samples, count(DISTINCT executor) AS executors FROM in_view GROUP BY "appId")
   USING ("appId")""",
 )
@@ -736,7 +762,7 @@ FROM (SELECT app_id, count(s.executor_id) AS selected_count, count(v.executor_id
 _add(
     "d11_record_count",
     SAMPLES,
-    "SELECT app_id, poll_seq, count(*) AS records FROM executor_samples WHERE is_active GROUP BY app_id, poll_seq",
+    "SELECT app_id, poll_seq, count(*) FILTER (WHERE is_active) AS records FROM executor_samples GROUP BY app_id, poll_seq",
 )
 _add(
     "d12_axis_scale",
@@ -844,7 +870,6 @@ _rows(
     "t01_snapshot_stream",
     "heap_pct",
     "saturation_pct",
-    "(coalesce(heap_pct >= 85, false) OR coalesce(gc_pct >= 10, false) OR coalesce(saturation_pct >= 400, false) OR failed_tasks > 0) AS is_unhealthy",
 )
 _add("t02_running_cpu_totals", TASK_ENDS, _TOTALS)
 ORACLE_SQL["t03_latest_process_cpu"] = """
@@ -862,7 +887,8 @@ _add(
     "t06_bounded_history",
     ROWS,
     """SELECT app_id AS "appId", executor_id AS executor, poll_seq AS "pollSeq", gc_delta_ms AS "gcDeltaMs", heap_mb AS "heapMB"
-FROM executor_rows WHERE wall_ms >= (SELECT max(wall_ms) FROM executor_rows) - 1800000
+FROM executor_rows JOIN (SELECT app_id, max(wall_ms) AS newest FROM executor_rows GROUP BY app_id) USING (app_id)
+WHERE wall_ms >= newest - 1800000
 QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY poll_seq DESC, executor_id = 'driver', executor_id DESC) <= 500""",
 )
 _add(

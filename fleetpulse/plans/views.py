@@ -43,18 +43,18 @@ def range_table(
     settings: Settings = Settings(),
     only_unhealthy: bool = False,
 ) -> DataFrame:
-    """Last sample per executor inside the range of a bounded history, in table order."""
-    rows = H.last_samples(H.in_range(H.bounded(history, now_ms), now_ms, minutes), settings)
+    """Last sample per executor inside the range of a history, in table order. The whole history is read; bound it first
+    with `history.bounded` where that is wanted."""
+    rows = H.last_samples(H.in_range(history, now_ms, minutes), settings)
     return sort_rows(rows.filter("is_unhealthy") if only_unhealthy else rows)
 
 
 def range_summary(history: DataFrame, now_ms: int, minutes: float | None = None, settings: Settings = Settings()):
     """Summary and top offenders of a range view."""
-    rows = H.last_samples(H.in_range(H.bounded(history, now_ms), now_ms, minutes), settings)
+    rows = H.last_samples(H.in_range(history, now_ms, minutes), settings)
     return summarise(rows), top_offenders(rows)
 
 
 def range_info(history: DataFrame, now_ms: int, minutes: float | None = None) -> DataFrame:
-    kept = H.bounded(history, now_ms)
     label = "full history" if minutes is None or minutes == float("inf") else f"last {minutes:g}m"
-    return H.range_info(kept, H.in_range(kept, now_ms, minutes)).withColumn("label", F.lit(label))
+    return H.range_info(history, H.in_range(history, now_ms, minutes)).withColumn("label", F.lit(label))

@@ -9,7 +9,6 @@ from fleetpulse.functions.numbers import place_digits
 from fleetpulse.functions.text import csv_field
 from fleetpulse.operators.history import bounded
 from fleetpulse.schemas import HISTORY, HISTORY_CSV_COLUMNS
-from fleetpulse.settings import HISTORY_MAX_ROWS, RETENTION_MS
 
 SEPARATOR = ";"
 HEADER = SEPARATOR.join(HISTORY_CSV_COLUMNS)
@@ -58,11 +57,11 @@ def write_csv(history: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def csv_documents(
-    history: DataFrame, now_ms: int, max_rows: int = HISTORY_MAX_ROWS, max_age_ms: int = RETENTION_MS
+    history: DataFrame, now_ms: int, max_rows: int | None = None, max_age_ms: int | None = None
 ) -> DataFrame:
     """Whole export text per application, byte for byte: header first, no newline at the end.
 
-    The export covers the bounded history (`max_rows` rows per application at most), which bounds each text.
+    One text per application must fit a task: for applications of any size use `write_csv`, or give bounds.
     """
     lines = csv_lines(bounded(history, now_ms, max_rows, max_age_ms))
     ordered = F.array_sort(F.collect_list(F.struct("ingestSeq", "executor", "line")))

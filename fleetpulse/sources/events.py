@@ -10,9 +10,22 @@ from fleetpulse.schemas import PROCESS_SAMPLE_JSON, TASK_END_JSON
 TASK_END = "SparkListenerTaskEnd"
 
 
+# Directory of a rolled log, endings of log names, and ids whose last number is no attempt.
+ROLLED = r"/eventlog_v2_([^/]+)/[^/]+$"
+ENDINGS = r"(\.(inprogress|compact|lz4|lzf|snappy|zstd|zst|gz|bz2))+$"
+ATTEMPT = r"^(application_[0-9]+(?:_[0-9]+)?|.+?)(_[0-9]+)?$"
+
+
+def app_of_log(path: Column) -> Column:
+    """Application of an event-log file: a rolled log's directory or else the file's name, without attempt and endings."""
+    rolled = F.regexp_extract(path, ROLLED, 1)
+    own = F.regexp_replace(F.element_at(F.split(path, "/"), -1), ENDINGS, "")
+    return F.regexp_extract(F.when(rolled != "", rolled).otherwise(own), ATTEMPT, 1)
+
+
 def read_event_log(spark: SparkSession, path: str, app_id: Column | None = None) -> DataFrame:
-    """Task ends from event-log files. The application is the file's own name unless a column is given."""
-    app = F.element_at(F.split(F.input_file_name(), "/"), -1) if app_id is None else app_id
+    """Task ends from event-log files, single or rolled. The application is taken from the log's place unless given."""
+    app = app_of_log(F.input_file_name()) if app_id is None else app_id
     return task_ends(spark.read.schema(TASK_END_JSON).json(path), app)
 
 

@@ -6,10 +6,11 @@ from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetpulse.operators.history import bounded, conform, persisted_tail
+from fleetpulse.operators.history import bounded, conform, ingest_number, persisted_tail, time_ms
 from fleetpulse.schemas import HISTORY
-from fleetpulse.settings import HISTORY_MAX_ROWS, PERSIST_MAX_ROWS, RETENTION_MS
+from fleetpulse.settings import PERSIST_MAX_ROWS
 
 
 def append(history: DataFrame, path: str) -> None:
@@ -40,15 +41,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """History kept as JSON lines; lines that do not hold a record are dropped."""
+    """History kept as JSON lines; lines that do not hold a record are dropped.
+
+    Persisted lines have the recorded columns only: the time follows from `timeIso`, and the insertion number from its
+    second and the executor, as rows of a poll are recorded together.
+    """
     rows = spark.read.schema(HISTORY).option("mode", "DROPMALFORMED").json(path)
-    return rows.filter("appId is not null and executor is not null")
+    at = F.coalesce("timeMs", time_ms(F.col("timeIso")))
+    recorded = ingest_number(F.call_function("div", at, F.lit(1000).cast("bigint")), F.col("executor"))
+    known = rows.filter("appId is not null and executor is not null")
+    return known.withColumns({"timeMs": at, "ingestSeq": F.coalesce("ingestSeq", recorded)})
 
 
 def restore(
-    spark: SparkSession, path: str, now_ms: int, max_age_ms: int = RETENTION_MS, max_rows: int = HISTORY_MAX_ROWS
+    spark: SparkSession, path: str, now_ms: int, max_age_ms: int | None = None, max_rows: int | None = None
 ) -> DataFrame:
-    """Stored history with the retention rules applied again."""
+    """Stored history with the given retention rules applied again."""
     return bounded(read(spark, path), now_ms, max_rows, max_age_ms)
 
 

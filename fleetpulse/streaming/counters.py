@@ -17,7 +17,8 @@ BATCH = "_batch"
 
 
 def stateless_rows(samples: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Derived rows without the columns that need earlier samples, which stay null."""
+    """Derived rows without the columns that need earlier samples, which stay null, and without the unhealthy flag, which
+    needs one of them; `deltas.live_rows` has both."""
     blank = active_only(samples).withColumns(
         {
             "gc_delta_ms": F.lit(None).cast("bigint"),
@@ -25,7 +26,7 @@ def stateless_rows(samples: DataFrame, settings: Settings = Settings()) -> DataF
             "cpu_source": F.lit("-"),
         }
     )
-    return flatten(blank, settings)
+    return flatten(blank, settings).drop("is_unhealthy")
 
 
 def running_cpu_totals(task_ends: DataFrame) -> DataFrame:

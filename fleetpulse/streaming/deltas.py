@@ -1,9 +1,10 @@
 """Counter deltas across micro-batches.
 
 The window functions the batch form uses do not exist on streams, so the baselines live in keyed state. Each call gets
-one executor's new samples of one micro-batch; its size is bounded by the source's rate limit. Samples at or before
-the newest one already seen are ignored, and so are samples later than `late`. State of an executor is dropped once
-event time has passed its newest sample by `idle_ms`; event time is used so that a replay drops the same state.
+one executor's new samples of one micro-batch; its size is bounded by the source's rate limit. A sample older than the
+newest one seen in an earlier batch keeps its own values and has no deltas, as its neighbours are gone; a repeat of the
+newest one is ignored, and samples later than `late` are dropped. State of an executor is dropped once event time has
+passed its newest sample by `idle_ms`; event time is used so that a replay drops the same state.
 """
 
 from __future__ import annotations
@@ -50,8 +51,13 @@ def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS, late: str = LATE)
     columns = [f.name for f in output.fields]
 
     def advance(key, frames, state: GroupState):
-        rows, seen = _new_rows(frames, state, "poll_seq")
-        if rows is None:
+        rows, seen, old = _new_rows(frames, state, "poll_seq")
+        if len(old):
+            old["gc_delta_ms"] = np.nan
+            old["cpu_pct"] = old["os_cpu_pct"].astype("float64")
+            old["cpu_source"] = np.where(old["cpu_pct"].notna(), "OS", np.where(old["_capacity"].isna(), "-", "wait"))
+            yield old[columns]
+        if not len(rows):
             return
         start = seen or (None, np.nan, np.nan, np.nan, np.nan)
         rows = _with_cpu(rows, start)
@@ -105,19 +111,23 @@ def stream_process_cpu(
         timeout = GroupStateTimeout.EventTimeTimeout
 
     def advance(key, frames, state: GroupState):
-        rows, seen = _new_rows(frames, state, "sample_seq")
-        if rows is None:
+        rows, seen, old = _new_rows(frames, state, "sample_seq")
+        if len(old):
+            old["cpu_pct"] = np.nan
+            yield old[[*columns, "cpu_pct"]]
+        if not len(rows):
             return
-        cpu, wall = rows["cpu_ns"].tolist(), rows["wall_ns"].tolist()
-        prev_wall, prev_cpu = (seen[1], seen[2]) if seen else (None, -1)
-        used, passed = [], []
-        for wall_ns, cpu_ns in zip(wall, cpu):
-            usable = cpu_ns >= 0 and prev_cpu >= 0 and wall_ns > prev_wall
-            used.append(float(cpu_ns - prev_cpu) if usable else np.nan)
-            passed.append(float(wall_ns - prev_wall) if usable else np.nan)
-            prev_wall, prev_cpu = wall_ns, cpu_ns if cpu_ns >= 0 else prev_cpu
-        rows["cpu_pct"] = np.array(used) * 100.0 / (np.array(passed) * rows["cores"].to_numpy())
-        state.update((int(rows["sample_seq"].iloc[-1]), int(prev_wall), int(prev_cpu)))
+        # Position 0 is what the state holds; without one its reading is unavailable.
+        wall = np.concatenate([[seen[1] if seen else 0], rows["wall_ns"].to_numpy(dtype="int64")])
+        cpu = np.concatenate([[seen[2] if seen else -1], rows["cpu_ns"].to_numpy(dtype="int64")])
+        known = np.maximum.accumulate(np.where(cpu >= 0, np.arange(cpu.size), 0))
+        before = cpu[known[:-1]]
+        passed = wall[1:] - wall[:-1]
+        usable = (cpu[1:] >= 0) & (before >= 0) & (passed > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = (cpu[1:] - before).astype("float64") * 100.0 / (passed.astype("float64") * rows["cores"].to_numpy())
+        rows["cpu_pct"] = np.where(usable, share, np.nan)
+        state.update((int(rows["sample_seq"].iloc[-1]), int(wall[-1]), int(cpu[known[-1]])))
         if event_time_ms is not None:
             state.setTimeoutTimestamp(int(rows["_at_ms"].max()) + idle_ms)
         yield rows[[*columns, "cpu_pct"]]
@@ -141,15 +151,15 @@ def _is_long(field: T.StructField) -> bool:
 
 
 def _new_rows(frames, state: GroupState, order: str):
-    """The key's unseen rows in order and its state; no rows when the state timed out or nothing is new."""
+    """The key's unseen rows in order, its state, and rows older than it; no rows when the state timed out."""
     if state.hasTimedOut:
         state.remove()
-        return None, None
+        return (), None, ()
     rows = pd.concat(list(frames), ignore_index=True).drop_duplicates(order).sort_values(order, ignore_index=True)
     seen = state.get if state.exists else None
-    if seen is not None:
-        rows = rows[rows[order] > seen[0]].reset_index(drop=True)
-    return (rows, seen) if len(rows) else (None, None)
+    if seen is None:
+        return rows, None, ()
+    return rows[rows[order] > seen[0]].reset_index(drop=True), seen, rows[rows[order] < seen[0]].copy()
 
 
 def _carried(values: np.ndarray, start: float) -> np.ndarray:

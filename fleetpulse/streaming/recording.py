@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetpulse.operators.history import bounded
-from fleetpulse.settings import HISTORY_MAX_ROWS, RETENTION_MS
+from fleetpulse.operators.history import bounded, bounded_by_own_clock
+from fleetpulse.schemas import HISTORY
 from fleetpulse.sources import history_store
 from fleetpulse.streaming.counters import POLL_TRIGGER
 
@@ -26,35 +27,58 @@ def keep_bounded(
     path: str,
     staging: str,
     now_ms: Callable[[DataFrame], int] | None = None,
-    max_rows: int = HISTORY_MAX_ROWS,
-    max_age_ms: int = RETENTION_MS,
+    max_rows: int | None = None,
+    max_age_ms: int | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function that merges recorded rows into the stored history and re-applies its bounds.
 
-    Only partitions of applications in the batch are rewritten. The merged rows are first written to a staging table
-    and then replace the partitions, so nothing is read from a place that is being written. Rows are merged by
-    identity and the bounds are idempotent, so a batch that is run again leads to the same history.
+    Only partitions of applications in the batch are rewritten, and the age of a row is measured against the newest time
+    of its own application, unless `now_ms` gives a present for all. The merged rows are first written to a staging table
+    and then replace the partitions, so nothing is read from a place that is being written. A batch that is run again
+    after its merged rows were complete only replaces the partitions: what a failed replacement has removed from the
+    store is still in them.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stage = f"{staging}/batch={batch_id}"
+        if not _exists(spark, f"{stage}/complete"):
+            _merge_into(spark, batch, stage)
+            spark.range(1).write.mode("overwrite").parquet(f"{stage}/complete")
+        merged = spark.read.schema(HISTORY).parquet(f"{stage}/merged")
+        history_store.replace_apps(merged, path)
+        new = spark.read.schema(HISTORY).parquet(f"{stage}/new")
+        emptied = new.select("appId").distinct().join(merged.select("appId").distinct(), "appId", "left_anti")
+        if now_ms is not None:  # with their own clock applications keep their newest row
+            history_store.reset(spark, path, [row.appId for row in emptied.collect()])
+
+    def _merge_into(spark: SparkSession, batch: DataFrame, stage: str) -> None:
         history_store.conform(batch).write.mode("overwrite").parquet(f"{stage}/new")
-        new = spark.read.parquet(f"{stage}/new")
-        newest = new.agg(F.max("timeMs")).first()[0] if now_ms is None else now_ms(new)
-        if newest is None:
-            return
+        new = spark.read.schema(HISTORY).parquet(f"{stage}/new")
         # Only partitions of the batch's applications are read: with this filter on the small side Spark prunes the
         # stored partitions at run time.
         touched = new.filter("pollSeq > 0").select("appId").distinct()
         stored = history_store.read(spark, path).join(touched, "appId", "left_semi")
         merged = stored.unionByName(new).dropDuplicates(["appId", "pollSeq", "executor"])
-        bounded(merged, newest, max_rows, max_age_ms).write.mode("overwrite").parquet(f"{stage}/merged")
-        history_store.replace_apps(spark.read.parquet(f"{stage}/merged"), path)
+        if now_ms is None:
+            kept = bounded_by_own_clock(merged, max_rows, max_age_ms)
+        else:
+            kept = bounded(merged, now_ms(new), max_rows, max_age_ms)
+        kept.write.mode("overwrite").parquet(f"{stage}/merged")
 
     return merge
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
+
+
 def record_stream(
     history: DataFrame, path: str, staging: str, checkpoint: str, trigger: dict | None = None, **bounds
 ) -> StreamingQuery:

@@ -74,7 +74,7 @@ def test_row_cap_comes_after_age(history):
     rows = [{"timeMs": NOW - 3_700_000} for _ in range(5)] + [{"timeMs": NOW} for _ in range(3)]
     rows += [{"timeMs": NOW - 3_700_000, "ingestSeq": 100 + i} for i in range(5)]
     df = history(*rows, *[{"timeMs": NOW, "appId": "other", "ingestSeq": i} for i in range(2)])
-    found = H.bounded(df, NOW, max_rows=2).collect()
+    found = H.bounded(df, NOW, max_rows=2, max_age_ms=3_600_000).collect()
     assert sorted((r.appId, r.ingestSeq) for r in found) == [("app", 6), ("app", 7), ("other", 0), ("other", 1)]
 
 
@@ -136,7 +136,8 @@ def test_store_round_trip(history, spark, tmp_path):
     history_store.append(history({"appId": "a", "timeMs": NOW, "ingestSeq": 9}), path)
     stored = history_store.read(spark, path)
     assert stored.columns == HISTORY.fieldNames() and stored.count() == 3
-    assert seqs(history_store.restore(spark, path, NOW)) == [0, 9]
+    assert seqs(history_store.restore(spark, path, NOW, max_age_ms=3_600_000)) == [0, 9]
+    assert seqs(history_store.restore(spark, path, NOW)) == [0, 1, 9]
     history_store.persist_tail(stored, str(tmp_path / "tail"), 1)
     assert seqs(history_store.read(spark, str(tmp_path / "tail"))) == [1, 9]
     assert history_store.read(spark, path).count() == 3  # persisting never changes the history
@@ -155,6 +156,17 @@ def test_bad_json_history_is_dropped(spark, tmp_path):
     assert [(r.appId, r.executor, r.heapMB) for r in rows] == [("a", "1", 2.5)]
 
 
+def test_json_history_gets_time_and_order_from_its_records(spark, tmp_path):
+    path = tmp_path / "h.json"
+    record = '{"appId": "a", "executor": "%s", "timeIso": "2024-01-01T00:00:0%d.500Z"}'
+    path.write_text("\n".join(record % r for r in (("1", 5), ("driver", 5), ("1", 0))))
+    rows = history_store.read_json(spark, str(path))
+    assert sorted(r.timeMs - 1704067200000 for r in rows.collect()) == [500, 5500, 5500]
+    assert [r.executor for r in H.persisted_tail(rows, 1).collect()] == ["1"]
+    assert H.bounded(rows, 1704067205000, max_age_ms=1000).count() == 2
+    assert H.in_range(rows, 1704067205000, 1).count() == 3
+
+
 def test_csv_document(history):
     df = history(
         {"timeMs": NOW, "host": 'a;"b"', "heapMB": 1.0, "heapPct": 12.25, "shuffleReadMB": 1e7},

@@ -128,6 +128,12 @@ def test_newest_rows(spark, data, n, width):
     assert found == expected
 
 
+def test_newest_rows_keeps_null_keys_and_null_orders(spark):
+    df = spark.createDataFrame([(None, 5), ("k", None), ("k", 1)], "k string, o bigint")
+    assert newest_rows(df, ["k"], "o", 10).count() == 3
+    assert {(r.k, r.o) for r in newest_rows(df, ["k"], "o", 1).collect()} == {(None, 5), ("k", 1)}
+
+
 def test_newest_rows_breaks_ties(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 1, "b"), ("k", 0, "c")], "k string, o bigint, t string")
     assert [r.t for r in newest_rows(df, ["k"], "o", 1, ties=["t"]).collect()] == ["b"]

@@ -59,7 +59,8 @@ def test_status_states(samples):
     assert (shown.state, shown.level) == ("ok", "warn")
     assert shown.message == "Shown executors: 2 | unhealthy: 1 | heap available for 1 | active tasks: 2 | failed tasks: 4."
     assert one(F.col("executor_id") == "1").level == "normal"
-    assert one(F.lit(False)).message == "No active executors found."
+    dead = rollups.status(rows, F.lit(True), samples=samples({"poll_seq": 1}, {"poll_seq": 1, "app_id": "dead", "is_active": False}))
+    assert {r.app_id: r.message for r in dead.collect()}["dead"] == "No active executors found."
     assert one(F.lit(False), only_unhealthy=True).message == "No unhealthy executors with current filters."
     assert one(F.lit(False), mode="selected").message.startswith("No executors selected")
     no_heap = rollups.status(rows.withColumn("heap_bytes", F.lit(None).cast("bigint")), F.lit(True)).first()

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetpulse.schemas import SAMPLES
 from fleetpulse.sources import events, snapshots
@@ -59,6 +60,30 @@ def test_event_log(spark, tmp_path):
     assert {tuple(r)[1:] for r in events.parse_event_log(lines).collect()} == {e[1:] for e in expected}
 
 
+@pytest.mark.parametrize(
+    "path, app",
+    [
+        ("app-20240101-0001", "app-20240101-0001"),
+        ("app-20240101-0001_2.zstd.inprogress", "app-20240101-0001"),
+        ("application_17_0003_1.lz4", "application_17_0003"),
+        ("eventlog_v2_app-1/events_1_app-1", "app-1"),
+        ("eventlog_v2_app-1_2/events_2_app-1_2.compact", "app-1"),
+        ("local-1700.snappy", "local-1700"),
+    ],
+)
+def test_application_of_a_log(spark, path, app):
+    df = spark.createDataFrame([(f"s3a://logs/x/{path}",)], "p string")
+    assert df.select(events.app_of_log(F.col("p"))).first()[0] == app
+
+
+def test_rolled_log_is_one_application(spark, tmp_path):
+    folder = tmp_path / "eventlog_v2_app-7"
+    folder.mkdir()
+    for i in (1, 2):
+        (folder / f"events_{i}_app-7").write_text(LOG[0])
+    assert {r.app_id for r in events.read_event_log(spark, str(folder)).collect()} == {"app-7"}
+
+
 def test_process_samples_ignore_other_messages(spark, tmp_path):
     lines = ['{"appId":"a","executorId":"1","sampleSeq":4,"cpuPct":2.5}', '{"kind":"other"}', "x", '{"appId":"a","executorId":"1","cpuPct":"high"}']
     (tmp_path / "m.json").write_text("\n".join(lines))

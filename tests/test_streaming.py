@@ -56,12 +56,13 @@ def test_unhealthy_alerts(spark, derived, tmp_path):
     same(found, R.executor_rows(derived).filter("is_unhealthy").select(*KEYS))
 
 
-def test_old_and_repeated_samples_are_ignored(spark, samples, tmp_path):
+def test_old_samples_have_no_deltas_and_repeats_are_ignored(spark, samples, tmp_path):
     row = lambda poll, gc: {"poll_seq": poll, "total_gc_ms": gc}
     parts = [samples(row(2, 20), row(1, 10)), samples(row(2, 99), row(1, 98), row(3, 50), row(3, 50)), samples(row(5, None)), samples(row(6, 55))]
     found = Feed(spark, tmp_path, SAMPLES).rows(parts, lambda s: deltas.stream_deltas(s).select("poll_seq", "gc_delta_ms"))
     assert sorted(tuple(r) for r in found.collect() if r.gc_delta_ms is not None) == [(2, 10), (3, 30), (6, 5)]
-    assert found.count() == 5
+    # poll 1 comes once more after poll 2 was seen; the repeats of polls 2 and 3 do not
+    assert sorted(r.poll_seq for r in found.collect()) == [1, 1, 2, 3, 5, 6]
 
 
 def test_idle_state_expires(spark, samples, tmp_path):
@@ -128,8 +129,43 @@ def test_bounded_history_stream(spark, derived, tmp_path):
     for part in cuts(derived):
         feed.step(part, start)
     history = H.to_history(R.executor_rows(derived))
-    now = history.agg(F.max("timeMs")).first()[0]
-    same(history_store.read(spark, f"{root}/history"), H.conform(H.bounded(history, now, **bounds)))
+    same(history_store.read(spark, f"{root}/history"), H.conform(H.bounded_by_own_clock(history, **bounds)))
+
+
+def test_clocks_of_applications_are_their_own(spark, samples, tmp_path):
+    day = 24 * 3_600_000
+    rows = R.executor_rows(samples({"poll_seq": 1, "wall_ms": 0}, {"poll_seq": 1, "wall_ms": 0, "app_id": "b"}))
+    more = R.executor_rows(samples({"poll_seq": 2, "wall_ms": 11 * day}, {"poll_seq": 2, "wall_ms": 5000, "app_id": "b"}))
+    merge = recording.keep_bounded(f"{tmp_path}/history", f"{tmp_path}/stage", max_age_ms=3_600_000)
+    merge(H.to_history(rows), 0)
+    merge(H.to_history(more), 1)
+    stored = history_store.read(spark, f"{tmp_path}/history")
+    assert sorted((r.appId, r.pollSeq) for r in stored.collect()) == [("app", 2), ("b", 1), ("b", 2)]
+
+
+def test_an_emptied_application_is_removed(spark, samples, tmp_path):
+    rows = H.to_history(R.executor_rows(samples({"poll_seq": 1, "wall_ms": 0}, {"poll_seq": 1, "wall_ms": 9000, "app_id": "b"})))
+    places = f"{tmp_path}/history", f"{tmp_path}/stage"
+    recording.keep_bounded(*places)(rows, 0)
+    recording.keep_bounded(*places, now_ms=lambda new: 10_000, max_age_ms=2000)(rows, 1)
+    assert [r.appId for r in history_store.read(spark, places[0]).collect()] == ["b"]
+
+
+def test_a_batch_that_died_while_replacing_loses_nothing(spark, samples, tmp_path, monkeypatch):
+    first, second = (H.to_history(R.executor_rows(samples({"poll_seq": p}))) for p in (1, 2))
+    places = f"{tmp_path}/history", f"{tmp_path}/stage"
+    recording.keep_bounded(*places)(first, 0)
+
+    def die(merged, path):
+        history_store.reset(spark, path, ["app"])
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(history_store, "replace_apps", die)
+        with pytest.raises(RuntimeError):
+            recording.keep_bounded(*places)(second, 1)
+    recording.keep_bounded(*places)(second, 1)
+    assert sorted(r.pollSeq for r in history_store.read(spark, places[0]).collect()) == [1, 2]
 
 
 def test_a_repeated_batch_changes_nothing(spark, derived, tmp_path):
