@@ -8,10 +8,10 @@ are close together:
    set must meet it: a link leaves out at most 15 % of a set. A region with at most `REGION` classes is joined at once;
    a class with enough such regions to be sure (over 15 % of its size) is settled.
 2. Classes that are not settled are small or lie in crowded regions. They are joined among themselves, in the regions of as
-   many of their rarest shingles as a link can leave out, and one more. In each region the smallest class is the pivot. Exact
-   distances to pivots split a region into cells; classes within the threshold belong to the pivot's cell and need no
-   pairs. Others meet only members whose distance to the pivot differs by at most the threshold (triangle inequality)
-   and that are not connected with them already.
+   many of their rarest shingles as a link can leave out, and one more. The most central class of a region is its pivot, and
+   exact distances to it split the region: classes within the threshold belong to the pivot's cell and need no pairs.
+   Of the others, two can be linked only if their distances to the pivot add up to no more than a link allows (triangle
+   inequality), or if they differ from the pivot in the same places; so the places of a cell are joined in turn as sets were.
 
 All candidates are checked with whole sets. Results are components; no cap drops a pair.
 """
@@ -233,38 +233,86 @@ def crowded_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     members = materialize(sets.select("cls", "n", "shingles").mapInArrow(explode, "k long, cls long, n long"), "members")
     sizes = members.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
-    rarest = F.row_number().over(Window.partitionBy("cls").orderBy("df", "k"))
-    window = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    prefix = members.join(sizes, "k").where("df > 1").withColumn("rank", rarest)
+    sized = members.join(sizes, "k")
+    # How central a class is: the mean logarithm of how many classes share its shingles.
+    central = sized.groupBy("cls").agg(F.avg(F.ln("df")).alias("c"), F.count_if(F.col("df") == 1).alias("alone"))
     # A shingle of one class only can be in no common set, but it takes its place among those a link may leave out.
-    single = members.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("all"))
-    shared = prefix.groupBy("cls").agg(F.count(F.lit(1)).alias("shared"))
-    budget = single.join(shared, "cls").select(F.col("cls").alias("_cls"), (F.col("all") - F.col("shared")).alias("alone"))
-    kept = prefix.join(budget, F.col("cls") == F.col("_cls")).where(F.col("rank") <= window - F.col("alone"))
-    regions = materialize(kept.select("k", "cls", "n"), "regions")
-    pivots = regions.groupBy("k").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("k", "pivot")
-    met = regions.join(pivots, "k")
-    size_fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    to_pivot = met.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    exact = materialize(overlaps(to_pivot, sets), "distances")
-    links = exact.where(is_link(percent)).select("a", "b")
-    roots = components(links)
+    window = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - F.col("alone")
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "k"))
+    kept = sized.where("df > 1").withColumn("rank", rank).join(central, "cls").where(F.col("rank") <= window)
+    regions = materialize(kept.select("k", "cls", "n", "c"), "regions")
+
+    # The most central class of a region is its pivot; every member learns how far from it it is.
+    pivots = regions.groupBy("k").agg(F.max(F.struct("c", "cls")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = regions.join(pivots, "k").select(F.col("p.cls").alias("a"), F.col("p.c").alias("ac"), F.col("cls").alias("b"), F.col("c").alias("bc"))
+    cells = materialize(differences(met.distinct(), sets), "cells")
+    links = cells.where("a <> b").where(is_link(percent)).select("a", "b", "ac", "bc")
+
+    # A class hangs on the most central pivot it is linked with, and that one likewise: two steps upwards.
+    up = links.groupBy("b").agg(F.max(F.struct(F.col("ac").alias("c"), F.col("a").alias("cls"))).alias("u")).select("b", F.col("u.cls").alias("up"))
+    above = up.select(F.col("b").alias("up"), F.col("up").alias("top"))
+    roots = materialize(up.join(above, "up", "left").select("b", F.coalesce("top", "up").alias("root")), "roots")
+    named = cells.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), F.col("m").alias("n"), (F.col("n") + F.col("m") - 2 * F.col("common")).alias("far"), "apart")
+    named = named.join(roots.withColumnRenamed("b", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = named.join(roots.toDF("pivot", "top"), "pivot", "left").withColumn("open", F.col("root") != F.coalesce("top", "pivot"))
+    # Cells without open classes are decided.
+    undecided = named.groupBy("pivot").agg(F.max("open").alias("any")).where("any").select("pivot")
+    named = materialize(named.join(undecided, "pivot", "left_semi"), "open-cells")
+
+    # x and y differ from one another where just one of them differs from the pivot: in far_x + far_y - 2 * shared places. A link
+    # allows `most` places, so by the triangle inequality it needs far_x + far_y <= most or shared differences.
+    def sides(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+        x, y = (d.select(*on, F.struct(*(c for c in d.columns if c not in on)).alias(n)) for d, n in ((df, "x"), (other, "y")))
+        most = F.col("x.n") + F.col("y.n") - 2 * least_common(F.col("x.n"), F.col("y.n"), percent)
+        both = x.join(y, on).withColumn("over", F.col("x.far") + F.col("y.far") - most)
+        return both.where((F.col("x.root") != F.col("y.root")) & (~F.col("y.open") | (F.col("x.cls") < F.col("y.cls"))))
+
+    def pairs_of(df: DataFrame) -> DataFrame:
+        return df.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+
+    plain = named.drop("apart").where(F.col("far") * percent <= F.col("n") * (100 - percent))
+    close = pairs_of(sides(plain.where("open"), plain, ["pivot"]).where("over <= 0"))
+    places = named.mapInArrow(spread, "pivot long, cls long, n long, far long, root long, open boolean, e long")
+    shared = places.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("pivot", "cls").orderBy("df", "e")
+    ranked = places.join(shared, ["pivot", "e"]).withColumn("rank", F.row_number().over(order)).where("df > 1").drop("df")
+    ranked = materialize(ranked, "places")
+    need = F.ceil(F.col("over") / 2)
+    early = (F.col("x.rank") <= F.col("x.far") - need + 1) & (F.col("y.rank") <= F.col("y.far") - need + 1)
+    meets = pairs_of(sides(ranked.where("open"), ranked, ["pivot", "e"]).where((F.col("over") > 0) & early))
+    return links.select("a", "b"), close.unionByName(meets).distinct()
+
+
+def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each place in which a class differs from its pivot."""
+    for batch in batches:
+        apart = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("apart")]
+        for at in range(0, len(apart), 512):
+            part = apart[at : at + 512]
+            rows = pa.array(np.repeat(np.arange(at, at + len(part)), [x.size for x in part]))
+            kept = [batch.column(c).take(rows) for c in ("pivot", "cls", "n", "far", "root", "open")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(part))], ["pivot", "cls", "n", "far", "root", "open", "e"])
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, ac, bc) with their intersection and set sizes, and `apart`, the shingles that only one of them has."""
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right"))
+    names = ["a", "b", "ac", "bc"]
 
-    # Distances to the region's pivot, and what is connected so far.
-    distance = 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
-    near = exact.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), distance.alias("d"))
-    near = near.unionByName(exact.select(F.col("a").alias("pivot"), F.col("a").alias("cls"), F.lit(0.0).alias("d")).distinct())
-    located = met.join(near, ["pivot", "cls"])
-    named = roots.select(F.col("node").alias("cls"), "root")
-    located = located.join(named, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    located = located.join(named.select(F.col("cls").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
-    located = materialize(located.withColumn("pivot_root", F.coalesce("pivot_root", "pivot")), "cells")
-    outside = located.where("root <> pivot_root").select("k", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("d").alias("xd"), F.col("root").alias("xr"))
-    slack = 1 - percent / 100 + 1e-9
-    meets = located.join(outside, "k").where((F.col("root") != F.col("xr")) & (F.abs(F.col("d") - F.col("xd")) <= slack))
-    meets = meets.where(size_fits(F.col("n"), F.col("xn")) & (F.col("cls") != F.col("pivot")))
-    pairs = meets.select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
-    return links, pairs
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x, y in zip(batch.column("left"), batch.column("right")):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                apart = np.setxor1d(x, y, assume_unique=True)
+                rows.append(((x.size + y.size - apart.size) // 2, x.size, y.size, apart.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "common", "n", "m", "apart"])
+
+    both = pairs.join(left, "a").join(right, "b").select(*names, "left", "right")
+    return both.mapInArrow(compare, "a long, b long, ac double, bc double, common long, n long, m long, apart binary")
 
 
 def row_id() -> Column:

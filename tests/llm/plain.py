@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter
 
+SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -39,7 +40,8 @@ def near_duplicates(rows, percent=85):
 
     def find(i):
         while root[i] != i:
-            i = root[i] = root[root[i]]
+            root[i] = root[root[i]]
+            i = root[i]
         return i
 
     for i, a in enumerate(sets):

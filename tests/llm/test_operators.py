@@ -9,7 +9,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from plain import SMALL
 from fleetpulse.llm import jaccard, mixing, packing, preferences, quality, secrets, sharding, toxicity, url_filter, vectors
 from fleetpulse.llm.components import components
 from fleetpulse.llm.queries import ORACLE_SQL, QUERIES

@@ -1,6 +1,6 @@
 import corpus_pipeline
 import plain
-from conftest import SMALL
+from plain import SMALL
 
 
 def test_stages(spark):
