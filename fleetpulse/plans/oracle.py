@@ -685,7 +685,7 @@ _add(
     WHEN with_heap = 0 THEN 'Executors found but heap metric is not available from the REST API (check executorMetrics).'
     ELSE printf('Shown executors: %d | unhealthy: %d | heap available for %d | active tasks: %d | failed tasks: %d.',
       shown, unhealthy, with_heap, active_tasks, failed_tasks) END AS message
-FROM (SELECT app_id, poll_seq, count(r.wall_ms) AS live, CAST(count_if(is_unhealthy) AS BIGINT) AS shown, CAST(count_if(is_unhealthy) AS BIGINT) AS unhealthy,
+FROM (SELECT app_id, poll_seq, count(r.wall_ms) AS live, count(*) FILTER (WHERE is_unhealthy) AS shown, count(*) FILTER (WHERE is_unhealthy) AS unhealthy,
     count(heap_bytes) AS with_heap, CAST(coalesce(sum(active_tasks) FILTER (WHERE is_unhealthy), 0) AS BIGINT) AS active_tasks,
     CAST(coalesce(sum(failed_tasks) FILTER (WHERE is_unhealthy), 0) AS BIGINT) AS failed_tasks
   FROM (SELECT DISTINCT app_id, poll_seq FROM executor_samples) LEFT JOIN executor_rows r USING (app_id, poll_seq)
