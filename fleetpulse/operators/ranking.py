@@ -122,15 +122,29 @@ def default_direction(key: str) -> str:
     return "asc" if key in ("executor_id", "host") else "desc"
 
 
-def sort_rows(rows: DataFrame, key: str = "heap_pct", direction: str | None = None) -> DataFrame:
-    """Table order: empty values last in both directions, text in natural order, ties by id."""
+def _table_order(rows: DataFrame, key: str, direction: str | None) -> tuple[DataFrame, list[Column]]:
     direction = direction or default_direction(key)
     if direction not in ("asc", "desc"):
         raise ValueError(f"direction must be 'asc' or 'desc', got {direction!r}")
     value = natural_key(F.nullif(F.col(key), F.lit(""))) if key in TEXT_SORT_KEYS else F.col(key)
     keyed = rows.withColumns({"_value": value, NATURAL: natural_key(F.col("executor_id"))})
     first = F.col("_value").asc_nulls_last() if direction == "asc" else F.col("_value").desc_nulls_last()
-    return keyed.orderBy(first, NATURAL, "executor_id").drop("_value", NATURAL)
+    return keyed, [first, F.col(NATURAL), F.col("executor_id")]
+
+
+def sort_rows(rows: DataFrame, key: str = "heap_pct", direction: str | None = None) -> DataFrame:
+    """Table order: empty values last in both directions, text in natural order, ties by id."""
+    keyed, order = _table_order(rows, key, direction)
+    return keyed.orderBy(*order).drop("_value", NATURAL)
+
+
+def row_positions(
+    rows: DataFrame, within: Sequence[str], key: str = "heap_pct", direction: str | None = None
+) -> DataFrame:
+    """`position` of each row in the table order of its `within` group, the executors of one table."""
+    keyed, order = _table_order(rows, key, direction)
+    position = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
+    return keyed.withColumn("position", position).drop("_value", NATURAL)
 
 
 def sort_series(found: DataFrame, within: Sequence[str]) -> DataFrame:
@@ -139,6 +153,13 @@ def sort_series(found: DataFrame, within: Sequence[str]) -> DataFrame:
     return keyed.orderBy(*within, F.col("executor_id") != "driver", NATURAL, "executor_id").drop(NATURAL)
 
 
+def series_positions(found: DataFrame, within: Sequence[str]) -> DataFrame:
+    """`position` of each series in that order, counted in each `within` group."""
+    keyed = found.withColumn(NATURAL, natural_key(F.col("executor_id")))
+    window = Window.partitionBy(*within).orderBy(F.col("executor_id") != "driver", NATURAL, "executor_id")
+    return keyed.withColumn("position", F.row_number().over(window)).drop(NATURAL)
+
+
 def top_rows(rows: DataFrame, metric: str, limit: int) -> DataFrame:
     """Highest rows of one metric over the whole input."""
     keyed = rows.filter(F.col(metric).isNotNull()).withColumn(NATURAL, natural_key(F.col("executor_id")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -622,12 +623,18 @@ def _(spark, sf_dir):
 
 @query("o01_table_sort")
 def _(spark, sf_dir):
-    return ranking.sort_rows(latest_of(spark, sf_dir)).select(*ROW, "heap_pct")
+    """Positions under several keys and both directions, with empty values and text among them."""
+    latest, found = latest_of(spark, sf_dir), []
+    for key, direction in (("heap_pct", None), ("heap_pct", "asc"), ("gc_delta_ms", "asc"), ("rss_mb", "desc"), ("host", None)):
+        placed = ranking.row_positions(latest, ["app_id"], key, direction)
+        name = f"{key} {direction or ranking.default_direction(key)}"
+        found.append(placed.select(*ROW, "position", F.lit(name).alias("sorted_by")))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("o02_visible_series")
 def _(spark, sf_dir):
-    return ranking.sort_series(series.visible_series(grid_of(spark, sf_dir)), ["app_id", "metric"])
+    return ranking.series_positions(series.visible_series(grid_of(spark, sf_dir)), ["app_id", "metric"])
 
 
 @query("o03_top_rows")

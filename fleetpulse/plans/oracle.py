@@ -835,12 +835,24 @@ FROM executor_samples""",
 )
 
 # Order, retention and sets.
-_add("o01_table_sort", ROWS, f"SELECT app_id, executor_id, poll_seq, heap_pct FROM executor_rows WHERE {_LATEST}")
+_SORTS = {"heap_pct desc": "heap_pct DESC", "heap_pct asc": "heap_pct", "gc_delta_ms asc": "gc_delta_ms", "rss_mb desc": "rss_mb DESC", "host asc": "host"}
+_add(
+    "o01_table_sort",
+    ROWS,
+    "\nUNION ALL ".join(
+        f"""SELECT app_id, executor_id, poll_seq, '{name}' AS sorted_by,
+  CAST(row_number() OVER (PARTITION BY app_id ORDER BY {order} NULLS LAST, executor_id) AS INTEGER) AS position
+FROM executor_rows WHERE {_LATEST}"""
+        for name, order in _SORTS.items()
+    ),
+)
 _add(
     "o02_visible_series",
     GRID,
     "\nUNION ALL ".join(
-        f"SELECT app_id, executor_id, '{c}' AS metric, count({c}) AS points FROM grid GROUP BY ALL HAVING count({c}) > 0"
+        f"""SELECT app_id, executor_id, '{c}' AS metric, count({c}) AS points,
+  CAST(row_number() OVER (PARTITION BY app_id ORDER BY executor_id <> 'driver', executor_id) AS INTEGER) AS position
+FROM grid GROUP BY app_id, executor_id HAVING count({c}) > 0"""
         for c in ["heap", "overhead", "off_heap", "total", "rss", "gc_delta", "saturation", "cpu"]
     ),
 )
