@@ -143,6 +143,25 @@ ranked AS (
   FROM captures c LEFT JOIN suffixes s ON c.host = s.host
     LEFT JOIN held h ON h.domain = s.domain AND h.listed_on <= c.fetched_on AND (h.valid_to IS NULL OR c.fetched_on < h.valid_to))
 SELECT page_id, host, fetched_on, domain, listed_on, blocked FROM ranked WHERE n = 1""",
+    "op5_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS shingle
+    FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b USING (shingle)
+  WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT s.y, r.other FROM reach r JOIN steps s ON s.x = r.id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(other) AS least_id FROM reach GROUP BY id) ON id = d.doc_id""",
     "op7_mixing": """
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 shares AS (
