@@ -13,7 +13,7 @@ from fleetpulse.functions import health, memory, numbers, tasks, text
 from fleetpulse.operators import asof, ranking, rollups, rows as R, selection, series
 from fleetpulse.operators import history as H
 from fleetpulse.operators.joins import spread_join
-from fleetpulse.operators.ordered import SEGMENT, ordered_scan, poll_ordinals, with_segments
+from fleetpulse.operators.ordered import SEGMENT, SPLIT, Split, ordered_scan, poll_ordinals, with_segments
 from fleetpulse.plans import derive
 from fleetpulse.plans.views import live_summary, live_table
 from fleetpulse.schemas import EXECUTOR, SAMPLES
@@ -33,10 +33,13 @@ SMALL_CAP = 500
 MAX_AGE_MS = 30 * 60 * 1000
 
 # The derived samples of an executor, and the polls of an application, are at most the hours of a month
-# (derive.MAX_POLLS), whatever the size of the events table. Plain windows over them are safe and save the second pass
+# (8,784 a year), whatever the number of events. Plain windows over them are safe and save the second pass
 # that keys of unknown size need. Queries over events themselves keep the default, which splits hot keys.
 PER_KEY = None
 
+# Cuts almost every key of the test tables, so that queries cover the cut path too.
+SMALL_SPLIT = Split(max_rows=40, segment_rows=16)
+
 
 def query(name: str):
     def register(build: Query) -> Query:
@@ -62,10 +65,10 @@ def process_cpu_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.process_cpu(derive.process_readings(derive.read_events(spark, sf_dir)))
 
 
-def published_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def published_of(spark: SparkSession, sf_dir: str, split: Split = SPLIT) -> DataFrame:
     """CPU percentages; the two scans run over the same executors and axis, so they share one placement of the rows."""
     readings = derive.process_readings(derive.read_events(spark, sf_dir))
-    placed = with_segments(readings, EXECUTOR, "sample_seq")
+    placed = with_segments(readings, EXECUTOR, "sample_seq", split)
     return R.process_cpu_pct(derive.process_cpu(placed)).drop(SEGMENT)
 
 
@@ -439,6 +442,12 @@ def _(spark, sf_dir):
     return asof.cpu_time_as_of(polls, task_ends_of(spark, sf_dir))
 
 
+@query("j01_cpu_time_as_of_poll_cut_keys")
+def _(spark, sf_dir):
+    polls = samples_of(spark, sf_dir).select(*ROW)
+    return asof.cpu_time_as_of(polls, task_ends_of(spark, sf_dir), split=SMALL_SPLIT)
+
+
 @query("j01_cpu_time_total")
 def _(spark, sf_dir):
     polls = ranking.latest_poll(samples_of(spark, sf_dir)).select(*ROW)
@@ -588,6 +597,16 @@ def _(spark, sf_dir):
     return published_of(spark, sf_dir)
 
 
+@query("x03_cpu_cascade_cut_keys")
+def _(spark, sf_dir):
+    return R.executor_rows(samples_of(spark, sf_dir), split=SMALL_SPLIT).select(*ROW, "cpu_pct", "cpu_source")
+
+
+@query("x04_process_cpu_pct_cut_keys")
+def _(spark, sf_dir):
+    return published_of(spark, sf_dir, SMALL_SPLIT)
+
+
 @query("x05_change_direction")
 def _(spark, sf_dir):
     return R.change_directions(samples_of(spark, sf_dir), split=PER_KEY)

@@ -1,7 +1,7 @@
 """Executor telemetry derived from an `events` table.
 
 Event rows are read as finished tasks of a fleet: an application is a slice of 150 users split three ways, an executor
-is one of eight per application, and a poll is an hour of the month. The number of applications therefore grows with
+is one of eight per application, and a poll is an hour, numbered from the start of 2024. The number of applications therefore grows with
 the users of the table. All arithmetic is on integers so that any engine derives the same rows.
 """
 
@@ -21,7 +21,6 @@ NS_PER_VALUE = 20000000
 MANAGED_BYTES = 629145600
 STORAGE_BYTES = 314572800
 MB = 1048576
-MAX_POLLS = 31 * 24
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def executor_id():
 
 
 def poll_seq():
-    return _long("(day(ts) - 1) * 24 + hour(ts) + 1")
+    return _long("datediff(ts, DATE'2024-01-01') * 24 + hour(ts) + 1")
 
 
 def task_ends(events: DataFrame) -> DataFrame:
@@ -79,7 +78,7 @@ def executor_samples(events: DataFrame) -> DataFrame:
             F.sum("failed").alias("failed"),
         )
     )
-    # The cells of an executor are the hours of one month, MAX_POLLS at most, so plain windows per executor are safe.
+    # An executor has one cell for each hour at most (8,784 a year), so plain windows per executor are safe.
     # Placing them by executor here serves this window and those of later operators with one exchange.
     cells = cells.repartition(*EXECUTOR)
     w = Window.partitionBy(*EXECUTOR, "incarnation").orderBy("poll_seq").rowsBetween(Window.unboundedPreceding, 0)
