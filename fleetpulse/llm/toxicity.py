@@ -183,7 +183,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     `labels` has doc_id and toxic (0, 1; others are ignored). At most `training_rows` labelled ids outside fold 0 are used,
     chosen by hash: folds 1 and 2 teach the lexicon, 1 to 3 the trees, 4 the calibration. Ids only choose folds; a
     score depends on the text alone, so equal texts get equal scores. Null and empty texts are scored as texts of no words.
-    Without labels of both kinds every score is the share of toxic ones (0 without labels). A null id is not held out.
+    Without labelled rows of both kinds every score is the share of toxic labels (0 without labels). A null id is not held out.
     Kept columns with the name of an added one are replaced.
     """
     spark = docs.sparkSession
@@ -192,11 +192,11 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_label"))
     known = known.withColumn("_fold", fold("_id")).where("_fold <> 0").orderBy(F.xxhash64("_id"), "_id").limit(training_rows)
     chosen = known.collect()  # at most training_rows pairs of numbers
-    toxic = sum(r._label for r in chosen)
-    if toxic in (0, len(chosen)):
-        share = toxic / max(len(chosen), 1)
-        out = docs.select(*keep, held_out.alias("held_out"), F.lit(float(share)).alias("score"))
-        return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    share = sum(r._label for r in chosen) / max(len(chosen), 1)
+    alike = docs.select(*keep, held_out.alias("held_out"), F.lit(float(share)).alias("score"))
+    alike = alike.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    if share in (0, 1):
+        return alike
     sample = spark.createDataFrame([(r._id, int(r._label), int(r._fold)) for r in chosen], "_id long, label long, fold long")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
     lexicon = learn_lexicon(rows.where("fold <= 2"))
@@ -208,7 +208,10 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
         labelCol="label", featuresCol="_features", predictionCol="_class", maxIter=20, maxDepth=4, maxBins=64, minInstancesPerNode=5, stepSize=0.2, seed=11
     )
     trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_chances")
-    both = training.where("fold <= 3").select("label").distinct().count() == 2
+    kinds = {(r.label, r.fold <= 3) for r in training.select("label", "fold").distinct().collect()}
+    if len({label for label, _ in kinds}) < 2:
+        return alike
+    both = {(0, True), (1, True)} <= kinds
     model = trees.fit(training.where("fold <= 3") if both else training)
     margin = vector_to_array("_raw")[1]
     calibration = model.transform(training.where("fold = 4") if both else training).select("label", margin.alias("_margin"))
