@@ -14,7 +14,7 @@ from fleetpulse.operators import asof, ranking, rollups, rows as R, selection, s
 from fleetpulse.operators import history as H
 from fleetpulse.operators.joins import spread_join
 from fleetpulse.operators.ordered import SEGMENT, SPLIT, Split, ordered_scan, poll_ordinals, with_segments
-from fleetpulse.plans import derive
+from fleetpulse.plans import derive, views
 from fleetpulse.plans.views import live_summary, live_table
 from fleetpulse.schemas import EXECUTOR, SAMPLES
 from fleetpulse.settings import HISTORY_MAX_ROWS, RETENTION_MS, Settings
@@ -559,6 +559,34 @@ def _(spark, sf_dir):
     return H.range_info(history, H.in_range(history, NOW_MS, RANGE_MINUTES))
 
 
+def range_summary_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return views.range_summary(history_of(spark, sf_dir), NOW_MS, RANGE_MINUTES, Settings(memory_mode="estimated"))
+
+
+@query("v01_range_table")
+def _(spark, sf_dir):
+    estimated = Settings(memory_mode="estimated")
+    table = views.range_table(history_of(spark, sf_dir), NOW_MS, RANGE_MINUTES, estimated, only_unhealthy=True)
+    return table.select(*ROW, "host", "heap_pct", "total_memory_mb", "gc_delta_ms", "failed_tasks")
+
+
+@query("v02_range_summary")
+def _(spark, sf_dir):
+    summary, _offenders = range_summary_of(spark, sf_dir)
+    return summary.withColumns({c: F.round(c, 4) for c in ["avg_heap_pct", "avg_gc_delta_ms"]})
+
+
+@query("v03_range_offenders")
+def _(spark, sf_dir):
+    _summary, offenders = range_summary_of(spark, sf_dir)
+    return offenders
+
+
+@query("v04_range_label")
+def _(spark, sf_dir):
+    return views.range_info(history_of(spark, sf_dir), NOW_MS, RANGE_MINUTES)
+
+
 @query("d10_selection_state")
 def _(spark, sf_dir):
     samples = samples_of(spark, sf_dir)

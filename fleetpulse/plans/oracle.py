@@ -909,6 +909,23 @@ _add(
     "SELECT app_id, executor_id, poll_seq, heap_pct, gc_delta_ms, failed_tasks FROM executor_rows WHERE is_unhealthy",
 )
 
+# The range view over the last samples of a history.
+_IN_RANGE, _LAST = ORACLE_SQL["d08_last_samples"].split("\nSELECT *, ", 1)
+_LAST = f"{_IN_RANGE},\nlast_samples AS (SELECT *, {_LAST})"
+ORACLE_SQL["v01_range_table"] = f"""{_LAST}
+SELECT app_id, executor_id, poll_seq, host, heap_pct, total_memory_mb, gc_delta_ms, failed_tasks FROM last_samples WHERE is_unhealthy"""
+ORACLE_SQL["v02_range_summary"] = f"""{_LAST}
+SELECT app_id, {_CARDS} FROM last_samples GROUP BY app_id"""
+ORACLE_SQL["v03_range_offenders"] = f"{_LAST}\n" + "\nUNION ALL ".join(
+    f"""SELECT app_id, executor_id, host, '{m}' AS metric, CAST({m} AS DOUBLE) AS value,
+  CAST(row_number() OVER (PARTITION BY app_id ORDER BY {m} DESC, executor_id) AS INTEGER) AS rank
+FROM last_samples WHERE {m} IS NOT NULL QUALIFY rank <= 3"""
+    for m in _OFFENDERS
+)
+ORACLE_SQL["v04_range_label"] = ORACLE_SQL["d09_range_info"].replace(
+    "total_rows\nFROM (SELECT", "total_rows, 'last 30m' AS label\nFROM (SELECT", 1
+)
+
 # The same results where keys are cut into segments.
 for _name in ("x03_cpu_cascade", "x04_process_cpu_pct", "j01_cpu_time_as_of_poll"):
     ORACLE_SQL[f"{_name}_cut_keys"] = ORACLE_SQL[_name]
