@@ -196,6 +196,52 @@ def _(spark, sf_dir):
     return H.only_apps(history, live_apps_of(history)).select("appId", "executor", "pollSeq", "heapMB")
 
 
+def stored_history(spark: SparkSession, sf_dir: str) -> str:
+    """The history in a store of its own, appended in two parts."""
+    path, history = work_dir(spark, "history-store"), history_of(spark, sf_dir)
+    for early in (F.col("pollSeq") < 300, F.col("pollSeq") >= 300):
+        history_store.append(history.filter(early), path)
+    return path
+
+
+@query("s05_store_append_and_read")
+def _(spark, sf_dir):
+    return history_store.read(spark, stored_history(spark, sf_dir))
+
+
+@query("s06_store_restore")
+def _(spark, sf_dir):
+    return history_store.restore(spark, stored_history(spark, sf_dir), NOW_MS, RETENTION_MS, HISTORY_MAX_ROWS)
+
+
+@query("s07_store_tail")
+def _(spark, sf_dir):
+    path, tail = stored_history(spark, sf_dir), work_dir(spark, "history-tail")
+    history_store.persist_tail(history_store.read(spark, path), tail)
+    return history_store.read(spark, tail).select("appId", "executor", "pollSeq", "heapMB")
+
+
+@query("s08_store_reset")
+def _(spark, sf_dir):
+    path = stored_history(spark, sf_dir)
+    live = live_apps_of(history_store.read(spark, path))
+    history_store.reset(spark, path, [row.appId for row in live.collect()])
+    return history_store.read(spark, path).select("appId", "executor", "pollSeq", "heapMB")
+
+
+@query("s09_store_purge")
+def _(spark, sf_dir):
+    path = stored_history(spark, sf_dir)
+    live = live_apps_of(history_store.read(spark, path))
+    history_store.purge_stale(spark, path, [row.appId for row in live.collect()])
+    return history_store.read(spark, path).select("appId", "executor", "pollSeq", "heapMB")
+
+
+@query("s10_csv_documents")
+def _(spark, sf_dir):
+    return csv_export.csv_documents(history_of(spark, sf_dir), NOW_MS)
+
+
 @query("s10_csv_lines")
 def _(spark, sf_dir):
     return csv_export.csv_lines(history_of(spark, sf_dir))

@@ -909,6 +909,19 @@ _add(
     "SELECT app_id, executor_id, poll_seq, heap_pct, gc_delta_ms, failed_tasks FROM executor_rows WHERE is_unhealthy",
 )
 
+# The same results through a store that is written and read.
+for _name, _stored in (
+    ("s05_history_records", "s05_store_append_and_read"),
+    ("s06_history_restore", "s06_store_restore"),
+    ("s07_persisted_tail", "s07_store_tail"),
+    ("s08_history_reset", "s08_store_reset"),
+    ("s09_purge_stale_apps", "s09_store_purge"),
+):
+    ORACLE_SQL[_stored] = ORACLE_SQL[_name]
+ORACLE_SQL["s10_csv_documents"] = f"""SELECT "appId", '{";".join(HISTORY_CSV_COLUMNS)}' || chr(10) ||
+  string_agg(line, chr(10) ORDER BY "ingestSeq", executor) AS document
+FROM ({ORACLE_SQL["s10_csv_lines"]}) GROUP BY "appId" """
+
 # The range view over the last samples of a history.
 _IN_RANGE, _LAST = ORACLE_SQL["d08_last_samples"].split("\nSELECT *, ", 1)
 _LAST = f"{_IN_RANGE},\nlast_samples AS (SELECT *, {_LAST})"
