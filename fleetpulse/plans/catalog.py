@@ -127,9 +127,20 @@ def _(spark, sf_dir):
 
 @query("s01_snapshot_payloads")
 def _(spark, sf_dir):
+    """Whole responses, one for each poll of an application with all its executors, written to files and read back."""
     lines = snapshots.enriched_json(samples_of(spark, sf_dir))
-    payloads = lines.select(F.concat(F.lit("["), F.col("value"), F.lit("]")).alias("value"))
-    return snapshots.parse_payloads(payloads)
+    every = F.array_join(F.array_sort(F.collect_list("value")), ",")
+    payloads = lines.groupBy("app_id", "poll_seq").agg(F.concat(F.lit("["), every, F.lit("]")).alias("value"))
+    path = work_dir(spark, "payloads")
+    payloads.select("value").write.text(path)
+    return snapshots.parse_payloads(spark.read.text(path))
+
+
+@query("s01_snapshot_files")
+def _(spark, sf_dir):
+    path = work_dir(spark, "snapshots")
+    snapshots.write_snapshots(samples_of(spark, sf_dir), path)
+    return snapshots.read_snapshots(spark, path)
 
 
 @query("s02_task_end_log")

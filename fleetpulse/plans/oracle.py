@@ -911,6 +911,7 @@ _add(
 
 # The same results through a store that is written and read.
 for _name, _stored in (
+    ("s01_snapshot_payloads", "s01_snapshot_files"),
     ("s05_history_records", "s05_store_append_and_read"),
     ("s06_history_restore", "s06_store_restore"),
     ("s07_persisted_tail", "s07_store_tail"),
