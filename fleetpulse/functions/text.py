@@ -55,6 +55,18 @@ def pct_text(value: Column) -> Column:
     return _or_missing(value, F.concat(fixed_text(value, 1), F.lit("%")))
 
 
+# Tags behind figures that come from a certain source.
+SOURCE_TAGS = {"totalDuration": " (est.)", "OS": " (OS)", "rss": " (rss)"}
+
+
+def with_source(text: Column, source: Column) -> Column:
+    """A figure's text and, for some sources, their tag."""
+    tag = F.lit("")
+    for name, shown in SOURCE_TAGS.items():
+        tag = F.when(source == name, shown).otherwise(tag)
+    return F.concat(text, tag)
+
+
 def seconds_text(value: Column) -> Column:
     return _or_missing(value, fixed_text(value, 1))
 

@@ -419,6 +419,8 @@ def _(spark, sf_dir):
         text.pct_text(F.col("saturation_pct")).alias("saturation_text"),
         text.seconds_text(F.col("gc_seconds")).alias("gc_text"),
         text.gc_delta_text(F.col("gc_delta_ms")).alias("gc_delta_text"),
+        text.with_source(text.pct_text(F.col("cpu_pct")), F.col("cpu_source")).alias("cpu_text"),
+        text.with_source(text.mb_text(F.col("total_memory_mb")), F.col("total_memory_source")).alias("total_text"),
     )
 
 

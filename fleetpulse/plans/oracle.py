@@ -510,6 +510,10 @@ _rows(
     f"coalesce(printf('%.1f', {_fixed('gc_seconds', 1)}), '-') AS gc_text",
     "CASE WHEN gc_delta_ms IS NULL THEN 'wait…' WHEN gc_delta_ms < 1000 THEN CAST(gc_delta_ms AS VARCHAR) || ' ms' "
     f"ELSE printf('%.2f', {_fixed('gc_delta_ms / 1e3', 2)}) || ' s' END AS gc_delta_text",
+    f"coalesce(printf('%.1f', {_fixed('cpu_pct', 1)}) || '%', '-') || "
+    "CASE cpu_source WHEN 'OS' THEN ' (OS)' WHEN 'totalDuration' THEN ' (est.)' ELSE '' END AS cpu_text",
+    f"coalesce(printf('%.1f', {_fixed('total_memory_mb', 1)}), '-') || "
+    "CASE WHEN total_memory_source = 'rss' THEN ' (rss)' ELSE '' END AS total_text",
 )
 ORACLE_SQL["p22_natural_key"] = """
 SELECT event_id, concat('exec-', lpad(CAST(length(a) AS VARCHAR), 4, '0'), a, '_node', lpad(CAST(length(b) AS VARCHAR), 4, '0'), b) AS sort_key

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,11 +13,12 @@ from pyspark.sql import SparkSession
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the shared folder the cluster names in `spark.checkpoint.dir`.
 
-    Only a local session may go without that setting; it then uses a temporary folder.
+    Only a local session may go without that setting; it then uses a temporary folder, which goes with the process.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="fleetpulse-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
