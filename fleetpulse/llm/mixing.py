@@ -24,9 +24,9 @@ MAX_SOURCES = 2048
 def tempered_shares(counts: DataFrame, cycle: int = CYCLE) -> DataFrame:
     """(source, share): integer weights in proportion to the square root of the rows, at least 1, about `cycle` in all."""
     root = F.floor(F.sqrt("n"))
-    total = counts.agg(F.sum(root).alias("roots"))
-    share = F.greatest(F.lit(1).cast("long"), F.expr(f"({cycle} * CAST(floor(sqrt(n)) AS BIGINT)) DIV roots"))
-    return counts.join(F.broadcast(total)).select("source", share.alias("share"))  # one row is broadcast
+    roots = counts.agg(F.sum(root)).first()[0] or 1
+    share = F.expr(f"({cycle} * CAST(floor(sqrt(n)) AS BIGINT)) DIV {roots}")
+    return counts.select("source", F.greatest(F.lit(1).cast("long"), share).alias("share"))
 
 
 def cycle_slots(shares: DataFrame) -> DataFrame:
