@@ -17,7 +17,7 @@ from fleetpulse.llm.tables import materialize
 
 BLOCK_ROWS = 64
 CYCLE = 1024
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 MAX_SOURCES = 2048
 
 
