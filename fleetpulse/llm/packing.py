@@ -1,8 +1,9 @@
 """Packing by lexical retrieval: BM25 neighbours of a seed document fill its window.
 
 Every text is tokenised and cut. Its full windows are sequences of their own. The rest of each text, ordered so that
-lexically near texts lie together, is dealt over shards; a shard builds a BM25 inverted index of its pieces, and each seed
-takes its best unused neighbours until its window is full. The last neighbour is cut where the window ends, and what is
+lexically near texts of the whole table lie together (`likeness`), is dealt over shards; a shard builds a BM25 inverted
+index of its pieces with the document frequencies and mean length of all, and each seed takes its best unused neighbours
+until its window is full. The last neighbour is cut where the window ends, and what is
 left of it seeds the next window, so that only a task's last window can stay open.
 """
 
@@ -17,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.llm import likeness
 from fleetpulse.llm import words as W
 from fleetpulse.llm.tables import materialize
 from fleetpulse.llm.tokens import encoder
@@ -27,15 +29,14 @@ SHARD_PIECES = 512
 PARTITION_TOKENS = 4 << 20
 K1, B = 1.2, 0.75
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, near long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def cut_texts(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer_dir: str | None = None) -> DataFrame:
     """PIECES of every row of (doc_id, text): full windows, and a rest if there is one.
 
-    `ids` are unsigned 32-bit integers, little-endian. `near` is null for full windows; of a rest it is the smallest hash
-    of its ids, which texts share the more often the more ids they share.
+    `ids` are unsigned 32-bit integers, little-endian.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,12 +48,9 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, token
                 for doc_id, ids in zip(doc_ids[at:end], encode(batch.column("text").slice(at, end - at))):
                     for start in range(0, ids.size, window):
                         piece = ids[start : start + window]
-                        near = None
-                        if piece.size < window:
-                            near = int(W.mix(piece.astype(np.uint64) + np.uint64(7)).min() >> np.uint64(1))
-                        rows.append((doc_id, start, piece.size, ids.size, near, piece.astype("<u4").tobytes()))
+                        rows.append((doc_id, start, piece.size, ids.size, piece.astype("<u4").tobytes()))
                 if rows:
-                    kinds = [pa.int64()] * 5 + [pa.binary()]
+                    kinds = [pa.int64()] * 4 + [pa.binary()]
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                     yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PIECES.split(", ")])
 
@@ -60,25 +58,29 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, token
 
 
 class Shard:
-    """A BM25 inverted index over pieces of ids, and which of them are still unused."""
+    """A BM25 inverted index over pieces of ids, and which of them are still unused.
 
-    def __init__(self, pieces: list[tuple]):
+    `known` has the weights of a larger table that the pieces are from; without it they are counted here.
+    """
+
+    def __init__(self, pieces: list[tuple], known: likeness.Weights | None = None):
         self.pieces = pieces
         self.length = np.array([p[-1].size for p in pieces])
         self.free = np.ones(len(pieces), bool)
         terms, counts = zip(*(np.unique(p[-1], return_counts=True) for p in pieces))
         owner = np.repeat(np.arange(len(pieces)), [t.size for t in terms])
         term, tf = np.concatenate(terms), np.concatenate(counts)
-        known, which, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log((len(pieces) - df + 0.5) / (df + 0.5))
+        found, which, df = np.unique(term, return_inverse=True, return_counts=True)
+        idf = known.idf[found] if known else np.log((len(pieces) - df + 0.5) / (df + 0.5))
+        mean = known.mean if known else self.length.mean()
         # Ids that most pieces hold have no positive weight and are left out.
         use = idf[which] > 0
         owner, which, tf = owner[use], which[use], tf[use]
-        norm = K1 * (1 - B + B * self.length / self.length.mean())
+        norm = K1 * (1 - B + B * self.length / mean)
         weight = idf[which] * tf * (K1 + 1) / (tf + norm[owner])
         order = np.argsort(which, kind="stable")
-        self.known, self.owner, self.weight = known, owner[order], weight[order]
-        self.first = np.searchsorted(which[order], np.arange(known.size + 1))
+        self.known, self.owner, self.weight = found, owner[order], weight[order]
+        self.first = np.searchsorted(which[order], np.arange(found.size + 1))
 
     def ranked(self, ids: np.ndarray) -> np.ndarray:
         """Unused pieces, best match with `ids` first; ties in the shard's order."""
@@ -93,7 +95,9 @@ class Shard:
         return order[self.free[order]]
 
 
-def fill_windows(pieces: Iterator[tuple], window: int, shard_pieces: int, first_id: int) -> Iterator[tuple]:
+def fill_windows(
+    pieces: Iterator[tuple], window: int, shard_pieces: int, first_id: int, known: likeness.Weights | None = None
+) -> Iterator[tuple]:
     """PACKED rows for a stream of (doc_id, start, doc_tokens, ids). At most one shard is held at a time."""
     sequence, room, seed = first_id, window, None
 
@@ -105,7 +109,7 @@ def fill_windows(pieces: Iterator[tuple], window: int, shard_pieces: int, first_
         batch = [p for _, p in zip(range(shard_pieces), pieces)]
         if not batch:
             return
-        shard, next_seed, rest = Shard(batch), 0, None
+        shard, next_seed, rest = Shard(batch, known), 0, None
         while True:
             if room == window:  # a new window: what the last one cut off, or the next unused piece, is its seed
                 if rest is None:
@@ -150,11 +154,13 @@ def pack(
     gaps within a sequence. One window for each `partition_tokens` ids may stay open.
     """
     pieces = materialize(cut_texts(docs, window, end_id, tokenizer_dir), "pieces")
-    rests = pieces.where("near IS NOT NULL")
-    ids = rests.agg(F.sum("length")).first()[0] or 0
-    # Hashes spread a hot `near` over several partitions; the order of rows is the same whenever a task runs again.
+    # Hashes spread many like rests over several partitions; the order of rows is the same whenever a task runs again.
     salt = F.xxhash64("doc_id", "start", F.crc32("ids"))
-    keyed = rests.withColumn("salt", salt).repartitionByRange(max(1, -(-ids // partition_tokens)), "near", "salt")
+    rests = pieces.where(F.col("length") < window).withColumn("salt", salt)
+    known = likeness.weights(rests)
+    alike = likeness.placed(rests.drop("length"), known, likeness.learn(rests, known))
+    partitions = max(1, -(-round(known.rows * known.mean) // partition_tokens))
+    keyed = alike.repartitionByRange(partitions, "leaf", "alike", "salt")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         def stream():
@@ -162,7 +168,7 @@ def pack(
                 yield from zip(*(batch[c] for c in ("doc_id", "start", "doc_tokens")), (np.frombuffer(x, "<u4") for x in batch["ids"]))
 
         names, rows = [f.split()[0] for f in PACKED.split(", ")], []
-        for row in fill_windows(stream(), window, shard_pieces, TaskContext.get().partitionId() << 40):
+        for row in fill_windows(stream(), window, shard_pieces, TaskContext.get().partitionId() << 40, known):
             rows.append(row)
             if len(rows) == 4096:
                 yield frame(rows, names)
@@ -174,9 +180,9 @@ def pack(
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    ordered = keyed.sortWithinPartitions("near", "salt", "doc_id", "start", "ids")
+    ordered = keyed.sortWithinPartitions("leaf", "alike", "salt", "doc_id", "start", "ids")
     packed = ordered.select("doc_id", "start", "doc_tokens", "ids").mapInPandas(fill, PACKED)
-    alone = pieces.where("near IS NULL").select(
+    alone = pieces.where(F.col("length") == window).select(
         "doc_id",
         "start",
         "length",

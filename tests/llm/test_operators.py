@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plain import SMALL
-from fleetpulse.llm import jaccard, mixing, packing, preferences, quality, secrets, sharding, toxicity, url_filter, vectors
+from fleetpulse.llm import jaccard, likeness, mixing, packing, preferences, quality, secrets, sharding, toxicity, url_filter, vectors
 from fleetpulse.llm.components import components
 from fleetpulse.llm.queries import ORACLE_SQL, QUERIES
 from oracle_check import compare, connect
@@ -394,3 +394,28 @@ def test_seed_takes_lexical_neighbours():
     for doc_id, *_, sequence, _, _ in rows:
         together[sequence].append(doc_id)
     assert together[0] == [1, 3] and together[1] == [2, 6]
+
+
+def test_texts_that_share_rare_words_meet_across_the_whole_table(spark):
+    """Families of four among many texts of the same frequent words: shards of 16 must hold a seed's siblings."""
+    rng = random.Random(8)
+    common = [f"common{i}" for i in range(40)]
+    rows = []
+    for family in range(150):
+        rare = " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(7)) for _ in range(15))
+        rows += [(4 * family + i, " ".join(rng.choices(common, k=60)) + " " + rare + " " + " ".join(rng.choices(common, k=10))) for i in range(4)]
+    rng.shuffle(rows)
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), shard_pieces=16).collect()
+    members = defaultdict(set)
+    for r in out:
+        members[r.sequence_id].add(r.doc_id)
+    met = {d for docs in members.values() for d in docs if any(e != d and e // 4 == d // 4 for e in docs)}
+    assert len(met) > 0.8 * len(rows)
+
+
+def test_weights_are_those_of_the_whole_table(spark):
+    runs = [[1, 2, 2], [2, 3], [2], [9]]
+    rows = [(len(r), np.array(r, "<u4").tobytes()) for r in runs]
+    known = likeness.weights(spark.createDataFrame(rows, "length long, ids binary").repartition(3))
+    assert (known.rows, known.mean) == (4, 7 / 4)
+    assert np.allclose(known.idf[[1, 2, 3, 9]], [np.log(3.5 / 1.5), 0, np.log(3.5 / 1.5), np.log(3.5 / 1.5)])
