@@ -22,6 +22,8 @@ KINDS = [kind for kind, *_ in RULES] + ["markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]{12,}(?![A-Za-z0-9+/_=-])"
+JOINTS = "/_=-"  # what joins a key to words
+LEAST = 20
 RANDOM_SAMPLES = 4096
 SMOOTHING = 0.5
 THRESHOLD = 0.4
@@ -85,33 +87,92 @@ def train(docs: DataFrame, random_samples: int = RANDOM_SAMPLES) -> list[int]:
     return ratios(*counts)
 
 
-def mean_ratio(word: Column, model: list[int]) -> Column:
-    """Mean log-likelihood ratio of the transitions of a word over ALPHABET; above 0 the random model is likelier."""
+def pair_ratios(word: Column, model: list[int]) -> Column:
+    """Log-likelihood ratio, times SCALE, of each transition of a word over ALPHABET; above 0 the random model is likelier."""
     table = F.from_json(F.lit(json.dumps(model)), "array<bigint>")
     code = lambda i: F.instr(F.lit(ALPHABET), F.substring(word, i, F.lit(1)))
     at = F.sequence(F.lit(1), F.length(word) - 1)
-    total = F.aggregate(at, F.lit(0).cast("long"), lambda acc, i: acc + F.element_at(table, (code(i) - 1) * len(ALPHABET) + code(i + 1)))
-    return total / (F.length(word) - 1) / SCALE
+    return F.transform(at, lambda i: F.element_at(table, (code(i) - 1) * len(ALPHABET) + code(i + 1)))
+
+
+def outside(runs: str, spans: str) -> Column:
+    """What `spans` (by start) leave of each of `runs`, where it has LEAST characters."""
+
+    def cut(run: Column) -> Column:
+        piece = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+        first = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        inside = F.filter(spans, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+        step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["out"], F.array(piece(s["at"], b["start"]))).alias("out"))
+        return F.aggregate(inside, first, step, lambda s: F.concat(s["out"], F.array(piece(s["at"], run["end"]))))
+
+    return F.filter(F.flatten(F.transform(runs, cut)), lambda p: p["end"] - p["start"] >= LEAST)
+
+
+def stretches(ratios: Column, threshold: float) -> Column:
+    """(start, end) of characters over which the ratios stay at `threshold` or more on the mean, each from where their running
+    surplus leaves 0 to where it is largest before it falls below 0 again."""
+    limit = round(threshold * SCALE)
+    state = lambda total, start, best, end, i, out: F.struct(
+        total.cast("long").alias("total"), start.alias("start"), best.cast("long").alias("best"), end.alias("end"), i.alias("i"), out.alias("out")
+    )
+    closed = lambda s: F.when(s["best"] > 0, F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"])
+
+    def step(s, ratio):
+        total, i = s["total"] + ratio - limit, s["i"] + 1
+        higher = total > s["best"]
+        on = state(total, s["start"], F.greatest(s["best"], total), F.when(higher, i + 1).otherwise(s["end"]), i, s["out"])
+        return F.when(total < 0, state(F.lit(0), i, F.lit(0), i, i, closed(s))).otherwise(on)
+
+    zero = F.lit(0)
+    return F.aggregate(ratios, state(zero, zero, zero, zero, zero, F.array().cast("array<struct<start:int,end:int>>")), step, closed)
+
+
+def random_parts(word: Column, model: list[int], threshold: float) -> Column:
+    """(start, end) of the random parts of a word over ALPHABET: the whole word where its mean ratio reaches `threshold`, and
+    else every stretch that does, widened to the joints around it if the mean allows it; of LEAST characters each."""
+    ratios = pair_ratios(word, model)
+    mean = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(values) / SCALE
+    span = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    joints = lambda start, end, pattern: F.length(F.regexp_extract(F.substring(word, start + 1, end - start), pattern, 0))
+
+    def fitted(s):
+        # A joint at either end is no part of a key.
+        start, end = s["start"] + joints(s["start"], s["end"], f"^[{JOINTS}]*"), s["end"] - joints(s["start"], s["end"], f"[{JOINTS}]*$")
+        outer = span(start - joints(F.lit(0), start, f"[^{JOINTS}]*$"), end + joints(end, F.length(word), f"^[^{JOINTS}]*"))
+        inner = span(start + joints(start, end, f"^[^{JOINTS}]*[{JOINTS}]+"), end - joints(start, end, f"[{JOINTS}]+[^{JOINTS}]*$"))
+        return F.struct(s.alias("own"), outer.alias("outer"), inner.alias("inner"))
+
+    def kept(x):
+        pick = lambda a, b: span(x[a]["start"], x[b]["end"])
+        # Whole parts between joints first, then without a part that the stretch only touches.
+        tried = F.array(*(pick(a, b) for a in ("outer", "inner") for b in ("outer", "inner")), x["own"])
+        long = F.filter(tried, lambda c: c["end"] - c["start"] >= LEAST)
+        return F.filter(long, lambda c: mean(F.slice(ratios, c["start"] + 1, c["end"] - c["start"] - 1)) >= threshold)
+
+    found = F.transform(stretches(ratios, threshold), fitted)
+    first = F.transform(found, lambda x: F.try_element_at(kept(x), F.lit(1)))
+    parts = F.array_distinct(F.filter(first, lambda s: s.isNotNull()))
+    return F.when(mean(ratios) >= threshold, F.array(span(F.lit(0), F.length(word)))).otherwise(parts)
 
 
 def scan(docs: DataFrame, model: list[int] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Adds `base_spans` and `all_spans` (SPAN, by start, then kind) to every row of `docs`.
 
-    `all_spans` has every base span, and candidate strings of 20 characters or more that overlap none of them and whose
-    mean ratio reaches `threshold`. Null text counts as empty and has no spans; repeated rows get the same spans; an empty
-    table gives an empty table. A column of `docs` with the name of an added one is replaced.
+    `all_spans` has every base span, and of candidate strings of 20 characters or more what no base span covers: the whole
+    where its mean ratio reaches `threshold`, and else the stretches of 20 characters or more that do. Null text counts as
+    empty and has no spans; repeated rows get the same spans; an empty table gives an empty table. A column of `docs` with the
+    name of an added one is replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.drop("base_spans", "all_spans", "_text", "_runs", "_words").withColumn("_text", text)
     model = train(docs.select(F.col("_text").alias("text"))) if model is None else model
     found = F.concat(*(matches(F.col("_text"), kind, p, g, n) for kind, (_, p, g, n) in enumerate(RULES)))
     docs = docs.withColumn("base_spans", F.array_sort(found))
-    runs = matches(F.col("_text"), len(RULES), CANDIDATE, 0, 20)
-    docs = docs.withColumn("_runs", runs)
-    clear = F.filter("_runs", lambda r: ~F.exists("base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    runs = matches(F.col("_text"), len(RULES), CANDIDATE, 0, LEAST)
+    docs = docs.withColumn("_runs", runs).withColumn("_runs", outside("_runs", "base_spans"))
     word = lambda r: F.substring(F.col("_text"), r["start"] + 1, r["end"] - r["start"])
-    docs = docs.withColumn("_runs", clear)
-    odd = F.filter("_runs", lambda r: mean_ratio(word(r), model) >= threshold)
+    shifted = lambda r, p: F.struct((r["start"] + p["start"]).alias("start"), F.lit(len(RULES)).alias("kind"), (r["start"] + p["end"]).alias("end"))
+    odd = F.flatten(F.transform("_runs", lambda r: F.transform(random_parts(word(r), model, threshold), lambda p: shifted(r, p))))
     return docs.withColumn("all_spans", F.array_sort(F.concat("base_spans", odd))).drop("_text", "_runs")
 
 

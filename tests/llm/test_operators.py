@@ -87,6 +87,25 @@ def test_markov_finds_random_strings_only(spark):
     assert tuple(spans[0][0]) == (4, 3, 4 + len(keys[0]))
 
 
+def test_markov_finds_keys_joined_to_words(spark):
+    rng = random.Random(4)
+    model = secrets.train(spark.read.parquet(SMALL.replace("0.001", "0.1") + "/documents.parquet"))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = ["/customers/international/documents/download/", "https_client_configuration_production_environment=", "shipping-information-for-international-customers/downloads/"]
+    rows = []
+    for head in words:
+        for size in (20, 24, 32):
+            rows += [(head, "".join(rng.choices(letters, k=size)), tail) for tail in ("", "/international-documents") for _ in range(20)]
+    base = "AKIA" + "Q7" * 8
+    rows += [(f"{base}/", "".join(rng.choices(letters, k=32)), "") for _ in range(20)]
+    df = spark.createDataFrame([(i, f"see {a}{k}{b} there") for i, (a, k, b) in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    spans = [r.all_spans for r in secrets.scan(df, model).orderBy("doc_id").collect()]
+    covers = lambda i: sum(min(s.end, 4 + len(rows[i][0]) + len(rows[i][1])) - max(s.start, 4 + len(rows[i][0])) for s in spans[i] if s.kind == 3)
+    assert sum(covers(i) >= len(rows[i][1]) - 2 for i in range(len(rows))) > 0.95 * len(rows)
+    plain_words = spark.createDataFrame([(f"see {w}index there",) for w in words], "text string").coalesce(1)
+    assert [len(r.all_spans) for r in secrets.scan(plain_words, model).collect()] == [0, 0, 0]
+
+
 def test_redaction_replaces_overlapping_runs_once(spark):
     df = spark.createDataFrame([("é password=" + "ab" * 20 + " end",), (None,), ("clean",)], "text string").coalesce(1)
     out = [r[0] for r in secrets.scan(df, [0] * len(secrets.ALPHABET) ** 2).select(secrets.redacted()).collect()]
