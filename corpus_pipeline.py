@@ -13,6 +13,8 @@ from fleetpulse.llm.tables import materialize, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 PARTITION_ROWS = 4096
+RUN_ROWS = mixing.CYCLE * mixing.BLOCK_ROWS  # one cycle of the schedule holds every source by its weight
+MAX_RUNS = 1 << 15
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +45,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of at most 2048 tokens."""
+    """The pieces of all documents, packed into sequences of at most 2048 tokens that follow the order of the table's files."""
     columns = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
-    return packing.pack(docs).select(*columns)
+    rows = max(RUN_ROWS, -(-docs.count() // MAX_RUNS))
+    return packing.pack(packing.schedule_runs(docs, rows), run="run").select(*columns)
 
 
 STAGES: list[tuple[str, Stage]] = [

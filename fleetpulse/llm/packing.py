@@ -10,13 +10,16 @@ left of it seeds the next window, so that only a task's last window can stay ope
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetpulse.llm import likeness
 from fleetpulse.llm import words as W
@@ -29,12 +32,12 @@ SHARD_PIECES = 512
 PARTITION_TOKENS = 4 << 20
 K1, B = 1.2, 0.75
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "run long, doc_id long, start long, length long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def cut_texts(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer_dir: str | None = None) -> DataFrame:
-    """PIECES of every row of (doc_id, text): full windows, and a rest if there is one.
+    """PIECES of every row of (run, doc_id, text): full windows, and a rest if there is one.
 
     `ids` are unsigned 32-bit integers, little-endian.
     """
@@ -42,19 +45,46 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, token
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_dir, end_id).encode
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
+            runs, doc_ids = batch.column("run").to_pylist(), batch.column("doc_id").to_pylist()
             for at, end, _, _ in W.chunks(batch.column("text")):
                 rows = []
-                for doc_id, ids in zip(doc_ids[at:end], encode(batch.column("text").slice(at, end - at))):
+                for run, doc_id, ids in zip(runs[at:end], doc_ids[at:end], encode(batch.column("text").slice(at, end - at))):
                     for start in range(0, ids.size, window):
                         piece = ids[start : start + window]
-                        rows.append((doc_id, start, piece.size, ids.size, piece.astype("<u4").tobytes()))
+                        rows.append((run, doc_id, start, piece.size, ids.size, piece.astype("<u4").tobytes()))
                 if rows:
-                    kinds = [pa.int64()] * 4 + [pa.binary()]
+                    kinds = [pa.int64()] * 5 + [pa.binary()]
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                     yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return docs.select("run", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+
+
+def schedule_runs(docs: DataFrame, rows: int) -> DataFrame:
+    """Adds `run` to a table read from files: consecutive `rows` rows in the order they were written have the same number.
+
+    Files follow each other by name, as writers number them by partition, and rows by their place in a file.
+    """
+    file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    counts = docs.select(file.alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    firsts = counts.select("_file", F.coalesce(before, F.lit(0)).alias("_first"))
+    placed = docs.select("*", file.alias("_file"), at.alias("_at")).join(F.broadcast(firsts), "_file")
+    return placed.withColumn("run", F.expr(f"(_first + _at) DIV {rows}")).drop("_file", "_at", "_first")
+
+
+def in_run(run: int, local: int) -> int:
+    """An id whose order goes by run; within it reversed bits of `local` spread any stretch of numbers evenly."""
+    if run >= 1 << 15 or local >= 1 << 47:
+        raise ValueError(f"no sequence id for run {run}, number {local}")
+    return run << 48 | int(f"{local:048b}"[::-1], 2)
+
+
+def in_run_column(run: Column, local: Column) -> Column:
+    """`in_run` as a column."""
+    fits = (run < 1 << 15) & (local < F.lit(1 << 48))
+    spread = F.conv(F.reverse(F.lpad(F.bin(local), 48, "0")), 2, 10).cast("long")
+    return F.when(fits, F.shiftleft(run, 48).bitwiseOR(spread)).otherwise(F.raise_error(F.lit("no sequence id is left")).cast("long"))
 
 
 class Shard:
@@ -146,33 +176,44 @@ def pack(
     tokenizer_dir: str | None = None,
     shard_pieces: int = SHARD_PIECES,
     partition_tokens: int = PARTITION_TOKENS,
+    run: str | None = None,
 ) -> DataFrame:
     """PACKED pieces of every row of `docs` (doc_id, text, any others): each id lies in exactly one.
 
     A text's ids are followed by `end_id`, so null and empty texts have that one id. Repeated rows and rows with a null id
     are packed like others. An empty table gives no rows. `sequence_id` numbers windows within a task, and `offset` has no
     gaps within a sequence. One window for each `partition_tokens` ids may stay open.
+
+    `run` names a column of numbers from 0 that each stand for a stretch of a schedule. A sequence then holds pieces of one
+    run only, sequences are numbered in the order of runs, and within a run in an even mix; likeness decides inside a run
+    only. Each run may leave one more window open.
     """
-    pieces = materialize(cut_texts(docs, window, end_id, tokenizer_dir), "pieces")
+    pieces = materialize(cut_texts(docs.withColumn("run", F.lit(0).cast("long") if run is None else F.col(run)), window, end_id, tokenizer_dir), "pieces")
     # Hashes spread many like rests over several partitions; the order of rows is the same whenever a task runs again.
     salt = F.xxhash64("doc_id", "start", F.crc32("ids"))
     rests = pieces.where(F.col("length") < window).withColumn("salt", salt)
     known = likeness.weights(rests)
     alike = likeness.placed(rests.drop("length"), known, likeness.learn(rests, known))
     partitions = max(1, -(-round(known.rows * known.mean) // partition_tokens))
-    keyed = alike.repartitionByRange(partitions, "leaf", "alike", "salt")
+    keyed = alike.repartitionByRange(partitions, "run", "leaf", "alike", "salt")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         def stream():
             for batch in batches:
-                yield from zip(*(batch[c] for c in ("doc_id", "start", "doc_tokens")), (np.frombuffer(x, "<u4") for x in batch["ids"]))
+                yield from zip(*(batch[c] for c in ("run", "doc_id", "start", "doc_tokens")), (np.frombuffer(x, "<u4") for x in batch["ids"]))
 
         names, rows = [f.split()[0] for f in PACKED.split(", ")], []
-        for row in fill_windows(stream(), window, shard_pieces, TaskContext.get().partitionId() << 40, known):
-            rows.append(row)
-            if len(rows) == 4096:
-                yield frame(rows, names)
-                rows = []
+        task, next_id = TaskContext.get().partitionId(), 0
+        for of, pieces in groupby(stream(), itemgetter(0)):
+            last = next_id
+            for row in fill_windows((p[1:] for p in pieces), window, shard_pieces, next_id, known):
+                last = row[4]
+                number = last | task << 40 if run is None else in_run(int(of), task << 32 | last)
+                rows.append((*row[:4], number, *row[5:]))
+                if len(rows) == 4096:
+                    yield frame(rows, names)
+                    rows = []
+            next_id = last + 1
         yield frame(rows, names)
 
     def frame(rows, names):
@@ -180,14 +221,17 @@ def pack(
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    ordered = keyed.sortWithinPartitions("leaf", "alike", "salt", "doc_id", "start", "ids")
-    packed = ordered.select("doc_id", "start", "doc_tokens", "ids").mapInPandas(fill, PACKED)
+    ordered = keyed.sortWithinPartitions("run", "leaf", "alike", "salt", "doc_id", "start", "ids")
+    packed = ordered.select("run", "doc_id", "start", "doc_tokens", "ids").mapInPandas(fill, PACKED)
+    number = F.monotonically_increasing_id()
+    # In the second half of a run's numbers, as partition numbers of rests are under 2 ** 15.
+    local = F.shiftright(number, 33) * (1 << 32) + number.bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(1 << 47)
     alone = pieces.where(F.col("length") == window).select(
         "doc_id",
         "start",
         "length",
         "doc_tokens",
-        (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"),
+        (F.lit(1 << 62) + number if run is None else in_run_column(F.col("run"), local)).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
         "ids",
     )

@@ -42,3 +42,27 @@ def five_word_groups(rows):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {find(d) for d in ids}
+
+
+def test_sequences_follow_the_schedule(spark, monkeypatch):
+    """Prefixes of the sequences have the shares of sources that the schedule gives, and no text is lost."""
+    monkeypatch.setattr(corpus_pipeline, "RUN_ROWS", 512)
+    monkeypatch.setattr(corpus_pipeline, "PARTITION_ROWS", 300)
+    # A large source and a small one, of unlike words and unlike ids: neither likeness nor ids keep the schedule.
+    rows = [(i, ("alpha beta gamma " if i < 2560 else "delta omega zeta ") * 40 + str(i), "a" if i < 2560 else "b") for i in range(3200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = corpus_pipeline.materialize(corpus_pipeline.mix_sources(spark, docs, SMALL), "mixing")
+    order = {r.doc_id: (r.slot, r.source_row) for r in corpus_pipeline.mixing.mix(docs).collect()}
+    scheduled = sorted(order, key=order.get)
+    out = sorted(corpus_pipeline.pack(spark, mixed, SMALL).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert {r.doc_id for r in out} == set(order)
+    runs = {}
+    for r in out:
+        runs.setdefault(r.sequence_id >> 48, set()).add(r.doc_id)
+    assert [runs[k] for k in sorted(runs)] == [set(scheduled[i : i + 512]) for i in range(0, len(rows), 512)]
+    share = lambda ids: sum(d >= 2560 for d in ids) / len(ids)
+    seen = list(dict.fromkeys(r.doc_id for r in out))
+    for n in range(512, len(rows), 512):
+        assert abs(share(seen[:n]) - share(scheduled[:n])) < 0.02
+    # Within a run too: half of the first one.
+    assert abs(share(seen[:256]) - share(scheduled[:512])) < 0.15
