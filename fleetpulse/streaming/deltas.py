@@ -3,8 +3,9 @@
 The window functions the batch form uses do not exist on streams, so the baselines live in keyed state. Each call gets
 one executor's new samples of one micro-batch; its size is bounded by the source's rate limit. A sample older than the
 newest one seen in an earlier batch keeps its own values and has no deltas, as its neighbours are gone; a repeat of the
-newest one is ignored, and samples later than `late` are dropped. State of an executor is dropped once event time has
-passed its newest sample by `idle_ms`; event time is used so that a replay drops the same state.
+newest one is ignored. The watermark follows the processing clock (time of the batch), as one executor's clock that runs
+ahead would drop the samples of all others: no sample is too late. State counts as gone once an executor's own next sample is more than `idle_ms` after its newest one, so that a
+replay drops the same state; state of executors that stay silent for `idle_ms` of processing time is removed.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from fleetpulse.settings import MIN_CPU_ELAPSED_MS, Settings
 warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty", category=FutureWarning)
 
 IDLE_MS = 24 * 60 * 60 * 1000
-LATE = "1 hour"
+SLACK = "1 hour"  # by which the processing clock may be set back between batches
 
 _SAMPLE_STATE = "poll_seq bigint, wall_ms double, cpu_ms double, duration_ms double, gc_ms double"
-_PROCESS_STATE = "sample_seq bigint, wall_ns bigint, cpu_ns bigint"
+_PROCESS_STATE = "sample_seq bigint, wall_ns bigint, cpu_ns bigint, at_ms double"
 
 
-def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS, late: str = LATE) -> DataFrame:
+def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     """Streaming counterpart of `with_deltas` on the live samples of a stream."""
     fields = samples.schema.fields
     # Nullable longs reach pandas as doubles anyway; milliseconds and byte counts are exact there up to 2^53.
@@ -44,7 +45,8 @@ def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS, late: str = LATE)
     live = active_only(samples).select(
         *as_double,
         task_capacity(F.col("max_tasks"), F.col("total_cores")).cast("double").alias("_capacity"),
-        F.timestamp_millis("wall_ms").alias("_ts"),
+        F.current_timestamp().alias("_ts"),
+        F.unix_millis(F.current_timestamp()).cast("double").alias("_now_ms"),
     )
     output = T.StructType([live.schema[f.name] for f in fields])
     output = output.add("gc_delta_ms", "double").add("cpu_pct", "double").add("cpu_source", "string")
@@ -59,6 +61,8 @@ def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS, late: str = LATE)
             yield old[columns]
         if not len(rows):
             return
+        if seen and rows["wall_ms"].iloc[0] - seen[1] > idle_ms:
+            seen = None
         start = seen or (None, np.nan, np.nan, np.nan, np.nan)
         rows = _with_cpu(rows, start)
         gc = rows["total_gc_ms"].to_numpy(dtype="float64")
@@ -75,10 +79,10 @@ def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS, late: str = LATE)
                 float(carried[-1]),
             )
         )
-        state.setTimeoutTimestamp(int(newest["wall_ms"]) + idle_ms)
+        state.setTimeoutTimestamp(int(newest["_now_ms"]) + idle_ms)
         yield rows[columns]
 
-    result = live.withWatermark("_ts", late).groupBy(*EXECUTOR).applyInPandasWithState(
+    result = live.withWatermark("_ts", SLACK).groupBy(*EXECUTOR).applyInPandasWithState(
         advance, output, _SAMPLE_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     return result.select(
@@ -89,9 +93,7 @@ def stream_deltas(samples: DataFrame, idle_ms: int = IDLE_MS, late: str = LATE)
     )
 
 
-def stream_process_cpu(
-    samples: DataFrame, event_time_ms: str | None = None, idle_ms: int = IDLE_MS, late: str = LATE
-) -> DataFrame:
+def stream_process_cpu(samples: DataFrame, event_time_ms: str | None = None, idle_ms: int = IDLE_MS) -> DataFrame:
     """Streaming counterpart of `process_cpu_pct`; nanoseconds stay integers, -1 stands for an unavailable reading.
 
     `wall_ns` has its own origin in every process, so it cannot serve as event time. With `event_time_ms`, a column of
@@ -103,11 +105,11 @@ def stream_process_cpu(
     output = T.StructType([*prepared.schema.fields, T.StructField("cpu_pct", T.DoubleType())])
     timeout = GroupStateTimeout.NoTimeout
     if event_time_ms is not None:
-        at = F.col(event_time_ms)
+        at = F.col(event_time_ms).cast("double").alias("_at_ms")
         prepared = samples.select(
-            "app_id", "executor_id", "sample_seq", "wall_ns", reading, "cores", at.alias("_at_ms"),
-            F.timestamp_millis(at).alias("_ts"),
-        ).withWatermark("_ts", late)
+            "app_id", "executor_id", "sample_seq", "wall_ns", reading, "cores", at,
+            F.current_timestamp().alias("_ts"), F.unix_millis(F.current_timestamp()).cast("double").alias("_now_ms"),
+        ).withWatermark("_ts", SLACK)
         timeout = GroupStateTimeout.EventTimeTimeout
 
     def advance(key, frames, state: GroupState):
@@ -117,6 +119,8 @@ def stream_process_cpu(
             yield old[[*columns, "cpu_pct"]]
         if not len(rows):
             return
+        if event_time_ms is not None and seen and rows["_at_ms"].iloc[0] - seen[3] > idle_ms:
+            seen = None
         # Position 0 is what the state holds; without one its reading is unavailable.
         wall = np.concatenate([[seen[1] if seen else 0], rows["wall_ns"].to_numpy(dtype="int64")])
         cpu = np.concatenate([[seen[2] if seen else -1], rows["cpu_ns"].to_numpy(dtype="int64")])
@@ -127,9 +131,10 @@ def stream_process_cpu(
         with np.errstate(divide="ignore", invalid="ignore"):
             share = (cpu[1:] - before).astype("float64") * 100.0 / (passed.astype("float64") * rows["cores"].to_numpy())
         rows["cpu_pct"] = np.where(usable, share, np.nan)
-        state.update((int(rows["sample_seq"].iloc[-1]), int(wall[-1]), int(cpu[known[-1]])))
+        at_ms = float("nan") if event_time_ms is None else float(rows["_at_ms"].max())
+        state.update((int(rows["sample_seq"].iloc[-1]), int(wall[-1]), int(cpu[known[-1]]), at_ms))
         if event_time_ms is not None:
-            state.setTimeoutTimestamp(int(rows["_at_ms"].max()) + idle_ms)
+            state.setTimeoutTimestamp(int(rows["_now_ms"].max()) + idle_ms)
         yield rows[[*columns, "cpu_pct"]]
 
     result = prepared.groupBy(*EXECUTOR).applyInPandasWithState(advance, output, _PROCESS_STATE, "append", timeout)

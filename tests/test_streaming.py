@@ -74,6 +74,25 @@ def test_idle_state_expires(spark, samples, tmp_path):
     assert found == {("1", 1): None, ("2", 40): None, ("2", 41): 0, ("1", 42): None}
 
 
+def test_clocks_hours_apart_lose_no_samples(spark, samples, tmp_path):
+    hour = 3_600_000
+    row = lambda app, poll, at, gc: {"app_id": app, "poll_seq": poll, "wall_ms": at * hour, "total_gc_ms": gc}
+    parts = [samples(row("a", p, 100 + p, 10 * p), row("b", p, p, 7 * p)) for p in (1, 2, 3)] + [samples(row("b", 1, 1, 7))]
+    build = lambda s: deltas.stream_deltas(s).select("app_id", "poll_seq", "gc_delta_ms")
+    found = sorted(((r.app_id, r.poll_seq, r.gc_delta_ms) for r in Feed(spark, tmp_path, SAMPLES).rows(parts, build).collect()), key=str)
+    late = ("b", 1, None)
+    assert found == sorted([("a", 1, None), ("a", 2, 10), ("a", 3, 10), late, ("b", 2, 7), ("b", 3, 7), late], key=str)
+
+
+def test_process_samples_of_clocks_hours_apart(spark, tmp_path):
+    hour = 3_600_000
+    rows = [(a, "1", n, n * 10**9, n * 10**8, 1, (at + n) * hour) for n in (1, 2, 3) for a, at in (("a", 100), ("b", 0))]
+    table = spark.createDataFrame(rows, "app_id string, executor_id string, sample_seq long, wall_ns long, cpu_ns long, cores int, at_ms long")
+    parts = [table.filter(f"sample_seq = {n}") for n in (1, 2, 3)]
+    found = Feed(spark, tmp_path, table.schema).rows(parts, lambda s: deltas.stream_process_cpu(s, "at_ms"))
+    assert sorted((r.app_id, r.sample_seq, r.cpu_pct) for r in found.filter("sample_seq > 1").collect()) == [(a, n, 10.0) for a in "ab" for n in (2, 3)]
+
+
 @pytest.mark.parametrize("timed", [False, True])
 def test_process_cpu_stream(spark, tmp_path, timed):
     table = spark.createDataFrame([("a", "1", s, w, c, 2) for s, w, c, _ in PROCESS], PROCESS_CPU)
