@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 SMALL = "/root/testdata/sf0.001"
@@ -103,3 +104,40 @@ def schedule(shares):
         out.append((source, had[source]))
         had[source] += 1
     return out
+
+
+def leaf_digest(row):
+    return sha256("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def tree_levels(leaves):
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([sha256("".join(below[i : i + 16])) for i in range(0, len(below), 16)])
+    return levels
+
+
+def merkle(rows):
+    """Sorted result rows of the manifest of [(doc_id, source, lang, n_chars, text)]."""
+    sources = sorted({r[1] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    order = lambda r: (r[0] is not None, r[0] or 0, leaf_digest(r))
+    groups = {s: sorted((r for r in rows if r[1] == s), key=order) for s in sources}
+    trees = {s: tree_levels([leaf_digest(r) for r in groups[s]]) for s in sources}
+    top = tree_levels([trees[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for i, row in enumerate(groups[s]):
+            doc_id, text = row[0], row[4]
+            leaf = now = leaf_digest(row)
+            if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0 and text is not None:
+                now = leaf_digest((*row[:4], re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+            folded, proof = now, ""
+            for levels, at in ((trees[s], i), (top, k)):
+                for level in levels[:-1]:
+                    run = at - at % 16
+                    left, right = "".join(level[run:at]), "".join(level[at + 1 : run + 16])
+                    proof, folded, at = proof + left + right, sha256(left + folded + right), at // 16
+            root = top[-1][0]
+            out.append((doc_id, leaf, trees[s][-1][0], root, sha256(proof), folded, folded == root))
+    return sorted(out, key=str)
