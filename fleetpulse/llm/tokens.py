@@ -19,6 +19,8 @@ from fleetpulse.llm import words as W
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
+MARK = "\u2581"  # stands for a space in pieces
 MAX_CACHED = 400_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -61,45 +63,64 @@ def pretoken_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class Encoder:
-    """Ids of pre-tokens, kept by their hash until MAX_CACHED are known."""
-
-    def __init__(self, path_of, end_id: int):
-        import tiktoken
-        from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
+class IdCache:
+    """Ids of text runs, kept by their hash until MAX_CACHED are known; `first` are the ids of slot 0."""
 
-        with open(path_of(RANKS), "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self._bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._whole = Tokenizer.from_file(path_of(VOCABULARY))
-        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
-        self._end = end_id
+    def __init__(self, encode, first: list[int]):
+        self._encode, self._first = encode, first
         self._clear()
 
     def _clear(self) -> None:
         self._slots: dict[int, int] = {}
-        # Ids of all known pre-tokens one after the other; slot 0 ends a text.
-        self._ids, self._begin, self._size = np.array([self._end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        # Ids of all known runs one after the other.
+        self._ids, self._begin = np.array(self._first, np.uint32), np.zeros(1, np.int64)
+        self.size = np.full(1, len(self._first), np.int64)
 
-    def _slot_of(self, hashes: np.ndarray, text: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def slots_of(self, hashes: np.ndarray, text, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(self._slots) > MAX_CACHED:
             self._clear()
         slots = np.fromiter(map(self._slots.get, hashes.tolist(), repeat(-1)), np.int64, hashes.size)
         new = np.flatnonzero(slots < 0)
         if new.size:
-            encode = self._bpe.encode_ordinary
-            found = [encode(text[a:b]) for a, b in zip(begin[new].tolist(), end[new].tolist())]
+            found = [self._encode(text[a:b]) for a, b in zip(begin[new].tolist(), end[new].tolist())]
             size = np.fromiter(map(len, found), np.int64, new.size)
-            slots[new] = np.arange(self._size.size, self._size.size + new.size)
+            slots[new] = np.arange(self.size.size, self.size.size + new.size)
             self._slots.update(zip(hashes[new].tolist(), slots[new].tolist()))
             self._begin = np.concatenate([self._begin, self._ids.size + np.cumsum(size) - size])
-            self._size = np.concatenate([self._size, size])
+            self.size = np.concatenate([self.size, size])
             self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
         return slots
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """uint32 ids of each text followed by the end id; null counts as empty."""
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slots one after the other, and where each slot's begin."""
+        size = self.size[slots]
+        position = np.concatenate([[0], np.cumsum(size)])
+        return self._ids[np.arange(position[-1]) + np.repeat(self._begin[slots] - position[:-1], size)], position
+
+
+class Encoder:
+    """Ids of texts in the byte-level vocabulary."""
+
+    def __init__(self, path_of, end_id: int):
+        import tiktoken
+        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
+
+        with open(path_of(RANKS), "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._whole = Tokenizer.from_file(path_of(VOCABULARY))
+        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
+        self._end = end_id
+        # Slot 0 ends a text.
+        self._cache = IdCache(bpe.encode_ordinary, [end_id])
+        self.n_bytes = np.array([len(token) for token, _ in sorted(ranks.items(), key=lambda item: item[1])], np.int64)
+
+    def encode(self, texts: pa.Array, specials: bool = True) -> list[np.ndarray]:
+        """uint32 ids of each text followed by the end id; null counts as empty.
+
+        Without `specials`, the strings of special tokens are ordinary text.
+        """
         out: list[np.ndarray] = []
         for at, end, data, offsets in W.chunks(texts):
             text = data.tobytes().decode("utf-8", "replace")
@@ -110,15 +131,12 @@ class Encoder:
             stop = np.append(begin[1:], points.size)[: begin.size]
             runs = W.RunHashes(W.mix(points.astype(np.uint64) + np.uint64(1)))
             unique, sample, which = np.unique(runs.of(begin, stop), return_index=True, return_inverse=True)
-            slots = self._slot_of(unique, text, begin[sample], stop[sample])[which]
+            slots = self._cache.slots_of(unique, text, begin[sample], stop[sample])[which]
             per_text = np.searchsorted(begin, bounds)
-            slots = np.insert(slots, per_text[1:], 0)
-            size = self._size[slots]
-            position = np.concatenate([[0], np.cumsum(size)])
-            ids = self._ids[np.arange(position[-1]) + np.repeat(self._begin[slots] - position[:-1], size)]
+            ids, position = self._cache.ids(np.insert(slots, per_text[1:], 0))
             cut = position[per_text[1:] + np.arange(1, per_text.size)]
             rows = np.split(ids, cut[:-1])
-            if any(s in text for s in self._special):
+            if specials and any(s in text for s in self._special):
                 for i in range(end - at):
                     own = text[bounds[i] : bounds[i + 1]]
                     if any(s in own for s in self._special):
@@ -127,11 +145,56 @@ class Encoder:
         return out
 
 
+class PieceEncoder:
+    """Ids of texts in the piece vocabulary, each with a space before it.
+
+    No piece holds a space after another character (checked), so the ids of a text are those of its runs of spaces and
+    what follows them.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self._pieces = pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [pieces.id_to_piece(i) for i in range(pieces.vocab_size())]
+        if any(MARK in name.lstrip(MARK) for name in names):
+            raise ValueError("pieces that span spaces cannot be encoded by runs")
+        self.n_bytes = np.array([1 if pieces.is_byte(i) else len(n.replace(MARK, " ").encode()) for i, n in enumerate(names)], np.int64)
+        self._space = pieces.piece_to_id(MARK)
+        self._cache = IdCache(self._run, [])
+
+    def _run(self, run: bytes) -> list[int]:
+        # The library adds the run's first space itself.
+        return self._pieces.encode(run[1:].decode()) if len(run) > 1 else [self._space]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of texts that begin with a space, one text after the other, and where each text's begin."""
+        space = data == ord(" ")
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        start[offsets[:-1]] = True
+        begin = np.flatnonzero(start)
+        stop = np.append(begin[1:], data.size)
+        unique, sample, which = np.unique(W.byte_runs(data).of(begin, stop), return_index=True, return_inverse=True)
+        slots = self._cache.slots_of(unique, data.tobytes(), begin[sample], stop[sample])[which]
+        ids, position = self._cache.ids(slots)
+        return ids, position[np.searchsorted(begin, offsets)]
+
+
+@lru_cache(2)
+def piece_encoder(directory: str | None) -> PieceEncoder:
+    return PieceEncoder(_path_of(directory)(PIECES))
+
+
 @lru_cache(2)
 def encoder(directory: str | None, end_id: int) -> Encoder:
     """One encoder per worker process; `directory` holds the vocabulary files, by default those of public_tokenizers."""
+    return Encoder(_path_of(directory), end_id)
+
+
+def _path_of(directory: str | None):
     if directory:
-        return Encoder(lambda name: f"{directory}/{name}", end_id)
+        return lambda name: f"{directory}/{name}"
     import public_tokenizers
 
-    return Encoder(public_tokenizers.path, end_id)
+    return public_tokenizers.path

@@ -58,6 +58,10 @@ class RunHashes:
         return mix(run + (end - start).astype(np.uint64) * _STEPS[4])
 
 
+def byte_runs(data: np.ndarray) -> RunHashes:
+    return RunHashes(_BYTE[data])
+
+
 @dataclass
 class Scan:
     """Words of a run of texts. Word i is data[start[i]:end[i]]; text t has words bounds[t]:bounds[t + 1]."""
@@ -126,7 +130,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, lower: bool, inside: np.ndarray
     first, last = offsets[:-1][full], offsets[1:][full] - 1
     begins[first], ends[last] = word[first], word[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    runs = RunHashes(_BYTE[data])
+    runs = byte_runs(data)
     return Scan(data, offsets, start, end, np.searchsorted(start, offsets), runs, runs.of(start, end))
 
 

@@ -141,3 +141,44 @@ def merkle(rows):
             root = top[-1][0]
             out.append((doc_id, leaf, trees[s][-1][0], root, sha256(proof), folded, folded == root))
     return sorted(out, key=str)
+
+
+def token_groups(text, a_tokenizer, a_bytes, b_model, b_bytes):
+    """[([a ids], [b ids])] of one text."""
+    if not text:
+        return []
+    whole = " " + text
+    a, b = a_tokenizer.encode(whole, add_special_tokens=False).ids, b_model.encode(text)
+    if b"".join(a_bytes[i] for i in a) != whole.encode() or b"".join(b_bytes[i] for i in b) != whole.encode():
+        return []
+    groups, i, j, at_a, at_b = [([], [])], 0, 0, 0, 0
+    while i < len(a) or j < len(b):
+        if at_a <= at_b and i < len(a):
+            groups[-1][0].append(a[i])
+            at_a += len(a_bytes[a[i]])
+            i += 1
+        else:
+            groups[-1][1].append(b[j])
+            at_b += len(b_bytes[b[j]])
+            j += 1
+        if at_a == at_b and (i < len(a) or j < len(b)):
+            groups.append(([], []))
+    return groups
+
+
+def alignment(rows, *vocabularies):
+    """[(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)] of [(doc_id, text)]."""
+    every = [token_groups(text, *vocabularies) for _, text in rows]
+    links = [Counter((a, b) for left, right in groups for a in left for b in right) for groups in every]
+    held = Counter(pair for own in links for pair in own)
+    most = {}
+    for (a, _), n in held.items():
+        most[a] = max(most.get(a, 0), n)
+    out = []
+    for (doc_id, _), groups, own in zip(rows, every, links):
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        best = sum(t for p, t in own.items() if held[p] == most[p[0]])
+        total = sum(t * held[p] for p, t in own.items())
+        sizes = sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(own.values())
+        out.append((doc_id, *sizes, best, total, sha256(text) if groups else ""))
+    return out
