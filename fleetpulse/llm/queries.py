@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import alignment, jaccard, merkle, mixing, packing, preferences, quality, secrets, sharding, toxicity, url_filter, vectors
+from fleetpulse.llm import alignment, extraction, jaccard, merkle, mixing, packing, preferences, quality, secrets, sharding, toxicity
+from fleetpulse.llm import url_filter, vectors
 from fleetpulse.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +104,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).proofs()
 
 
+@query
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_counts(table(spark, sf_dir, "documents"))
