@@ -8,10 +8,14 @@ are close together:
    set must meet it: a link leaves out at most 15 % of a set. A region with at most `REGION` classes is joined at once;
    a class with enough such regions to be sure (over 15 % of its size) is settled.
 2. Classes that are not settled are small or lie in crowded regions. They are joined among themselves, in the regions of as
-   many of their rarest shingles as a link can leave out, and one more. The most central class of a region is its pivot, and
-   exact distances to it split the region: classes within the threshold belong to the pivot's cell and need no pairs.
-   Of the others, two can be linked only if their distances to the pivot add up to no more than a link allows (triangle
-   inequality), or if they differ from the pivot in the same places; so the places of a cell are joined in turn as sets were.
+   many of their rarest shingles as a link can leave out, and one more. The most central class of a region leads it; leaders
+   follow more central leaders near them, and the last is the home pivot whose cell takes the region. Near copies thus share one
+   cell, and a class enters a further one only where its regions lead there.
+3. Exact distances split a cell: classes within the threshold hang on the pivot and need no pairs with one another. The others
+   are open. By the triangle inequality linked classes lie in the same or neighbouring rings around the pivot (a ring is as wide
+   as the threshold), so only rings beside open classes stay. There two classes can be linked only if their distances to the
+   pivot add up to no more than a link allows, or if they differ from the pivot in the same places; so the places of a cell
+   are joined in turn as sets were.
 
 All candidates are checked with whole sets. Results are components; no cap drops a pair.
 """
@@ -242,22 +246,29 @@ def crowded_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     kept = sized.where("df > 1").withColumn("rank", rank).join(central, "cls").where(F.col("rank") <= window)
     regions = materialize(kept.select("k", "cls", "n", "c"), "regions")
 
-    # The most central class of a region is its pivot; every member learns how far from it it is.
-    pivots = regions.groupBy("k").agg(F.max(F.struct("c", "cls")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = regions.join(pivots, "k").select(F.col("p.cls").alias("a"), F.col("p.c").alias("ac"), F.col("cls").alias("b"), F.col("c").alias("bc"))
-    cells = materialize(differences(met.distinct(), sets), "cells")
+    # The most central class of a region leads it, and the region's members all go to that leader's home pivot, so linked classes
+    # still meet. Near copies name many leaders but few homes.
+    leads = regions.groupBy("k").agg(F.max(F.struct("c", "cls")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = materialize(regions.join(leads.select("k", "p"), "k").select("p", "cls", "n", "c").distinct(), "met")
+    homes = home_pivots(met, sets)
+    placed = met.select(F.col("p.cls").alias("lead"), F.col("cls").alias("b"), F.col("c").alias("bc")).join(homes, "lead")
+    cells = materialize(differences(placed.select("a", "b", "ac", "bc").distinct(), sets), "cells")
     links = cells.where("a <> b").where(is_link(percent)).select("a", "b", "ac", "bc")
 
     # A class hangs on the most central pivot it is linked with, and that one likewise: two steps upwards.
     up = links.groupBy("b").agg(F.max(F.struct(F.col("ac").alias("c"), F.col("a").alias("cls"))).alias("u")).select("b", F.col("u.cls").alias("up"))
     above = up.select(F.col("b").alias("up"), F.col("up").alias("top"))
     roots = materialize(up.join(above, "up", "left").select("b", F.coalesce("top", "up").alias("root")), "roots")
-    named = cells.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), F.col("m").alias("n"), (F.col("n") + F.col("m") - 2 * F.col("common")).alias("far"), "apart")
+    far = F.col("n") + F.col("m") - 2 * F.col("common")
+    ring = F.floor(100 * far / ((100 - percent) * (F.col("n") + F.col("m") - F.col("common")))).alias("ring")
+    named = cells.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), F.col("m").alias("n"), far.alias("far"), ring, "apart")
     named = named.join(roots.withColumnRenamed("b", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = named.join(roots.toDF("pivot", "top"), "pivot", "left").withColumn("open", F.col("root") != F.coalesce("top", "pivot"))
-    # Cells without open classes are decided.
-    undecided = named.groupBy("pivot").agg(F.max("open").alias("any")).where("any").select("pivot")
-    named = materialize(named.join(undecided, "pivot", "left_semi"), "open-cells")
+    # Cells without open classes are decided. Linked classes differ by no more than a ring's width in their distances to the
+    # pivot (triangle inequality), so only the rings of open classes and their neighbours stay; a cell has 100 / (100 - percent).
+    rings = named.where("open").groupBy("pivot").agg(F.collect_set("ring").alias("rings"))
+    window = F.exists("rings", lambda r: F.abs(r - F.col("ring")) <= 1)
+    named = materialize(named.join(rings, "pivot").where(window).drop("rings", "ring"), "open-cells")
 
     # x and y differ from one another where just one of them differs from the pivot: in far_x + far_y - 2 * shared places. A link
     # allows `most` places, so by the triangle inequality it needs far_x + far_y <= most or shared differences.
@@ -283,6 +294,28 @@ def crowded_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return links.select("a", "b"), close.unionByName(meets).distinct()
 
 
+def home_pivots(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lead, a, ac): the pivot to whose cell each leader's regions go, and how central that is.
+
+    A leader's candidates are the most central leader of its own regions, and that one's in turn; it goes to the last of
+    them that shares half of the union with it, or stays a pivot itself. `met` has the leaders (p: c, cls) of each class's regions.
+    """
+    leaders = met.select(F.col("p.cls").alias("cls"), F.col("p.c").alias("own_c")).distinct()
+    best = met.groupBy("cls").agg(F.max("p").alias("best")).join(leaders, "cls").select(F.col("cls").alias("lead"), "own_c", "best")
+    ups = materialize(best, "leaders")
+    for _ in range(2):
+        above = ups.select(F.col("lead").alias("_at"), F.col("best").alias("_next"))
+        ups = ups.join(above, F.col("best.cls") == F.col("_at"), "left").withColumn("best", F.coalesce("_next", "best")).drop("_at", "_next")
+    steps = best.select("lead", "best").unionByName(ups.select("lead", "best")).where("lead <> best.cls").distinct()
+    steps = materialize(steps, "leader-steps")
+    near = overlaps(steps.select(F.col("best.cls").alias("a"), F.col("lead").alias("b")), sets)
+    near = near.where(2 * F.col("common") >= F.col("n") + F.col("m") - F.col("common")).select(F.col("a").alias("_up"), F.col("b").alias("lead"))
+    kept = steps.join(near, "lead").where("best.cls = _up").groupBy("lead").agg(F.max("best").alias("home"))
+    chosen = leaders.withColumnRenamed("cls", "lead").join(kept, "lead", "left")
+    homes = chosen.select("lead", F.coalesce("home.cls", "lead").alias("a"), F.coalesce("home.c", "own_c").alias("ac"))
+    return materialize(homes, "homes")
+
+
 def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each place in which a class differs from its pivot."""
     for batch in batches:
