@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from fleetpulse.llm import words as W
 from fleetpulse.llm.components import components
-from fleetpulse.llm.tables import materialize
+from fleetpulse.llm.tables import fresh, materialize
 
 SHINGLE = 4
 PERCENT = 85
@@ -411,6 +411,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
 def first_of_groups(docs: DataFrame, **parameters) -> DataFrame:
     """One row of each group of `near_duplicates`, whole: that of the smallest doc_id. Texts without words all stay; rows that
     repeat both id and text are one."""
-    kept = near_duplicates(docs, **parameters).where("rid = first_rid").select(F.col("rid").alias("_rid"))
-    keyed = docs.withColumn("_rid", row_id())
-    return keyed.join(kept.distinct(), "_rid", "left_semi").dropDuplicates(["_rid"]).select(*docs.columns)
+    (own,) = fresh(docs, "rid")
+    kept = near_duplicates(docs, **parameters).where("rid = first_rid").select(F.col("rid").alias(own))
+    keyed = docs.withColumn(own, row_id())
+    return keyed.join(kept.distinct(), own, "left_semi").dropDuplicates([own]).select(*(F.col(f"`{c}`") for c in docs.columns))

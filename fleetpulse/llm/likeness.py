@@ -8,6 +8,7 @@ side; it tells as many runs apart as there are rare pairs. The sample only shape
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ from fleetpulse.llm import words as W
 DIMENSIONS = 128
 SAMPLE_ROWS = 16_384
 BRANCHES = 16
+PER_PARTITION = 64
 LEAF_ROWS = 8  # of the sample
 ROUNDS = 6
 BATCH_ROWS = 256  # runs are looked at in groups of so many, which bounds memory
@@ -131,22 +133,51 @@ def learn(runs: DataFrame, known: Weights) -> Tree:
                 found = sketches(_arrays(batch.column("ids")[at : at + BATCH_ROWS]), known.idf)
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in found], pa.binary())], ["vector"])
 
-    most = int(min(1, SAMPLE_ROWS / max(1, known.rows)) * (1 << 30))
-    sample = runs.where(F.col("salt").bitwiseAND(F.lit((1 << 30) - 1)) < most).select("ids")
+    sample = sampled(runs, known, SAMPLE_ROWS).select("ids")
     found = sorted(sample.mapInArrow(vectors, "vector binary").toArrow().column("vector").to_pylist())
     return Tree(np.frombuffer(b"".join(found), np.float32).reshape(-1, DIMENSIONS))
 
 
+def sampled(runs: DataFrame, known: Weights, rows: int) -> DataFrame:
+    """About so many rows of `runs` (salt), or all if there are fewer."""
+    most = int(min(1, rows / max(1, known.rows)) * (1 << 30))
+    return runs.where(F.col("salt").bitwiseAND(F.lit((1 << 30) - 1)) < most)
+
+
 def placed(runs: DataFrame, known: Weights, tree: Tree) -> DataFrame:
     """Adds `leaf` and `alike` to every row of `runs` (ids, any others): rows that are near in their order are alike."""
+    return runs.mapInArrow(_placing(known, tree, None), _schema(runs, "leaf long", "alike long"))
+
+
+def dealt(runs: DataFrame, known: Weights, tree: Tree, partitions: int) -> DataFrame:
+    """`placed`, with rows (run, salt, ids, any others) dealt over partitions by ranges of run, leaf, alike and salt.
+
+    Borders come from the keys of about PER_PARTITION sampled rows for each partition, so the keys of all are computed once.
+    """
+    keys = ["run", "leaf", "alike", "salt"]
+    borders: list[tuple] = []
+    if partitions > 1:
+        found = placed(sampled(runs, known, max(SAMPLE_ROWS, PER_PARTITION * partitions)).select("run", "salt", "ids"), known, tree)
+        rows = sorted(map(tuple, found.select(*keys).collect()))
+        borders = [rows[len(rows) * i // partitions] for i in range(1, partitions)] if rows else []
+    out = runs.mapInArrow(_placing(known, tree, borders), _schema(runs, "leaf long", "alike long", "part int"))
+    return out.repartitionById(partitions, "part").drop("part")
+
+
+def _schema(runs: DataFrame, *added: str) -> str:
+    return ", ".join([*(f"{name} {kind}" for name, kind in runs.dtypes), *added])
+
 
+def _placing(known: Weights, tree: Tree, borders: list[tuple] | None):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 ids = _arrays(part.column("ids"))
-                keys = [pa.array(tree.leaf(sketches(ids, known.idf))), pa.array(minhashes(ids, known.idf))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *keys], [*part.schema.names, "leaf", "alike"])
+                keys = {"leaf": pa.array(tree.leaf(sketches(ids, known.idf))), "alike": pa.array(minhashes(ids, known.idf))}
+                if borders is not None:
+                    rows = zip(part.column("run").to_pylist(), *(k.to_pylist() for k in keys.values()), part.column("salt").to_pylist())
+                    keys["part"] = pa.array([bisect_right(borders, row) for row in rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, *keys.values()], [*part.schema.names, *keys])
 
-    schema = ", ".join(f"{name} {kind}" for name, kind in [*runs.dtypes, ("leaf", "long"), ("alike", "long")])
-    return runs.mapInArrow(place, schema)
+    return place

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetpulse.llm.tables import materialize
+from fleetpulse.llm.tables import fresh, materialize
 
 BLOCK_ROWS = 64
 CYCLE = 1024
@@ -47,53 +47,61 @@ def cycle_slots(shares: DataFrame) -> DataFrame:
     return runs.selectExpr("all[run.i].source AS source", "run.turn AS turn", "all[run.i].share AS share", "cycle", "CAST(slot AS BIGINT) AS slot")
 
 
-def numbered(rows: DataFrame, key: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds `_n`, each row's number within its source by `key` and then all columns, without sorting a source in one task.
+def numbered(rows: DataFrame, source: str, digest: str, ties: list[str], bucket_rows: int, into: str) -> DataFrame:
+    """Adds `into`, each row's number within its source by digest and then `ties`, without sorting a source in one task.
 
     Rows fall into buckets by ranges of a hash; counts of buckets give where each bucket's numbers begin.
     """
-    most = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    bucket, size, start, within = fresh(rows, "bucket", "size", "start", "within")
+    most = rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     buckets = max(1, most // bucket_rows)
     # md5 is even over its range, and its first 8 digits order like the digest they begin.
-    digest = F.md5(key)
-    bucket = F.expr(f"CAST(conv(substring(_digest, 1, 8), 16, 10) AS BIGINT) * {buckets} DIV 4294967296")
-    placed = rows.withColumn("_digest", digest).withColumn("_bucket", bucket)
-    counts = placed.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_source", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_digest", *(F.col(c) for c in rows.columns)))
-    joined = placed.withColumn("_i", within).join(starts, ["_source", "_bucket"])
-    return joined.withColumn("_n", F.col("_before") + F.col("_i") - 1).drop("_digest", "_bucket", "_before", "_i")
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * buckets
+    placed = rows.withColumn(bucket, F.shiftright(share, 32))
+    counts = placed.groupBy(source, bucket).agg(F.count(F.lit(1)).alias(size))
+    before = F.sum(size).over(Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(source, bucket, F.coalesce(before, F.lit(0)).alias(start))
+    number = F.row_number().over(Window.partitionBy(source, bucket).orderBy(digest, *(F.col(f"`{c}`") for c in ties)))
+    joined = placed.withColumn(within, number).join(starts, [source, bucket])
+    return joined.withColumn(into, F.col(start) + F.col(within) - 1).drop(bucket, start, within)
+
+
+def checked_shares(shares: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, share) of the sources at hand; every one needs a positive share, and just one."""
+    given = shares.select("source", F.col("share").cast("long").alias("share"))
+    found = sources.join(given, "source", "left")
+    lacking = found.groupBy("source").agg(F.count("share").alias("n"), F.min("share").alias("least")).where("n <> 1 OR least < 1").limit(5).collect()
+    if lacking:
+        raise ValueError(f"sources need one positive share each: {sorted(r.source for r in lacking)}")
+    return given
 
 
 def mix(docs: DataFrame, shares: DataFrame | None = None, key: str = "doc_id", block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
     """Adds source_row, block, release, deadline and slot to every row of `docs` (which has `source` and `key`).
 
-    `shares` has (source, share), positive integers for every source of `docs`; by default the square roots of their rows.
-    Rows are numbered within a source by the md5 of `key`, so blocks are random samples of it. No row is dropped or
-    repeated. A null source is a source of its own, named "null"; null keys come first; repeated rows take places one after the
-    other; columns with the name of an added one are replaced; an empty table stays empty.
+    `shares` has (source, share), a positive integer for every source of `docs`, else an error is raised; by default the square
+    roots of their rows. Rows are numbered within a source by the md5 of `key`, so blocks are random samples of it. No row is
+    dropped or repeated. A null source is a source of its own, named "null"; null keys come first; repeated rows take places
+    one after the other; columns with the name of an added one are replaced; an empty table stays empty.
     """
     added = ["source_row", "block", "release", "deadline", "slot"]
-    docs = docs.drop(*added, "_source", "_n")
-    rows = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("null")))
-    if shares is None:
-        counts = rows.groupBy(F.col("_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
-        shares = tempered_shares(counts, cycle)
-    slots = materialize(cycle_slots(shares.select("source", F.col("share").cast("long").alias("share"))), "slots")
-    slots = slots.toDF("_name", "_turn", "_share", "_cycle", "_slot")
-    shares = slots.groupBy("_name").agg(F.first("_share").alias("_share"), F.first("_cycle").alias("_cycle"))
-    text_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    out = numbered(rows, text_key).withColumnRenamed("_n", "source_row").withColumn("block", F.expr(f"source_row DIV {block_rows}"))
+    docs = docs.drop(*added)
+    source, digest, own_share, own_cycle, turn, own_slot = fresh(docs, "mixed", "digest", "share", "cycle", "turn", "slot_")
+    keyed = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    rows = docs.withColumns({source: F.coalesce(F.col("source").cast("string"), F.lit("null")), digest: keyed})
+    counts = rows.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    shares = tempered_shares(counts, cycle) if shares is None else checked_shares(shares, counts.select("source"))
+    slots = materialize(cycle_slots(shares), "slots").toDF(source, turn, own_share, own_cycle, own_slot)
+    shares = slots.groupBy(source).agg(F.first(own_share).alias(own_share), F.first(own_cycle).alias(own_cycle))
+    out = numbered(rows, source, digest, docs.columns, BUCKET_ROWS, "source_row").withColumn("block", F.expr(f"source_row DIV {block_rows}"))
     # Both tables have at most one row for each slot of a cycle: `cycle` and one for each of at most MAX_SOURCES sources.
-    out = out.join(F.broadcast(shares), F.col("_source") == F.col("_name")).drop("_name")
-    out = out.withColumn("_turn", F.col("block") % F.col("_share"))
-    out = out.join(F.broadcast(slots.select("_name", "_turn", "_slot")), (F.col("_source") == F.col("_name")) & (out["_turn"] == slots["_turn"]))
+    out = out.join(F.broadcast(shares), source).withColumn(turn, F.col("block") % F.col(own_share))
+    out = out.join(F.broadcast(slots.select(source, turn, own_slot)), [source, turn])
     return out.select(
         *(F.col(f"`{c}`") for c in docs.columns),
         "source_row",
         "block",
-        F.expr("block * _cycle DIV _share").alias("release"),
-        F.expr("((block + 1) * _cycle + _share - 1) DIV _share").alias("deadline"),
-        F.expr("(block DIV _share) * _cycle + _slot").alias("slot"),
+        F.expr(f"block * {own_cycle} DIV {own_share}").alias("release"),
+        F.expr(f"((block + 1) * {own_cycle} + {own_share} - 1) DIV {own_share}").alias("deadline"),
+        F.expr(f"(block DIV {own_share}) * {own_cycle} + {own_slot}").alias("slot"),
     )

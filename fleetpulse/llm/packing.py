@@ -14,12 +14,10 @@ from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fleetpulse.llm import likeness
 from fleetpulse.llm import words as W
@@ -60,31 +58,33 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, token
     return docs.select("run", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def schedule_runs(docs: DataFrame, rows: int) -> DataFrame:
-    """Adds `run` to a table read from files: consecutive `rows` rows in the order they were written have the same number.
+def schedule_runs(docs: DataFrame, files: int) -> DataFrame:
+    """Adds `run` to a table read from files: rows of `files` consecutive files have the same number (a column of that name is replaced).
 
-    Files follow each other by name, as writers number them by partition, and rows by their place in a file.
+    Writers number files by partition, and that number is read as such, not as text. Files without one are run 0.
     """
-    file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    counts = docs.select(file.alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
-    firsts = counts.select("_file", F.coalesce(before, F.lit(0)).alias("_first"))
-    placed = docs.select("*", file.alias("_file"), at.alias("_at")).join(F.broadcast(firsts), "_file")
-    return placed.withColumn("run", F.expr(f"(_first + _at) DIV {rows}")).drop("_file", "_at", "_first")
+    part = F.regexp_extract(F.col("_metadata.file_path"), r"part-(\d+)[^/]*$", 1)
+    return docs.drop("run").select("*", F.floor(F.coalesce(F.nullif(part, F.lit("")).cast("long"), F.lit(0)) / files).alias("run"))
 
 
-def in_run(run: int, local: int) -> int:
-    """An id whose order goes by run; within it reversed bits of `local` spread any stretch of numbers evenly."""
-    if run >= 1 << 15 or local >= 1 << 47:
-        raise ValueError(f"no sequence id for run {run}, number {local}")
-    return run << 48 | int(f"{local:048b}"[::-1], 2)
+RUN_BITS, TASK_BITS, NUMBER_BITS = 22, 20, 20
+LOCAL_BITS = 1 + TASK_BITS + NUMBER_BITS  # the first bit tells rests from full windows
 
 
-def in_run_column(run: Column, local: Column) -> Column:
-    """`in_run` as a column."""
-    fits = (run < 1 << 15) & (local < F.lit(1 << 48))
-    spread = F.conv(F.reverse(F.lpad(F.bin(local), 48, "0")), 2, 10).cast("long")
-    return F.when(fits, F.shiftleft(run, 48).bitwiseOR(spread)).otherwise(F.raise_error(F.lit("no sequence id is left")).cast("long"))
+def in_run(run: int, task: int, number: int) -> int:
+    """An id whose order goes by run; within it reversed bits spread any stretch of numbers evenly."""
+    if run >> RUN_BITS or task >> TASK_BITS or number >> NUMBER_BITS:
+        raise ValueError(f"no sequence id for run {run}, task {task}, number {number}")
+    return run << LOCAL_BITS | int(f"{task << NUMBER_BITS | number:0{LOCAL_BITS}b}"[::-1], 2)
+
+
+def full_in_run(run: Column, row: Column) -> Column:
+    """`in_run` of full windows, for rows numbered by `monotonically_increasing_id`."""
+    task, number = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (run < 1 << RUN_BITS) & (task < 1 << TASK_BITS) & (number < 1 << NUMBER_BITS)
+    local = F.shiftleft(task, NUMBER_BITS) + number + F.lit(1 << (LOCAL_BITS - 1))
+    spread = F.conv(F.reverse(F.lpad(F.bin(local), LOCAL_BITS, "0")), 2, 10).cast("long")
+    return F.when(fits, F.shiftleft(run, LOCAL_BITS).bitwiseOR(spread)).otherwise(F.raise_error(F.lit("no sequence id is left")).cast("long"))
 
 
 class Shard:
@@ -193,14 +193,14 @@ def pack(
     salt = F.xxhash64("doc_id", "start", F.crc32("ids"))
     rests = pieces.where(F.col("length") < window).withColumn("salt", salt)
     known = likeness.weights(rests)
-    alike = likeness.placed(rests.drop("length"), known, likeness.learn(rests, known))
     partitions = max(1, -(-round(known.rows * known.mean) // partition_tokens))
-    keyed = alike.repartitionByRange(partitions, "run", "leaf", "alike", "salt")
+    keyed = likeness.dealt(rests.drop("length"), known, likeness.learn(rests, known), partitions)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream():
             for batch in batches:
-                yield from zip(*(batch[c] for c in ("run", "doc_id", "start", "doc_tokens")), (np.frombuffer(x, "<u4") for x in batch["ids"]))
+                own = (batch.column(c).to_pylist() for c in ("run", "doc_id", "start", "doc_tokens"))
+                yield from zip(*own, (np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()))
 
         names, rows = [f.split()[0] for f in PACKED.split(", ")], []
         task, next_id = TaskContext.get().partitionId(), 0
@@ -208,7 +208,7 @@ def pack(
             last = next_id
             for row in fill_windows((p[1:] for p in pieces), window, shard_pieces, next_id, known):
                 last = row[4]
-                number = last | task << 40 if run is None else in_run(int(of), task << 32 | last)
+                number = last | task << 40 if run is None else in_run(int(of), task, last)
                 rows.append((*row[:4], number, *row[5:]))
                 if len(rows) == 4096:
                     yield frame(rows, names)
@@ -217,21 +217,19 @@ def pack(
         yield frame(rows, names)
 
     def frame(rows, names):
-        out = pd.DataFrame(rows, columns=names)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        columns = zip(*rows) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     ordered = keyed.sortWithinPartitions("run", "leaf", "alike", "salt", "doc_id", "start", "ids")
-    packed = ordered.select("run", "doc_id", "start", "doc_tokens", "ids").mapInPandas(fill, PACKED)
+    packed = ordered.select("run", "doc_id", "start", "doc_tokens", "ids").mapInArrow(fill, PACKED)
     number = F.monotonically_increasing_id()
-    # In the second half of a run's numbers, as partition numbers of rests are under 2 ** 15.
-    local = F.shiftright(number, 33) * (1 << 32) + number.bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(1 << 47)
     alone = pieces.where(F.col("length") == window).select(
         "doc_id",
         "start",
         "length",
         "doc_tokens",
-        (F.lit(1 << 62) + number if run is None else in_run_column(F.col("run"), local)).alias("sequence_id"),
+        (F.lit(1 << 62) + number if run is None else full_in_run(F.col("run"), number)).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
         "ids",
     )

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetpulse.llm.tables import fresh
+
 # Kind, pattern, group that is the secret, and its least length.
 RULES = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -24,6 +27,9 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]{12,}(?![A-Za-z0-9+/_=-])"
 JOINTS = "/_=-"  # what joins a key to words
 LEAST = 20
+WINDOW = 256  # characters of a candidate that are judged at once
+CHUNK = 4096  # characters of a text that substrings are taken from
+BLOCK = 256
 RANDOM_SAMPLES = 4096
 SMOOTHING = 0.5
 THRESHOLD = 0.4
@@ -32,26 +38,66 @@ SCALE = 1_000_000
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of integers from 0 on, kept in blocks so that long arrays are not copied for each element."""
+    last = lambda out: F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0))
+    grow = lambda all_, last_of: F.aggregate(
+        all_, F.array().cast("array<int>"), lambda out, v: F.concat(out, F.array(combine(last(out), last_of(v)))))
+
+    def blocks(all_: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(BLOCK))
+        return F.transform(starts, lambda at: grow(F.slice(all_, at, F.lit(BLOCK)), lambda v: v))
+
+    def joined(inner: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), grow(inner, last))
+        return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda b, o: F.transform(b, lambda v: combine(o, v))))
+
+    return let(let(values, blocks), joined)
+
+
 def matches(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """SPAN of the leftmost non-overlapping matches whose `group`, which ends the match, has `least` characters."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
     secrets = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
     # Ends of matches: running sums of the gap before a match and its own size.
-    steps = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"), sizes.alias("size")), lambda x: x["gap"] + x["size"])
-    ends = F.aggregate(
-        steps,
-        F.array().cast("array<int>"),
-        lambda out, step: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + step)),
-    )
-    spans = F.transform(
-        F.arrays_zip(ends.alias("end"), secrets.alias("size")),
-        lambda x: F.struct((x["end"] - x["size"]).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")),
-    )
+    steps = let(found, lambda sizes: F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda gap, size: gap + size))
+    ends = let(steps, lambda s: running(s, lambda a, b: a + b))
+    spans = F.zip_with(ends, secrets, lambda end, size: F.struct((end - size).alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
     return F.when(text.rlike(pattern), F.filter(spans, lambda x: x["end"] - x["start"] >= least)).otherwise(F.array().cast(SPAN))
 
 
+def replaced(text: Column, spans: Column, fill: Callable[[Column, Column, Column], Column]) -> Column:
+    """A text with `fill(is the first of those that touch, start, end)` instead of its spans, which are sorted by start.
+
+    The text is read in chunks, since each substring counts characters from the front.
+    """
+
+    def cut(chunks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        joined = F.array_join(F.slice(chunks, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(joined, start - first * CHUNK + 1, end - start)).otherwise("")
+
+    def build(x: Column) -> Column:
+        def piece(at: Column) -> Column:
+            start, end = F.get(spans, at)["start"], F.get(spans, at)["end"]
+            before = F.when(at > 0, F.get(x["tops"], at - 1)).otherwise(F.lit(0))
+            return F.concat(cut(x["chunks"], before, start), fill((at == 0) | (start > before), F.greatest(start, before), end))
+
+        pieces = F.transform(F.sequence(F.lit(0), F.size(spans) - 1), piece)
+        return F.array_join(F.concat(pieces, F.array(cut(x["chunks"], F.element_at(x["tops"], -1), F.length(text)))), "")
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    tops = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    parts = let(F.struct(chunks.alias("chunks"), tops.alias("tops")), build)
+    return F.when(F.size(spans) == 0, text).otherwise(parts)
+
+
 def random_strings(spark: SparkSession, n: int) -> DataFrame:
     """`n` labelled random strings of each kind that keys come in: hex, base64 and capitals with digits."""
     digest = F.sha2(F.col("id").cast("string"), 256)
@@ -59,10 +105,15 @@ def random_strings(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.explode(F.array(digest, base64, F.upper(F.regexp_replace(base64, "[^A-Za-z0-9]", "")))).alias("word"))
 
 
+def neighbours(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Each value of an array of two or more combined with the next."""
+    return let(values, lambda v: F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), combine))
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """(pair, n): how often each character follows another; at most len(ALPHABET) ** 2 rows."""
-    at = F.sequence(F.lit(1), F.length("word") - 1)
-    pairs = words.where(F.length("word") > 1).select(F.explode(F.transform(at, lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
+    letters = F.split("word", "")
+    pairs = words.where(F.length("word") > 1).select(F.explode(neighbours(letters, lambda a, b: F.concat(a, b))).alias("pair"))
     return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -90,22 +141,8 @@ def train(docs: DataFrame, random_samples: int = RANDOM_SAMPLES) -> list[int]:
 def pair_ratios(word: Column, model: list[int]) -> Column:
     """Log-likelihood ratio, times SCALE, of each transition of a word over ALPHABET; above 0 the random model is likelier."""
     table = F.from_json(F.lit(json.dumps(model)), "array<bigint>")
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(word, i, F.lit(1)))
-    at = F.sequence(F.lit(1), F.length(word) - 1)
-    return F.transform(at, lambda i: F.element_at(table, (code(i) - 1) * len(ALPHABET) + code(i + 1)))
-
-
-def outside(runs: str, spans: str) -> Column:
-    """What `spans` (by start) leave of each of `runs`, where it has LEAST characters."""
-
-    def cut(run: Column) -> Column:
-        piece = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
-        first = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-        inside = F.filter(spans, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-        step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["out"], F.array(piece(s["at"], b["start"]))).alias("out"))
-        return F.aggregate(inside, first, step, lambda s: F.concat(s["out"], F.array(piece(s["at"], run["end"]))))
-
-    return F.filter(F.flatten(F.transform(runs, cut)), lambda p: p["end"] - p["start"] >= LEAST)
+    codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return neighbours(codes, lambda a, b: F.element_at(table, (a - 1) * len(ALPHABET) + b))
 
 
 def stretches(ratios: Column, threshold: float) -> Column:
@@ -130,7 +167,6 @@ def stretches(ratios: Column, threshold: float) -> Column:
 def random_parts(word: Column, model: list[int], threshold: float) -> Column:
     """(start, end) of the random parts of a word over ALPHABET: the whole word where its mean ratio reaches `threshold`, and
     else every stretch that does, widened to the joints around it if the mean allows it; of LEAST characters each."""
-    ratios = pair_ratios(word, model)
     mean = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(values) / SCALE
     span = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
     joints = lambda start, end, pattern: F.length(F.regexp_extract(F.substring(word, start + 1, end - start), pattern, 0))
@@ -138,42 +174,55 @@ def random_parts(word: Column, model: list[int], threshold: float) -> Column:
     def fitted(s):
         # A joint at either end is no part of a key.
         start, end = s["start"] + joints(s["start"], s["end"], f"^[{JOINTS}]*"), s["end"] - joints(s["start"], s["end"], f"[{JOINTS}]*$")
-        outer = span(start - joints(F.lit(0), start, f"[^{JOINTS}]*$"), end + joints(end, F.length(word), f"^[^{JOINTS}]*"))
+        outer = span(start - joints(F.lit(0), start, f"(?<![^{JOINTS}])[^{JOINTS}]*$"), end + joints(end, F.length(word), f"^[^{JOINTS}]*"))
         inner = span(start + joints(start, end, f"^[^{JOINTS}]*[{JOINTS}]+"), end - joints(start, end, f"[{JOINTS}]+[^{JOINTS}]*$"))
         return F.struct(s.alias("own"), outer.alias("outer"), inner.alias("inner"))
 
-    def kept(x):
+    def kept(x, ratios):
         pick = lambda a, b: span(x[a]["start"], x[b]["end"])
         # Whole parts between joints first, then without a part that the stretch only touches.
         tried = F.array(*(pick(a, b) for a in ("outer", "inner") for b in ("outer", "inner")), x["own"])
         long = F.filter(tried, lambda c: c["end"] - c["start"] >= LEAST)
         return F.filter(long, lambda c: mean(F.slice(ratios, c["start"] + 1, c["end"] - c["start"] - 1)) >= threshold)
 
-    found = F.transform(stretches(ratios, threshold), fitted)
-    first = F.transform(found, lambda x: F.try_element_at(kept(x), F.lit(1)))
-    parts = F.array_distinct(F.filter(first, lambda s: s.isNotNull()))
-    return F.when(mean(ratios) >= threshold, F.array(span(F.lit(0), F.length(word)))).otherwise(parts)
+    def parts(ratios):
+        found = F.transform(stretches(ratios, threshold), fitted)
+        first = F.transform(found, lambda x: F.try_element_at(kept(x, ratios), F.lit(1)))
+        some = F.array_distinct(F.filter(first, lambda s: s.isNotNull()))
+        return F.when(mean(ratios) >= threshold, F.array(span(F.lit(0), F.length(word)))).otherwise(some)
+
+    return let(pair_ratios(word, model), parts)
 
 
 def scan(docs: DataFrame, model: list[int] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Adds `base_spans` and `all_spans` (SPAN, by start, then kind) to every row of `docs`.
 
     `all_spans` has every base span, and of candidate strings of 20 characters or more what no base span covers: the whole
-    where its mean ratio reaches `threshold`, and else the stretches of 20 characters or more that do. Null text counts as
-    empty and has no spans; repeated rows get the same spans; an empty table gives an empty table. A column of `docs` with the
-    name of an added one is replaced.
+    where its mean ratio reaches `threshold`, and else the stretches of 20 characters or more that do. Candidates over WINDOW
+    characters are judged in windows of that many, so work grows with a text's length. Null text counts as empty and has no
+    spans; repeated rows get the same spans; an empty table gives an empty table. Columns of `docs` with the name of an added one
+    are replaced.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.drop("base_spans", "all_spans", "_text", "_runs", "_words").withColumn("_text", text)
-    model = train(docs.select(F.col("_text").alias("text"))) if model is None else model
-    found = F.concat(*(matches(F.col("_text"), kind, p, g, n) for kind, (_, p, g, n) in enumerate(RULES)))
-    docs = docs.withColumn("base_spans", F.array_sort(found))
-    runs = matches(F.col("_text"), len(RULES), CANDIDATE, 0, LEAST)
-    docs = docs.withColumn("_runs", runs).withColumn("_runs", outside("_runs", "base_spans"))
-    word = lambda r: F.substring(F.col("_text"), r["start"] + 1, r["end"] - r["start"])
-    shifted = lambda r, p: F.struct((r["start"] + p["start"]).alias("start"), F.lit(len(RULES)).alias("kind"), (r["start"] + p["end"]).alias("end"))
-    odd = F.flatten(F.transform("_runs", lambda r: F.transform(random_parts(word(r), model, threshold), lambda p: shifted(r, p))))
-    return docs.withColumn("all_spans", F.array_sort(F.concat("base_spans", odd))).drop("_text", "_runs")
+    docs = docs.drop("base_spans", "all_spans")
+    names = fresh(docs, "text_", "rest", "base")
+    text, rest, base = map(F.col, names)
+    given = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    model = train(docs.select(given.alias("text"))) if model is None else model
+    docs = docs.withColumn(names[0], given)
+    found = F.concat(*(matches(text, kind, p, g, n) for kind, (_, p, g, n) in enumerate(RULES)))
+    docs = docs.withColumn(names[2], F.array_sort(found))
+    # Base spans are blanked out, so that candidates are what they leave.
+    docs = docs.withColumn(names[1], replaced(text, base, lambda new, start, end: F.repeat(F.lit(" "), F.greatest(end - start, F.lit(0)))))
+    words = F.regexp_extract_all(rest, F.lit(CANDIDATE), F.lit(0))
+    windows = lambda word: F.regexp_extract_all(word, F.lit(f".{{1,{WINDOW}}}(?:.{{0,{LEAST - 1}}}$)?"), F.lit(0))
+    shifted = lambda at, p: F.struct((at + p["start"]).alias("start"), F.lit(len(RULES)).alias("kind"), (at + p["end"]).alias("end"))
+
+    def judged(run: Column, word: Column) -> Column:
+        parts = lambda part, i: F.transform(random_parts(part, model, threshold), lambda p: shifted(run["start"] + i * WINDOW, p))
+        return F.flatten(F.transform(windows(word), parts))
+
+    odd = F.flatten(F.zip_with(matches(rest, len(RULES), CANDIDATE, 0, LEAST), words, judged))
+    return docs.withColumn("all_spans", F.array_sort(F.concat(base, odd))).withColumnRenamed(names[2], "base_spans").drop(*names[:2])
 
 
 def count_of(spans: str, kind: str) -> Column:
@@ -187,14 +236,6 @@ def span_text(spans: str) -> Column:
 
 
 def redacted(mark: str = "<secret>") -> Column:
-    """`text` with every run of overlapping `all_spans` replaced by `mark`; a null text stays null."""
-    text = F.col("text").cast("string")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state, s):
-        new = s["start"] >= state["at"]
-        out = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(new, out).otherwise(state["out"]).alias("out"))
-
-    done = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    return F.when(F.size("all_spans") == 0, text).otherwise(F.aggregate("all_spans", first, step, done))
+    """`text` with every run of overlapping or touching `all_spans` replaced by `mark`; a null text stays null."""
+    fill = lambda new, start, end: F.when(new, F.lit(mark)).otherwise("")
+    return replaced(F.col("text").cast("string"), F.col("all_spans"), fill)

@@ -58,8 +58,8 @@ def place(
     tells rows apart where shards must be even. Empty tables stay empty.
     """
     owner = lookup_table(shards, slots, weights)
-    places = df.sparkSession.createDataFrame([(i, shards[o]) for i, o in enumerate(owner)], "_slot long, _shard string")
-    placed = df.drop(slot_name, shard_name).withColumn("_at", F.pmod(F.xxhash64(key), F.lit(slots)))
+    df = df.drop(slot_name, shard_name)
+    places = df.sparkSession.createDataFrame([(i, shards[o]) for i, o in enumerate(owner)], "i long, shard string").toDF(slot_name, shard_name)
     # `slots` rows, at most MAX_SLOTS.
-    placed = placed.join(F.broadcast(places), F.col("_at") == F.col("_slot"))
-    return placed.withColumnRenamed("_at", slot_name).withColumnRenamed("_shard", shard_name).drop("_slot")
+    placed = df.withColumn(slot_name, F.pmod(F.xxhash64(key), F.lit(slots))).join(F.broadcast(places), slot_name)
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns), slot_name, shard_name)

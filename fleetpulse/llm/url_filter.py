@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetpulse.llm.tables import fresh
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -44,13 +46,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     action (allow, block). Repeated rows stay; columns with the name of an added one are replaced.
     """
     captures = captures.drop("host", "domain", "listed_on", "blocked").withColumn("host", host_of(F.col("url")))
-    keys = captures.select(F.col("host").alias("_host"), F.col("fetched_on").alias("_day")).where("_day IS NOT NULL").distinct()
-    asked = keys.select("_host", "_day", F.explode(domains_of(F.col("_host"))).alias("_domain"))
+    on_host, on_day = fresh(captures, "on_host", "on_day")
+    keys = captures.select(F.col("host").alias("on_host"), F.col("fetched_on").alias("on_day")).where("on_day IS NOT NULL").distinct()
+    asked = keys.select("on_host", "on_day", F.explode(domains_of(F.col("on_host"))).alias("asked"))
+    # What holds on a day is settled for each domain and day once, however many hosts lie below the domain.
     held = validity(entries)
-    active = (F.col("_domain") == F.col("domain")) & (F.col("valid_from") <= F.col("_day"))
-    active &= F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to"))
+    active = (F.col("asked") == F.col("domain")) & (F.col("valid_from") <= F.col("on_day"))
+    active &= F.col("valid_to").isNull() | (F.col("on_day") < F.col("valid_to"))
+    on = asked.select("asked", "on_day").distinct().join(held, active).select("asked", "on_day", "domain", "action", "valid_from")
     best = F.max(F.struct(F.length("domain").alias("size"), "domain", F.col("valid_from").alias("listed_on"), "action"))
-    verdicts = asked.join(held, active).groupBy("_host", "_day").agg(best.alias("best"))
-    verdicts = verdicts.select("_host", "_day", "best.domain", "best.listed_on", (F.col("best.action") == "block").alias("blocked"))
-    joined = captures.join(verdicts, (F.col("host") == F.col("_host")) & (F.col("fetched_on") == F.col("_day")), "left")
-    return joined.drop("_host", "_day").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    verdicts = asked.join(on, ["asked", "on_day"]).groupBy("on_host", "on_day").agg(best.alias("best"))
+    verdicts = verdicts.select("on_host", "on_day", "best.domain", "best.listed_on", (F.col("best.action") == "block").alias("blocked"))
+    verdicts = verdicts.withColumnsRenamed({"on_host": on_host, "on_day": on_day})
+    joined = captures.join(verdicts, (F.col("host") == F.col(on_host)) & (F.col("fetched_on") == F.col(on_day)), "left")
+    return joined.drop(on_host, on_day).withColumn("blocked", F.coalesce("blocked", F.lit(False)))

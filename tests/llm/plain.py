@@ -19,6 +19,56 @@ def base_spans(text):
     return sorted(found)
 
 
+def random_parts(word, model, threshold=0.4, scale=1_000_000, least=20):
+    """Spans of the random parts of a word, by a plain loop over its transitions."""
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    codes = [alphabet.index(c) for c in word]
+    ratios = [model[a * len(alphabet) + b] for a, b in zip(codes, codes[1:])]
+    mean = lambda start, end: sum(ratios[start : end - 1]) / (end - 1 - start) / scale
+    if mean(0, len(word)) >= threshold:
+        return [(0, len(word))]
+    limit, found, total, start, best, end = round(threshold * scale), [], 0, 0, 0, 0
+    for i, ratio in enumerate(ratios, 1):
+        total += ratio - limit
+        if total < 0:
+            if best > 0:
+                found.append((start, end))
+            total, start, best, end = 0, i, 0, i
+        elif total > best:
+            best, end = total, i + 1
+    if best > 0:
+        found.append((start, end))
+    out = []
+    for own in found:
+        part = word[slice(*own)]
+        start, end = own[0] + len(part) - len(part.lstrip("/_=-")), own[1] - len(part) + len(part.rstrip("/_=-"))
+        core = word[start:end]
+        outer = start - len(re.search("[^/_=-]*$", word[:start])[0]), end + len(re.match("[^/_=-]*", word[end:])[0])
+        head, tail = re.match("[^/_=-]*[/_=-]+", core), re.search("[/_=-]+[^/_=-]*$", core)
+        inner = start + (len(head[0]) if head else 0), end - (len(tail[0]) if tail else 0)
+        tried = [*((a[0], b[1]) for a in (outer, inner) for b in (outer, inner)), own]
+        fit = [t for t in tried if t[1] - t[0] >= least and mean(*t) >= threshold]
+        if fit and fit[0] not in out:
+            out.append(fit[0])
+    return out
+
+
+def all_spans(text, model, window=256):
+    """Base spans and those of the model in what they leave, by start and kind."""
+    base = base_spans(text)
+    letters = list(text or "")
+    for start, _, end in base:
+        letters[start:end] = " " * (end - start)
+    found = list(base)
+    for run in re.finditer("[A-Za-z0-9+/_=-]{20,}", "".join(letters)):
+        at = run.start()
+        while at < run.end():
+            end = run.end() if run.end() - at < window + 20 else at + window
+            found += [(at + s, 3, at + e) for s, e in random_parts("".join(letters[at:end]), model)]
+            at = end
+    return sorted(found)
+
+
 def span_text(spans):
     return ",".join(f"{('assign', 'access', 'hex', 'markov')[k]}:{s}:{e}" for s, k, e in spans)
 

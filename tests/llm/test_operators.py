@@ -1,6 +1,7 @@
 """Each operator against a plain version, on ordinary rows and on nulls, empty and long texts, ties, repeats and odd columns."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -70,6 +71,47 @@ def test_secret_spans_equal_plain_ones(spark):
     check_spans(rows, secrets.scan(df).orderBy("doc_id").collect())
 
 
+def test_returned_columns_equal_plain_ones(spark, given):
+    """n_*, base_sha256 and spans of the query, the model's spans included."""
+    model = secrets.train(given)
+    texts = {r.doc_id: r.text or "" for r in given.collect()}
+    found = QUERIES["op1_secret_scan"](spark, SMALL).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        base = plain.base_spans(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        assert r.base_sha256 == plain.sha256(plain.span_text(base))
+        assert r.spans == plain.span_text(plain.all_spans(texts[r.doc_id], model))
+
+
+def test_model_spans_of_odd_runs_equal_plain_ones(spark, given):
+    rng = random.Random(11)
+    word = lambda n, letters=secrets.ALPHABET: "".join(rng.choice(letters) for _ in range(n))
+    parts = ["customers", "documents", "international", "download", "v2", "="]
+    texts = [word(n) for n in (19, 20, 21, 255, 256, 257, 275, 276, 277, 600, 1500)]
+    for _ in range(60):
+        pieces = [rng.choice(parts) if rng.random() < 0.7 else word(rng.randint(8, 40)) for _ in range(rng.randint(1, 60))]
+        texts.append(rng.choice(["/", "_", "-", "="]).join(pieces) + rng.choice(["", " password: " + word(30), " é token=" + "a" * 40]))
+    texts.append("😀 " * 3000 + "password=hunter2222 " + word(64) + " AKIA" + "B" * 20 + "/" + word(40))
+    model = secrets.train(given)
+    out = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in out:
+        assert [tuple(s) for s in r.all_spans] == plain.all_spans(texts[r.doc_id], model), texts[r.doc_id][:200]
+
+
+def test_long_runs_and_many_spans_are_scanned_in_linear_time(spark, given):
+    rng = random.Random(4)
+    blob = "".join(rng.choices(secrets.ALPHABET[:62], k=1_000_000))
+    texts = [blob, " ".join(f"password={rng.getrandbits(60):016x}" for _ in range(100_000)), "é" + "x" * 1_000_000]
+    begin = time.monotonic()
+    scanned = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), secrets.train(given))
+    out = {r.doc_id: r for r in scanned.select("doc_id", F.size("base_spans").alias("n"), "all_spans", secrets.redacted().alias("text")).collect()}
+    assert time.monotonic() - begin < 120
+    assert out[0].text == "<secret>" and out[0].all_spans[-1].end == 1_000_000
+    assert out[1].n == 100_000 and out[1].text == " ".join(["password=<secret>"] * 100_000)
+    assert out[2].text == texts[2]
+
+
 def test_secret_edge_rows(documents, nothing):
     scanned = secrets.scan(documents)
     rows = scanned.select("text", "base_spans", "all_spans").collect()
@@ -295,14 +337,43 @@ def test_mixing_edge_rows(documents, nothing):
 
 
 def test_numbering_is_whole_over_buckets(spark):
-    rows = spark.range(500).withColumn("_source", F.lit("s"))
-    out = mixing.numbered(rows, F.col("id").cast("string"), bucket_rows=16).orderBy("_n").collect()
-    assert [r._n for r in out] == list(range(500))
+    rows = spark.range(500).withColumns({"s": F.lit("s"), "d": F.md5(F.col("id").cast("string"))})
+    out = mixing.numbered(rows, "s", "d", ["id"], 16, "n").orderBy("n").collect()
+    assert [r.n for r in out] == list(range(500))
     import hashlib
 
     assert [r.id for r in out] == sorted(range(500), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
 
 
+def test_given_shares_must_fit(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "doc_id long, source string")
+    shares = lambda *given: spark.createDataFrame(given, "source string, share int")
+    assert mixing.mix(rows, shares(("a", 1), ("b", 2), ("unused", 1))).count() == 20
+    for wrong in ([("a", 1)], [("a", 1), ("b", 0)], [("a", 1), ("b", 1), ("b", 2)]):
+        with pytest.raises(ValueError, match="'b'"):
+            mixing.mix(rows, shares(*wrong))
+
+
+OWN_NAMES = "_bucket _digest _i _turn _slot _share _name _source _at _shard _host _day _text _runs _rid on_host on_day mixed bucket digest within size share cycle turn start base rest text_ rid".split()
+
+
+def test_columns_with_names_of_our_own_are_carried(spark):
+    row = (1, "password: hunter22x", "s", "http://a.example.org/x", None)
+    frame = spark.createDataFrame([(*row, *OWN_NAMES)], "doc_id long, text string, source string, url string, fetched_on date, " + ", ".join(f"`{c}` string" for c in OWN_NAMES))
+    entries = spark.createDataFrame([], "domain string, listed_on date, action string")
+    outs = {
+        "secrets": secrets.scan(frame, [0] * len(secrets.ALPHABET) ** 2),
+        "filter": url_filter.filter_urls(frame, entries),
+        "shard": sharding.place(frame, F.col("doc_id"), ["x", "y"]),
+        "mix": mixing.mix(frame),
+        "first": jaccard.first_of_groups(frame),
+    }
+    for name, out in outs.items():
+        assert out.columns[: len(frame.columns)] == frame.columns, name
+        (found,) = out.collect()
+        assert tuple(found)[: len(frame.columns)] == (*row, *OWN_NAMES), name
+
+
 # Vectors
 
 
