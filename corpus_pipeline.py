@@ -13,8 +13,7 @@ from fleetpulse.llm.tables import materialize, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 PARTITION_ROWS = 4096
-RUN_ROWS = mixing.CYCLE * mixing.BLOCK_ROWS  # one cycle of the schedule holds every source by its weight
-MAX_RUNS = 1 << 15
+RUN_FILES = mixing.CYCLE * mixing.BLOCK_ROWS // PARTITION_ROWS  # about a cycle of the schedule, which holds every source by its weight
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,17 +37,18 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, laid out in the order of the slots that interleave their sources by target weight."""
-    mixed = mixing.mix(docs)
+    # Other columns may have the names of those that mixing adds.
+    given = [f"_{i}" for i in range(len(docs.columns))]
+    renamed = docs.select(*(F.col(f"`{c}`").alias(g) for c, g in zip(docs.columns, given)), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"))
     parts = max(1, -(-docs.count() // PARTITION_ROWS))
-    ordered = mixed.repartitionByRange(parts, "slot", "source_row").sortWithinPartitions("slot", "source_row")
-    return ordered.select(*docs.columns)
+    ordered = mixing.mix(renamed).repartitionByRange(parts, "slot", "source_row").sortWithinPartitions("slot", "source_row")
+    return ordered.select(*(F.col(g).alias(c) for c, g in zip(docs.columns, given)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of at most 2048 tokens that follow the order of the table's files."""
     columns = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
-    rows = max(RUN_ROWS, -(-docs.count() // MAX_RUNS))
-    return packing.pack(packing.schedule_runs(docs, rows), run="run").select(*columns)
+    return packing.pack(packing.schedule_runs(docs, RUN_FILES), run="run").select(*columns)
 
 
 STAGES: list[tuple[str, Stage]] = [
