@@ -236,7 +236,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = stored_history(spark, sf_dir)
     live = live_apps_of(history_store.read(spark, path))
-    history_store.reset(spark, path, [row.appId for row in live.collect()])
+    history_store.reset(spark, path, live)
     return history_store.read(spark, path).select("appId", "executor", "pollSeq", "heapMB")
 
 
@@ -244,7 +244,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = stored_history(spark, sf_dir)
     live = live_apps_of(history_store.read(spark, path))
-    history_store.purge_stale(spark, path, [row.appId for row in live.collect()])
+    history_store.purge_stale(spark, path, live)
+    history_store.compact(spark, path)
     return history_store.read(spark, path).select("appId", "executor", "pollSeq", "heapMB")
 
 
@@ -899,14 +900,11 @@ def _(spark, sf_dir):
         lambda stream: recording.record_stream(
             H.to_history(deltas.live_rows(stream)),
             f"{root}/history",
-            f"{root}/staging",
             f"{root}/checkpoint",
             trigger={"availableNow": True},
-            max_rows=SMALL_CAP,
-            max_age_ms=MAX_AGE_MS,
         ),
     )
-    stored = history_store.read(spark, f"{root}/history")
+    stored = history_store.restore_by_own_clock(spark, f"{root}/history", SMALL_CAP, MAX_AGE_MS)
     return stored.select("appId", "executor", "pollSeq", "gcDeltaMs", "heapMB")
 
 

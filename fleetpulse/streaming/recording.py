@@ -1,20 +1,19 @@
-"""Once-only recording and bounded history on streams."""
+"""Once-only recording on streams, and recording into the stored history."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetpulse.operators.history import bounded, bounded_by_own_clock
 from fleetpulse.schemas import HISTORY
 from fleetpulse.sources import history_store
 from fleetpulse.streaming.counters import POLL_TRIGGER
 
 RECORD_KEYS = ["app_id", "poll_seq", "executor_id"]
+HISTORY_KEYS = ["appId", "pollSeq", "executor"]
 
 
 def recorded_once(samples: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -23,69 +22,36 @@ def recorded_once(samples: DataFrame, late: str = "1 hour") -> DataFrame:
     return timed.withWatermark("_ts", late).dropDuplicatesWithinWatermark(RECORD_KEYS).drop("_ts")
 
 
-def keep_bounded(
-    path: str,
-    staging: str,
-    now_ms: Callable[[DataFrame], int] | None = None,
-    max_rows: int | None = None,
-    max_age_ms: int | None = None,
-) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function that merges recorded rows into the stored history and re-applies its bounds.
+def record_new(path: str) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function that appends the rows of a batch that the history does not hold yet.
 
-    Only partitions of applications in the batch are rewritten, and the age of a row is measured against the newest time
-    of its own application, unless `now_ms` gives a present for all. The merged rows are first written to a staging table
-    and then replace the partitions, so nothing is read from a place that is being written. A batch that is run again
-    after its merged rows were complete only replaces the partitions: what a failed replacement has removed from the
-    store is still in them.
+    A batch writes only its own rows; stored rows win over repeats, and of repeats within a batch the first recorded one does.
+    Only buckets of the batch's applications and days of its rows are read, three columns of them. A batch that is run again
+    finds its rows stored. Bounds are applied by `history_store.restore_by_own_clock`, or for good by `compact`.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stage = f"{staging}/batch={batch_id}"
-        if not _exists(spark, f"{stage}/complete"):
-            _merge_into(spark, batch, stage)
-            spark.range(1).write.mode("overwrite").parquet(f"{stage}/complete")
-        merged = spark.read.schema(HISTORY).parquet(f"{stage}/merged")
-        history_store.replace_apps(merged, path)
-        new = spark.read.schema(HISTORY).parquet(f"{stage}/new")
-        emptied = new.select("appId").distinct().join(merged.select("appId").distinct(), "appId", "left_anti")
-        if now_ms is not None:  # with their own clock applications keep their newest row
-            history_store.reset(spark, path, [row.appId for row in emptied.collect()])
-
-    def _merge_into(spark: SparkSession, batch: DataFrame, stage: str) -> None:
-        history_store.conform(batch).write.mode("overwrite").parquet(f"{stage}/new")
-        new = spark.read.schema(HISTORY).parquet(f"{stage}/new")
-        # Only partitions of the batch's applications are read: with this filter on the small side Spark prunes the
-        # stored partitions at run time.
-        touched = new.filter("pollSeq > 0").select("appId").distinct()
-        stored = history_store.read(spark, path).join(touched, "appId", "left_semi")
-        merged = stored.unionByName(new).dropDuplicates(["appId", "pollSeq", "executor"])
-        if now_ms is None:
-            kept = bounded_by_own_clock(merged, max_rows, max_age_ms)
-        else:
-            kept = bounded(merged, now_ms(new), max_rows, max_age_ms)
-        kept.write.mode("overwrite").parquet(f"{stage}/merged")
+        # Of repeats the first recorded one is kept, then the one whose values are known: null is less than any value.
+        values = [v for v in HISTORY.fieldNames() if v not in HISTORY_KEYS]
+        best = F.max(F.struct((-F.col("ingestSeq")).alias("recorded"), *values)).alias("row")
+        rows = batch.groupBy(*HISTORY_KEYS).agg(best).select(*HISTORY_KEYS, *(F.col(f"row.{v}").alias(v) for v in values))
+        rows = history_store.conform(rows).persist()
+        try:
+            places = rows.select(history_store.bucket_of(F.col("appId")).alias("bucket"), history_store.day_of(F.col("timeMs")).alias("day"))
+            stored = history_store.versioned(spark, path).join(F.broadcast(places.distinct()), ["bucket", "day"], "left_semi")
+            history_store.append(rows.join(stored.select(*HISTORY_KEYS), HISTORY_KEYS, "left_anti"), path)
+        finally:
+            rows.unpersist()
 
     return merge
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return False
-    return True
-
-
-def record_stream(
-    history: DataFrame, path: str, staging: str, checkpoint: str, trigger: dict | None = None, **bounds
-) -> StreamingQuery:
-    """Record a stream of history rows into the bounded store."""
+def record_stream(history: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Record a stream of history rows into the store."""
     return (
         history.writeStream.outputMode("append")
-        .foreachBatch(keep_bounded(path, staging, **bounds))
+        .foreachBatch(record_new(path))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or POLL_TRIGGER))
         .start()

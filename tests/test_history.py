@@ -131,7 +131,7 @@ def test_apps_can_be_removed_or_kept(history, spark):
 
 def test_store_round_trip(history, spark, tmp_path):
     path = str(tmp_path / "history")
-    assert history_store.read(spark, path).count() == 0 and history_store.stored_apps(spark, path) == []
+    assert history_store.read(spark, path).count() == 0 and history_store.stored_apps(spark, path).count() == 0
     history_store.append(history({"appId": "a", "timeMs": NOW, "heapMB": 1.5}, {"appId": "b/1", "timeMs": 5}), path)
     history_store.append(history({"appId": "a", "timeMs": NOW, "ingestSeq": 9}), path)
     stored = history_store.read(spark, path)
@@ -143,10 +143,44 @@ def test_store_round_trip(history, spark, tmp_path):
     assert history_store.read(spark, path).count() == 3  # persisting never changes the history
     history_store.replace_apps(history({"appId": "a", "ingestSeq": 50}), path)
     assert seqs(history_store.read(spark, path)) == [1, 50]
-    assert history_store.purge_stale(spark, path, ["b/1", "x"]) == ["a"]
-    assert history_store.stored_apps(spark, path) == ["b/1"]
+    history_store.purge_stale(spark, path, ["b/1", "x"])
+    assert [r.appId for r in history_store.stored_apps(spark, path).collect()] == ["b/1"]
     history_store.reset(spark, path, ["b/1"])
     assert history_store.read(spark, path).count() == 0
+    # Recording goes on after a reset.
+    history_store.append(history({"appId": "b/1", "ingestSeq": 60}), path)
+    assert seqs(history_store.read(spark, path)) == [60]
+
+
+def test_compaction_drops_rows_and_files_but_no_live_row(history, spark, tmp_path):
+    path = str(tmp_path / "history")
+    apps = [f"app {i}/é" for i in range(30)] + [None]
+    for part in range(3):
+        history_store.append(history(*({"appId": a, "timeMs": NOW - part * 86_400_000, "ingestSeq": part} for a in apps)), path)
+    history_store.reset(spark, path, spark.createDataFrame([(a,) for a in apps[:10]] + [(None,)], "appId string"))
+    history_store.append(history({"appId": apps[0], "timeMs": NOW, "ingestSeq": 9}), path)
+    rows = lambda: sorted(map(str, history_store.read(spark, path).collect()))
+    before, files = rows(), len(list(tmp_path.rglob("rows/**/part-*")))
+    assert len(before) == 61
+    done = history_store.compact(spark, path)
+    assert rows() == before and done and history_store.compact(spark, path) == []
+    stored = spark.read.schema(history_store.ROWS).parquet(f"{path}/rows").filter("appId is null or appId in ('app 1/é')")
+    assert stored.count() == 0 and len(list(tmp_path.rglob("rows/**/part-*"))) < files
+    # Writes after a compaction, another one, and bounds made final.
+    history_store.append(history({"appId": apps[3], "timeMs": NOW, "ingestSeq": 12}), path)
+    history_store.reset(spark, path, [apps[20]])
+    assert len(rows()) == 59
+    history_store.compact(spark, path)
+    assert len(rows()) == 59
+    history_store.compact(spark, path, max_rows=1)
+    assert len(rows()) == 21
+
+
+def test_reading_some_applications_and_days(history, spark, tmp_path):
+    path = str(tmp_path / "history")
+    history_store.append(history(*({"appId": f"a{i}", "timeMs": NOW - i * 86_400_000, "ingestSeq": i} for i in range(12))), path)
+    assert seqs(history_store.read(spark, path, apps=["a3", "a5", "x"])) == [3, 5]
+    assert seqs(history_store.read(spark, path, since_ms=NOW - 4 * 86_400_000)) == [0, 1, 2, 3, 4]
 
 
 def test_bad_json_history_is_dropped(spark, tmp_path):

@@ -90,8 +90,8 @@ def test_global_top_rows_need_no_full_sort(stored):
 def test_range_filter_reaches_the_scan(spark, stored, tmp_path):
     path = str(tmp_path / "h")
     history_store.append(H.to_history(R.executor_rows(stored, split=None)), path)
-    view = H.in_range(history_store.read(spark, path).filter("appId = 'app-1'"), 10**12, 5).select("executor", "heapMB")
+    view = H.in_range(history_store.read(spark, path, apps=["app-1"], since_ms=10**12), 10**12, 5).select("executor", "heapMB")
     plan = plan_of(view)
     assert "GreaterThanOrEqual(timeMs" in plan
-    assert re.search(r"PartitionFilters: \[[^\]]*appId", plan)
-    assert re.search(r"ReadSchema: struct<executor:string,heapMB:double,timeMs:bigint>", plan)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket[^\]]*day", plan)
+    assert re.search(r"ReadSchema: struct<appId:string,executor:string,heapMB:double,timeMs:bigint,version:bigint>", plan)

@@ -143,56 +143,51 @@ def test_bounded_history_stream(spark, derived, tmp_path):
 
     def start(stream):
         recorded = H.to_history(deltas.live_rows(stream))
-        return recording.record_stream(recorded, f"{root}/history", f"{root}/stage", f"{root}/cp", {"availableNow": True}, **bounds)
+        return recording.record_stream(recorded, f"{root}/history", f"{root}/cp", {"availableNow": True})
 
     for part in cuts(derived):
         feed.step(part, start)
     history = H.to_history(R.executor_rows(derived))
-    same(history_store.read(spark, f"{root}/history"), H.conform(H.bounded_by_own_clock(history, **bounds)))
+    expected = H.conform(H.bounded_by_own_clock(history, **bounds))
+    same(history_store.restore_by_own_clock(spark, f"{root}/history", **bounds), expected)
+    history_store.compact(spark, f"{root}/history", **bounds)
+    same(history_store.read(spark, f"{root}/history"), expected)
 
 
 def test_clocks_of_applications_are_their_own(spark, samples, tmp_path):
     day = 24 * 3_600_000
     rows = R.executor_rows(samples({"poll_seq": 1, "wall_ms": 0}, {"poll_seq": 1, "wall_ms": 0, "app_id": "b"}))
     more = R.executor_rows(samples({"poll_seq": 2, "wall_ms": 11 * day}, {"poll_seq": 2, "wall_ms": 5000, "app_id": "b"}))
-    merge = recording.keep_bounded(f"{tmp_path}/history", f"{tmp_path}/stage", max_age_ms=3_600_000)
+    merge = recording.record_new(f"{tmp_path}/history")
     merge(H.to_history(rows), 0)
     merge(H.to_history(more), 1)
-    stored = history_store.read(spark, f"{tmp_path}/history")
+    stored = history_store.restore_by_own_clock(spark, f"{tmp_path}/history", max_age_ms=3_600_000)
     assert sorted((r.appId, r.pollSeq) for r in stored.collect()) == [("app", 2), ("b", 1), ("b", 2)]
 
 
-def test_an_emptied_application_is_removed(spark, samples, tmp_path):
-    rows = H.to_history(R.executor_rows(samples({"poll_seq": 1, "wall_ms": 0}, {"poll_seq": 1, "wall_ms": 9000, "app_id": "b"})))
-    places = f"{tmp_path}/history", f"{tmp_path}/stage"
-    recording.keep_bounded(*places)(rows, 0)
-    recording.keep_bounded(*places, now_ms=lambda new: 10_000, max_age_ms=2000)(rows, 1)
-    assert [r.appId for r in history_store.read(spark, places[0]).collect()] == ["b"]
-
-
-def test_a_batch_that_died_while_replacing_loses_nothing(spark, samples, tmp_path, monkeypatch):
+def test_a_batch_that_died_while_writing_loses_nothing(spark, samples, tmp_path, monkeypatch):
     first, second = (H.to_history(R.executor_rows(samples({"poll_seq": p}))) for p in (1, 2))
-    places = f"{tmp_path}/history", f"{tmp_path}/stage"
-    recording.keep_bounded(*places)(first, 0)
+    path = f"{tmp_path}/history"
+    recording.record_new(path)(first, 0)
 
-    def die(merged, path):
-        history_store.reset(spark, path, ["app"])
+    def die(rows, path):
         raise RuntimeError("executor lost")
 
     with monkeypatch.context() as patched:
-        patched.setattr(history_store, "replace_apps", die)
+        patched.setattr(history_store, "append", die)
         with pytest.raises(RuntimeError):
-            recording.keep_bounded(*places)(second, 1)
-    recording.keep_bounded(*places)(second, 1)
-    assert sorted(r.pollSeq for r in history_store.read(spark, places[0]).collect()) == [1, 2]
+            recording.record_new(path)(second, 1)
+    recording.record_new(path)(second, 1)
+    assert sorted(r.pollSeq for r in history_store.read(spark, path).collect()) == [1, 2]
 
 
-def test_a_repeated_batch_changes_nothing(spark, derived, tmp_path):
-    batch = H.to_history(R.executor_rows(derived.filter("poll_seq < 300")))
-    merge = recording.keep_bounded(f"{tmp_path}/history", f"{tmp_path}/stage", max_rows=100)
-    merge(batch, 0)
-    before = history_store.read(spark, f"{tmp_path}/history").collect()
+def test_a_repeated_batch_changes_nothing_and_stored_rows_win(spark, derived, tmp_path):
+    batch, path = H.to_history(R.executor_rows(derived.filter("poll_seq < 300"))), f"{tmp_path}/history"
+    merge = recording.record_new(path)
     merge(batch, 0)
-    merge(batch, 1)
-    assert sorted(before, key=str) == sorted(history_store.read(spark, f"{tmp_path}/history").collect(), key=str)
-    assert len(before) == 300
+    before = history_store.read(spark, path)
+    rows = sorted(map(tuple, before.collect()), key=str)
+    merge(batch.unionByName(batch), 0)
+    merge(batch.withColumns({"gcDeltaMs": F.lit(None).cast("bigint"), "heapMB": F.lit(-1.0)}), 1)
+    assert rows == sorted(map(tuple, history_store.read(spark, path).collect()), key=str)
+    assert len(rows) == batch.select("appId", "pollSeq", "executor").distinct().count()
