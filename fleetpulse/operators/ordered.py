@@ -2,13 +2,14 @@
 
 A plain window sorts all rows of a key in one task, which is right for most keys and fatal for a key that holds a
 third of the table. Keys with more than `Split.max_rows` rows are therefore cut into segments of their order axis, of
-about `Split.segment_rows` rows each; all other keys stay whole. Each segment is summarised to one row, the summaries
-of a key are scanned in order to find what a segment inherits from the ones before it, and rows are windowed inside
-their segment only. Rows are shuffled once, on (keys, segment); the inherited values arrive by an equi-join on the
+about `Split.segment_rows` rows each however unevenly they lie on it; all other keys stay whole. Each segment is
+summarised to one row, the summaries of a key are scanned in order to find what a segment inherits from the ones before
+it, and rows are windowed inside their segment only. Rows are shuffled once, on (keys, segment); the inherited values arrive by an equi-join on the
 same columns, so the row side needs no second exchange and no second sort.
 
-The table of cut keys is broadcast. Each has over `Split.max_rows` rows, so it has at most one row for every `max_rows`
-rows of the input: about 240,000 short rows for 10^12.
+A key has at most `MAX_SEGMENTS` segments, enough to keep a cluster busy; beyond 2 * 10^9 rows its segments grow instead of
+their number, so that a row never carries more than 16 KB of bounds through the join that places it. The bounds of all
+cut keys are broadcast: about one number for every `segment_rows` rows of the input at most, 8 MB for 10^12 rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 
 SEGMENT = "_segment"
 ADJACENT_WIDTH = 65536
+SAMPLES_PER_SEGMENT = 64
+MAX_SEGMENTS = 2048
+
+_LOWEST = -(1 << 63)
 
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
@@ -28,7 +33,7 @@ _UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
 @dataclass(frozen=True)
 class Split:
-    """From which size on a key is cut, and how many rows its segments have on average."""
+    """From which size on a key is cut, and about how many rows its segments have."""
 
     max_rows: int = 1 << 22
     segment_rows: int = 1 << 20
@@ -38,18 +43,31 @@ SPLIT = Split()
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], order: str, split: Split = SPLIT) -> DataFrame:
-    """Keys to cut: (keys, `_from`, `_width`), the start of their axis and the length of a segment on it.
+    """Keys to cut: (keys, `_bounds`), the ascending first positions of a key's segments; the first one is open below.
 
-    Counting is a partially aggregated pass over the key and order columns only.
+    Segments have equal depth wherever the rows lie on the axis. One partially aggregated pass over the key and order
+    columns counts all rows of each key and, exactly, those of every sampled position. Positions are sampled by their
+    hash, so that a repeated task samples the same ones; at least `SAMPLES_PER_SEGMENT` lie in a segment on average, which
+    keeps segments well under twice their target (all positions are taken where the target is that small). Rows of one
+    position are never parted.
     """
-    rows, first, last = F.col("_rows"), F.col("_from"), F.col("_to")
-    width = F.ceil((last - first + 1).cast("double") * F.lit(float(split.segment_rows)) / rows)
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_from"), F.max(order).alias("_to"))
-        .filter(rows > split.max_rows)
-        .select(*keys, "_from", F.greatest(F.lit(1).cast("bigint"), width).alias("_width"))
+    step = max(1, split.segment_rows // SAMPLES_PER_SEGMENT)
+    depth = max(1, split.segment_rows // step)
+    taken = F.pmod(F.xxhash64(*keys, order), F.lit(step)) == 0
+    counted = df.groupBy(*keys, F.when(taken, F.col(order)).cast("bigint").alias("_at")).agg(F.count(F.lit(1)).alias("_rows"))
+    # Positions that were not sampled are one row per key, in front of all others (nulls first), and count as none.
+    sampled = F.when(F.col("_at").isNotNull(), F.col("_rows"))
+    of_key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum(sampled).over(of_key.orderBy("_at").rowsBetween(*_BEFORE)), F.lit(0))
+    target = F.greatest(F.lit(depth), F.ceil(F.sum(sampled).over(of_key) / F.lit(MAX_SEGMENTS)))
+    cut = (
+        counted.select(*keys, "_at", before.alias("_before"), target.alias("_target"), F.sum("_rows").over(of_key).alias("_total"))
+        .filter((F.col("_total") > split.max_rows) & F.col("_at").isNotNull())
+        .groupBy(*keys, segment_of(F.col("_before"), F.col("_target")).alias("_nth"))
+        .agg(F.min("_at").alias("_at"))
     )
+    first = F.when(F.col("_nth") > 0, F.col("_at")).otherwise(F.lit(_LOWEST))
+    return cut.groupBy(*keys).agg(F.sort_array(F.collect_list(first)).alias("_bounds"))
 
 
 def ordered_scan(
@@ -113,8 +131,11 @@ def ordered_scan(
 def with_segments(df: DataFrame, keys: Sequence[str], order: str, split: Split = SPLIT) -> DataFrame:
     """Add the segment of each row: 1 and up along the axis of a cut key, 0 for all rows of a key that stays whole."""
     placed = df.join(F.broadcast(hot_keys(df, keys, order, split)), list(keys), "left")
-    position = segment_of(F.col(order) - F.col("_from"), F.col("_width")) + 1
-    return placed.withColumn(SEGMENT, F.coalesce(position, F.lit(0))).drop("_from", "_width")
+    # Binary search for the number of bounds up to the row; beyond their end `get` is null and the step is not taken.
+    steps = F.array(*[F.lit(MAX_SEGMENTS >> i) for i in range(MAX_SEGMENTS.bit_length())])
+    further = lambda reached, step: F.get("_bounds", reached + step - 1) <= F.col(order)
+    search = F.aggregate(steps, F.lit(0), lambda n, step: F.when(further(n, step), n + step).otherwise(n))
+    return placed.withColumn(SEGMENT, F.when(F.col("_bounds").isNotNull(), search).otherwise(F.lit(0))).drop("_bounds")
 
 
 def segment_of(order: Column, width: int | Column) -> Column:

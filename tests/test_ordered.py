@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetpulse.operators.joins import spread_join
-from fleetpulse.operators.ordered import SPLIT, Split, hot_keys, ordered_scan, poll_ordinals, with_previous_adjacent, with_segments
+from fleetpulse.operators.ordered import MAX_SEGMENTS, SEGMENT, SPLIT, Split, hot_keys, ordered_scan, poll_ordinals, with_previous_adjacent, with_segments
 from fleetpulse.operators.ranking import last_polls, newest_rows, top_per_group
 
 
@@ -57,12 +57,51 @@ def test_scan_equals_a_loop(spark, data, split):
 
 def test_only_large_keys_are_cut(spark, data):
     df = spark.createDataFrame(data, "k string, o bigint, v bigint")
-    found = {r.k: (r["_from"], r["_width"]) for r in hot_keys(df, ["k"], "o", Split(39, 10)).collect()}
-    mine = {k: [r[1] for r in data if r[0] == k] for k in ("hot", "b")}
-    assert found == {k: (min(o), -(-(max(o) - min(o) + 1) * 10 // len(o))) for k, o in mine.items()}
+    found = {r.k: r["_bounds"] for r in hot_keys(df, ["k"], "o", Split(39, 10)).collect()}
+    mine = {k: sorted(r[1] for r in data if r[0] == k) for k in ("hot", "b")}
+    # targets this small take every position, so the depths are exact
+    assert found == {k: [-(2**63), *o[10::10]] for k, o in mine.items()}
     assert hot_keys(df, ["k"], "o").count() == 0
 
 
+@pytest.mark.parametrize("shape", ["one far outlier", "dense ends", "growing gaps", "repeated positions"])
+@pytest.mark.parametrize("target", [50, 640, 2000])
+def test_segments_have_equal_depth_on_uneven_axes(spark, shape, target):
+    n = 20_000  # a third of all rows in one key
+    order = {
+        "one far outlier": F.when(F.col("id") == n - 1, F.lit(1 << 60)).otherwise(F.col("id")),
+        "dense ends": F.when(F.col("id") < n // 2, F.col("id")).otherwise(F.col("id") + (1 << 50)),
+        "growing gaps": F.col("id") * F.col("id") * F.col("id") - (1 << 40),
+        "repeated positions": F.expr("id div 5") - 7,
+    }[shape]
+    hot = spark.range(n).select(F.lit("hot").alias("k"), order.alias("o"))
+    small = spark.range(2 * n).select(F.format_string("small %d", F.col("id") % 80).alias("k"), F.col("id").alias("o"))
+    sizes = with_segments(hot.unionByName(small), ["k"], "o", Split(1000, target)).groupBy("k", SEGMENT).count().collect()
+    cut = [r["count"] for r in sizes if r.k == "hot"]
+    assert sum(cut) == n and max(cut) < 2 * target and len(cut) < 2 * n / target + 1
+    assert {r[SEGMENT] for r in sizes if r.k == "hot"} == set(range(1, len(cut) + 1))
+    assert all(r[SEGMENT] == 0 for r in sizes if r.k != "hot")
+
+
+def test_a_key_has_a_bounded_number_of_segments(spark):
+    sizes = with_segments(spark.range(20_000).withColumn("k", F.lit(1)), ["k"], "id", Split(5, 2)).groupBy(SEGMENT).count().collect()
+    assert 1024 < len(sizes) <= MAX_SEGMENTS and max(r["count"] for r in sizes) == -(-20_000 // MAX_SEGMENTS)
+
+
+def test_rows_of_one_position_stay_together(spark):
+    df = spark.createDataFrame([("k", o, v) for o in (1, 2, 3) for v in range(40)], "k string, o bigint, v bigint")
+    found = with_segments(df, ["k"], "o", Split(10, 10)).groupBy("o").agg(F.collect_set(SEGMENT).alias("s")).collect()
+    assert {r.o: r.s for r in found} == {1: [1], 2: [2], 3: [3]}
+
+
+def test_scan_over_an_axis_with_an_outlier(spark):
+    rows = [("k", o, o) for o in (*range(60), 2**62, -(2**62))]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
+    found = ordered_scan(df, ["k"], "o", previous={"p": F.col("v")}, running_max={"m": F.col("v")}, split=Split(5, 4)).collect()
+    axis = sorted(r[1] for r in rows)
+    assert {r.o: (r.p, r.m) for r in found} == {o: (None if i == 0 else axis[i - 1], o) for i, o in enumerate(axis)}
+
+
 def test_scan_takes_null_keys(spark):
     rows = [(None, 1, 5), (None, 2, 6)] + [("k", i, i) for i in range(9)]
     df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
