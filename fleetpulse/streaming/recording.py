@@ -16,10 +16,15 @@ RECORD_KEYS = ["app_id", "poll_seq", "executor_id"]
 HISTORY_KEYS = ["appId", "pollSeq", "executor"]
 
 
-def recorded_once(samples: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each (application, poll, executor) once; repeats and samples later than the retention age are dropped."""
-    timed = samples.filter("poll_seq > 0").withColumn("_ts", F.timestamp_millis("wall_ms"))
-    return timed.withWatermark("_ts", late).dropDuplicatesWithinWatermark(RECORD_KEYS).drop("_ts")
+def recorded_once(samples: DataFrame, remembered: str = "1 hour") -> DataFrame:
+    """Each (application, poll, executor) once, however late by its own clock.
+
+    The watermark follows the processing clock (time of the batch), so that no application's clock decides about the samples
+    of another. A key is remembered for `remembered` of that time; a repeat that comes later passes, and a store that
+    `record_new` fills ignores it, as it holds the row.
+    """
+    timed = samples.filter("poll_seq > 0").withColumn("_ts", F.current_timestamp())
+    return timed.withWatermark("_ts", remembered).dropDuplicatesWithinWatermark(RECORD_KEYS).drop("_ts")
 
 
 def record_new(path: str) -> Callable[[DataFrame, int], None]:

@@ -133,8 +133,16 @@ def test_recorded_once(spark, samples, tmp_path):
     late = {"poll_seq": 2, "wall_ms": 1}
     parts = [first, samples({"poll_seq": 1}, {"poll_seq": 900, "wall_ms": 4_000_000}), samples({"poll_seq": 901, "wall_ms": 4_000_001}, late)]
     found = Feed(spark, tmp_path, SAMPLES).rows(parts, lambda s: recording.recorded_once(s).select("poll_seq", "executor_id"))
-    # the repeat of poll 1 and the sample older than an hour are dropped
-    assert sorted(tuple(r) for r in found.collect()) == [(1, "1"), (1, "2"), (900, "1"), (901, "1")]
+    # the repeats of poll 1 are dropped; the sample that is over an hour old when it first comes is kept
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "1"), (1, "2"), (2, "1"), (900, "1"), (901, "1")]
+
+
+def test_recording_once_with_clocks_days_apart(spark, samples, tmp_path):
+    day = 24 * 3_600_000
+    row = lambda app, poll, start: {"app_id": app, "poll_seq": poll, "wall_ms": start + poll * 5000}
+    step = lambda *polls: samples(*(row(app, poll, start) for poll in polls for app, start in (("ahead", 9 * day), ("behind", 0))))
+    found = Feed(spark, tmp_path, SAMPLES).rows([step(1, 2), step(2, 4), step(3, 1)], lambda s: recording.recorded_once(s).select("app_id", "poll_seq"))
+    assert sorted(tuple(r) for r in found.collect()) == [(app, poll) for app in ("ahead", "behind") for poll in (1, 2, 3, 4)]
 
 
 def test_bounded_history_stream(spark, derived, tmp_path):
