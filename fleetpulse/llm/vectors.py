@@ -1,30 +1,35 @@
-"""Exact top-k search with vector-approximation files.
+"""Exact top-k search with a vector-approximation file.
 
-Vectors are kept twice: as one-byte cells and exactly. For a block of queries, the cells of a block of vectors give bounds of
-every inner product; vectors are then read exactly in the order of their bounds, until no bound can reach the kth
-result. Blocks of queries meet blocks of vectors by an equi-join on block numbers, so work spreads over blocks of
-bounded size and no task holds more than one block of each.
+Vectors are written twice: exactly, and as one-byte cells of borders that hold for the whole table. Only cells are dealt to the
+queries. They bound every inner product, and what cannot reach the kth best lower bound of its block is left out. The
+rest is numbered per query in the order of its bounds. Exact vectors are then fetched by an equi-join in that order: first
+the k best by bound, whose kth exact score makes the result certain but for those whose upper bound reaches it, then these.
+
+Blocks of queries meet blocks of cells by their numbers, one pair a group, so tasks hold bounded data and work spreads for few queries too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetpulse.llm.tables import materialize
+
 SCALE = 64
 K = 20
 CELLS = 32
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 1024
+CHUNK_QUERIES = 128
 
-BLOCK = "ids binary, exact binary, n long, dims long"
-RESULT = "query_id long, vec_id long, score long"
+CELL_BLOCK = "block long, rows binary, singles binary, cells binary"
+QUERY_BLOCK = "lane long, ids binary, exact binary"
+BOUNDS = "query_id long, row long, lower double, upper double"
+NO_SINGLE = np.iinfo(np.int64).min
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -35,67 +40,128 @@ def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL").where(finite).select(F.col("vec_id").cast("long"), whole.alias("v"))
 
 
-def blocks(vectors: DataFrame, most: int) -> DataFrame:
-    """BLOCK rows of at most `most` vectors each; shorter vectors of a block are filled up with zeros."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, most):
-                part = batch.slice(at, most)
-                ids, lists = np.asarray(part["vec_id"], np.int64), part["v"]
-                sizes = np.asarray(pa.compute.list_value_length(lists), np.int64)
-                exact = np.zeros((len(sizes), int(sizes.max())), np.int64)
-                exact[np.arange(exact.shape[1]) < sizes[:, None]] = np.asarray(lists.flatten(), np.int64)
-                yield pd.DataFrame({"ids": [ids.tobytes()], "exact": [exact.tobytes()], "n": [len(sizes)], "dims": [exact.shape[1]]})
-
-    return vectors.mapInArrow(lambda it: (pa.RecordBatch.from_pandas(f, preserve_index=False) for f in build(it)), BLOCK)
-
-
-def cells_of(exact: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One-byte cell of every component, and each dimension's cell borders as (low, width); a cell c spans low + c * width and
-    the width - 1 integers after it."""
-    low = exact.min(axis=0)
-    width = np.maximum(1, -(-(exact.max(axis=0) - low + 1) // cells))
-    return ((exact - low) // width).astype(np.uint8), low, width
-
-
-def best_in_block(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray, ids: np.ndarray, k: int, cells: int) -> Iterator[tuple]:
-    """(query id, vector id, score) of each query's k best of one block, by score, then id. Sums are exact integers."""
-    dims = max(queries.shape[1], exact.shape[1])
-    queries = np.pad(queries, ((0, 0), (0, dims - queries.shape[1])))
-    exact = np.pad(exact, ((0, 0), (0, dims - exact.shape[1])))
-    largest = float(np.abs(queries).max(initial=1)) * float(np.abs(exact).max(initial=1)) * max(dims, 1)
-    kind = np.float64 if largest < 2**52 else np.int64 if largest < 2**62 else object
-    codes, low, width = cells_of(exact, cells)
-    q, x = queries.astype(kind), exact.astype(kind)
-    lowest = codes * width + low
-    at = lowest.astype(kind)
-    gap = (width - 1).astype(kind)
+def distinct_vectors(whole: DataFrame, k: int) -> DataFrame:
+    """(row, v, ids): every different vector once, with its k + 1 smallest ids and up to k copies of each.
+
+    Equal vectors have equal scores and ties go to the smaller id, so no further ids can be among the k best of a query, its own
+    left out. The limit also works before the exchange, which keeps a very common vector from making a large group.
+    """
+    counted = whole.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    smallest = counted.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    listed = smallest.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "copies"))).alias("ids"))
+    return materialize(listed.select(F.monotonically_increasing_id().alias("row"), "v", "ids"), "vectors-exact")
+
+
+def borders(exact: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, width) of each dimension: cell c spans low + c * width and the width - 1 integers after it. One number pair a dimension."""
+    spans = exact.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    low, width = np.zeros(max(1, len(spans)), np.int64), np.ones(max(1, len(spans)), np.uint64)
+    for s in spans:  # shorter vectors are filled up with zeros, which the cells must hold too
+        low[s["at"]] = min(s["low"], 0)
+        width[s["at"]] = -(-(max(s["high"], 0) - min(s["low"], 0) + 1) // cells)
+    return low, width
+
+
+def matrix(lists: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Rows of `dims` integers; shorter ones are filled up with zeros, longer ones cut, as they would meet zeros."""
+    lists = lists.combine_chunks()
+    sizes = np.asarray(pc.list_value_length(lists), np.int64)
+    full = np.zeros((len(sizes), max(dims, int(sizes.max(initial=0)))), np.int64)
+    full[np.arange(full.shape[1]) < sizes[:, None]] = np.asarray(lists.flatten(), np.int64)
+    return full[:, :dims]
+
+
+def cell_blocks(exact: DataFrame, low: np.ndarray, width: np.ndarray, blocks: int) -> DataFrame:
+    """CELL_BLOCK rows: the approximation file, with about BLOCK_VECTORS vectors in each block."""
+
+    def build(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        # Differences of two longs fit unsigned ones, which wrap around to them.
+        apart = matrix(part["v"], low.size).astype(np.uint64) - low.astype(np.uint64)
+        rows, singles = np.asarray(part["row"], np.int64), np.asarray(part["single"].fill_null(int(NO_SINGLE)), np.int64)
+        block = {"block": [key[0].as_py()], "rows": [rows.tobytes()], "singles": [singles.tobytes()], "cells": [(apart // width).astype(np.uint8).tobytes()]}
+        return pa.table(block)
+
+    single = F.when(F.size("ids") == 1, F.col("ids")[0]["vec_id"]).alias("single")
+    dealt = exact.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), "row", "v", single)
+    return materialize(dealt.groupBy("block").applyInArrow(build, CELL_BLOCK), "vectors-cells")
+
+
+def query_blocks(asked: DataFrame, dims: int, lanes: int) -> DataFrame:
+    def build(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        ids = np.asarray(part["vec_id"], np.int64)
+        return pa.table({"lane": [key[0].as_py()], "ids": [ids.tobytes()], "exact": [matrix(part["v"], dims).tobytes()]})
+
+    return asked.withColumn("lane", F.pmod(F.xxhash64("vec_id"), F.lit(lanes))).groupBy("lane").applyInArrow(build, QUERY_BLOCK)
+
+
+def bounds(queries: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query: its product with the low borders, and what is to be added for the lower and the upper bound of any vector.
+
+    Doubles are exact up to 2^53; sums that may pass that get room for their rounding.
+    """
+    q, at, wide = queries.astype(np.float64), low.astype(np.float64), width.astype(np.float64)
+    gap = wide - 1
+    most = np.abs(q) @ (np.abs(at) + wide * 256)
+    slack = np.where(most < 2**52, 0, most * (q.shape[1] + 8) * 2.0**-51)
     # A positive weight is greatest at a cell's upper end, a negative one at its lower end.
-    middle = q @ at.T
-    upper = middle + (np.maximum(q, 0) @ gap)[:, None]
-    lower = middle + (np.minimum(q, 0) @ gap)[:, None]
-    for i, query_id in enumerate(query_ids):
-        other = ids != query_id
-        bound = upper[i][other]
-        own = np.flatnonzero(other)
-        if not own.size:
-            continue
-        # The kth result is at least the kth best lower bound; what cannot reach that is never read.
-        sure = np.partition(lower[i][other], own.size - k)[own.size - k] if own.size > k else bound.min()
-        near = own[bound >= sure]
-        near = near[np.argsort(-upper[i][near], kind="stable")]
-        found = np.zeros(0, kind)
-        read = 0
-        while read < near.size:
-            if read >= k and upper[i][near[read]] < np.partition(found, found.size - k)[found.size - k]:
-                break  # all further bounds are lower still
-            step = near[read : read + max(k, 64)]
-            found = np.concatenate([found, x[step] @ q[i]])
-            read += step.size
-        best = np.lexsort((ids[near[:read]], -found))[:k]
-        for j in best:
-            yield int(query_id), int(ids[near[j]]), int(found[j])
+    return q @ at, np.minimum(q, 0) @ gap - slack, np.maximum(q, 0) @ gap + slack
+
+
+def near(query_ids: np.ndarray, queries: np.ndarray, rows: np.ndarray, singles: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> pa.Table:
+    """BOUNDS of the vectors of a block that may be among the k best of each query. Only cells are read."""
+    codes = cells.astype(np.float64).T
+    found = []
+    for at in range(0, len(query_ids), CHUNK_QUERIES):
+        ids, q = query_ids[at : at + CHUNK_QUERIES], queries[at : at + CHUNK_QUERIES]
+        base, below, above = bounds(q, low, width)
+        middle = (q.astype(np.float64) * width.astype(np.float64)) @ codes + base[:, None]
+        # A vector that only the query's own id has is no candidate.
+        own = np.flatnonzero((singles != NO_SINGLE) & np.isin(singles, ids))
+        place = {int(i): n for n, i in enumerate(ids)}
+        middle[[place[int(s)] for s in singles[own]], own] = -np.inf
+        n = middle.shape[1]
+        kth = np.partition(middle, n - k, axis=1)[:, n - k] if n > k else np.full(len(ids), -np.inf)
+        reach = (middle + above[:, None] >= (kth + below)[:, None]) & (middle > -np.inf)
+        i, j = np.nonzero(reach)
+        found.append((ids[i], rows[j], middle[i, j] + below[i], middle[i, j] + above[i]))
+    return pa.table([np.concatenate(c) for c in zip(*found)], names=["query_id", "row", "lower", "upper"])
+
+
+def candidates(exact: DataFrame, asked: DataFrame, k: int, cells: int, block_queries: int) -> DataFrame:
+    """(query_id, row, lower, upper, place): vectors that may be among the k best, by place in the order of their bounds from 1."""
+    low, width = borders(exact, cells)
+    blocks, lanes = max(1, -(-exact.count() // BLOCK_VECTORS)), max(1, -(-asked.count() // block_queries))
+    # Tasks of some 32 pairs for large tables, single pairs for small ones.
+    tasks = min(blocks * lanes, max(int(exact.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * lanes // 32))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    wide = cell_blocks(exact, low, width, blocks).withColumn("lane", each(lanes)).repartition(tasks, "block", "lane")
+    narrow = query_blocks(asked, low.size, lanes).withColumn("block", each(blocks)).repartition(tasks, "block", "lane")
+
+    def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not (vectors.num_rows and queries.num_rows):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["query_id", "row", "lower", "upper"])
+        read = lambda t, name, kind: np.frombuffer(t[name][0].as_py(), kind)
+        codes, q = read(vectors, "cells", np.uint8).reshape(-1, low.size), read(queries, "exact", np.int64).reshape(-1, low.size)
+        return near(read(queries, "ids", np.int64), q, read(vectors, "rows", np.int64), read(vectors, "singles", np.int64), codes, low, width, k)
+
+    found = wide.groupBy("block", "lane").cogroup(narrow.groupBy("block", "lane")).applyInArrow(search, BOUNDS)
+    order = Window.partitionBy("query_id").orderBy(F.desc("lower"), "row")
+    return materialize(found.withColumn("place", F.row_number().over(order)), "vectors-bounds")
+
+
+def exact_scores(ordered: DataFrame, exact: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, row, ids, score), one row for each vector that was read exactly: the k best by bound, and those whose upper bound
+    reaches the kth score of these."""
+    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a * b, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def read(chosen: DataFrame) -> DataFrame:
+        return chosen.join(exact, "row").join(queries, "query_id").select("query_id", "row", "ids", product.alias("score"))
+
+    first = materialize(read(ordered.where(F.col("place") <= k)), "vectors-first")
+    sure = first.groupBy("query_id").agg(F.min("score").alias("sure"))
+    rest = ordered.where(F.col("place") > k).join(sure, "query_id").where("upper >= sure").select("query_id", "row")
+    return first.unionByName(read(rest))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, cells: int = CELLS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -103,31 +169,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
 
     Both tables have vec_id and embedding. Ties go to the smaller vec_id. Vectors that are null or hold null or non-finite
     components take no part, nor do null ids; a shorter vector counts as filled up with zeros. Of repeated query ids the
-    smallest vector is asked; repeated candidates are all answered. An empty table, or no queries, gives no rows. Scores beyond 64 bits raise an error.
+    smallest vector is asked; repeated candidates are all answered. An empty table, or no queries, gives no rows. Scores beyond
+    64 bits raise an error. At most 256 cells.
     """
-    wide = blocks(integer_vectors(vectors, scale), BLOCK_VECTORS).withColumn("v", F.struct(*(f.split()[0] for f in BLOCK.split(", "))))
-    asked = integer_vectors(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = max(1, -(-asked.count() // block_queries))
-    grouped = asked.repartition(n, F.xxhash64("vec_id"))
-    narrow = blocks(grouped, block_queries).withColumn("q", F.struct(*(f.split()[0] for f in BLOCK.split(", "))))
-    # Every block of vectors is dealt once to every lane, and a lane holds its share of the blocks of queries.
-    lanes = narrow.select(F.pmod(F.xxhash64("ids"), F.lit(n)).alias("lane"), "q")
-    dealt = wide.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("lane"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        def matrix(part):
-            ids, exact = np.frombuffer(part["ids"], np.int64), np.frombuffer(part["exact"], np.int64)
-            return ids, exact.reshape(part["n"], part["dims"])
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                query_ids, q = matrix(batch["q"][row].as_py())
-                ids, exact = matrix(batch["v"][row].as_py())
-                rows = list(best_in_block(q, query_ids, exact, ids, k, cells))
-                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype(np.int64)
-
-    pairs = dealt.join(lanes, "lane").select("q", "v")
-    found = pairs.mapInArrow(lambda it: (pa.RecordBatch.from_pandas(f, preserve_index=False) for f in search(it)), RESULT)
+    exact = distinct_vectors(integer_vectors(vectors, scale), k)
+    asked = materialize(integer_vectors(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors-asked")
+    scored = exact_scores(candidates(exact, asked, k, cells, block_queries), exact, asked, k)
+    answers = scored.select("query_id", F.explode("ids").alias("id"), "score").where("id.vec_id <> query_id")
+    copies = answers.select("query_id", F.col("id.vec_id").alias("vec_id"), "score", F.explode(F.array_repeat(F.lit(0), F.col("id.copies"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = copies.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

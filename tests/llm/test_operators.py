@@ -397,6 +397,33 @@ def test_top_k_equals_brute_force(spark):
     few = vectors.top_k(df.where("vec_id < 3"), df.where("vec_id = 1"), k=5)
     assert few.count() == 2
     assert vectors.top_k(df.where("false"), df.where("false")).count() == 0
+    every = vectors.top_k(df, df.where("vec_id < 3"), k=500).groupBy("query_id").count().collect()
+    assert [r["count"] for r in every] == [len([1 for i, v in padded if i is not None and plain.floor_vector(v) is not None]) - 1] * 3
+
+
+def test_top_k_of_repeated_rows_and_large_numbers(spark):
+    rng = random.Random(3)
+    rows = [(1, [1.0, 2.0])] * 8 + [(2, [1.0, 2.0]), (3, [1.0, 2.0]), (3, [5.0, -1.0]), (4, [0.5, 0.25, 3.0])]
+    rows += [(i, [rng.uniform(-1, 1) * 10.0**6 for _ in range(3)]) for i in range(10, 60)]
+    for scaled in (1.0, 10.0**1.2):  # the larger products pass 2^53
+        given = [(i, [x * scaled for x in v]) for i, v in rows]
+        df = spark.createDataFrame(given, "vec_id long, embedding array<double>").repartition(3)
+        asked = {}
+        for i, v in given:
+            asked[i] = min(asked.get(i, v), v)
+        for k in (1, 3):
+            found = Counter(tuple(r) for r in vectors.top_k(df, df, k=k, cells=7, block_queries=16).collect())
+            assert found == Counter(plain.top_k(given, list(asked.items()), k))
+
+
+def test_few_vectors_are_read_exactly(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(6000)], "vec_id long, embedding array<double>")
+    exact = vectors.distinct_vectors(vectors.integer_vectors(df), 5)
+    asked = vectors.integer_vectors(df.where("vec_id % 100 = 0"))
+    ordered = vectors.candidates(exact, asked, 5, 32, 16)
+    read = vectors.exact_scores(ordered, exact, asked, 5).groupBy("query_id").count().collect()
+    assert len(read) == 60 and min(r["count"] for r in read) >= 5 and sum(r["count"] for r in read) < 60 * 6000 // 100
 
 
 # Quality rules
