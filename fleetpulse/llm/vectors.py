@@ -21,8 +21,8 @@ from fleetpulse.llm.tables import materialize
 
 SCALE = 64
 K = 20
-CELLS = 32
-BLOCK_VECTORS = 4096
+CELLS = 256  # as many as a byte holds
+BLOCK_CELLS = 2**21
 BLOCK_QUERIES = 1024
 CHUNK_QUERIES = 128
 
@@ -72,7 +72,7 @@ def matrix(lists: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 def cell_blocks(exact: DataFrame, low: np.ndarray, width: np.ndarray, blocks: int) -> DataFrame:
-    """CELL_BLOCK rows: the approximation file, with about BLOCK_VECTORS vectors in each block."""
+    """CELL_BLOCK rows: the approximation file, with about BLOCK_CELLS cells in each block."""
 
     def build(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         # Differences of two longs fit unsigned ones, which wrap around to them.
@@ -130,7 +130,7 @@ def near(query_ids: np.ndarray, queries: np.ndarray, rows: np.ndarray, singles:
 def candidates(exact: DataFrame, asked: DataFrame, k: int, cells: int, block_queries: int) -> DataFrame:
     """(query_id, row, lower, upper, place): vectors that may be among the k best, by place in the order of their bounds from 1."""
     low, width = borders(exact, cells)
-    blocks, lanes = max(1, -(-exact.count() // BLOCK_VECTORS)), max(1, -(-asked.count() // block_queries))
+    blocks, lanes = max(1, -(-exact.count() * low.size // BLOCK_CELLS)), max(1, -(-asked.count() // block_queries))
     # Tasks of some 32 pairs for large tables, single pairs for small ones.
     tasks = min(blocks * lanes, max(int(exact.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * lanes // 32))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

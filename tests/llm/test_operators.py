@@ -383,7 +383,8 @@ def test_columns_with_names_of_our_own_are_carried(spark):
 # Vectors
 
 
-def test_top_k_equals_brute_force(spark):
+def test_top_k_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_CELLS", 500)  # several blocks
     rng = np.random.default_rng(2)
     rows = [(i, (rng.normal(size=8) / (1 + i % 5)).astype(np.float32).tolist()) for i in range(300)]
     rows += [(300 + i, rows[i][1]) for i in range(20)]  # ties
@@ -416,7 +417,8 @@ def test_top_k_of_repeated_rows_and_large_numbers(spark):
             assert found == Counter(plain.top_k(given, list(asked.items()), k))
 
 
-def test_few_vectors_are_read_exactly(spark):
+def test_few_vectors_are_read_exactly(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_CELLS", 50_000)
     rng = np.random.default_rng(8)
     df = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(6000)], "vec_id long, embedding array<double>")
     exact = vectors.distinct_vectors(vectors.integer_vectors(df), 5)
