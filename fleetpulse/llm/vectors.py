@@ -170,8 +170,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     Both tables have vec_id and embedding. Ties go to the smaller vec_id. Vectors that are null or hold null or non-finite
     components take no part, nor do null ids; a shorter vector counts as filled up with zeros. Of repeated query ids the
     smallest vector is asked; repeated candidates are all answered. An empty table, or no queries, gives no rows. Scores beyond
-    64 bits raise an error. At most 256 cells.
+    64 bits raise an error, and so do more than 256 cells, the most a byte can tell apart.
     """
+    if not 1 <= cells <= 256:
+        raise ValueError("cells must be 1 to 256")
     exact = distinct_vectors(integer_vectors(vectors, scale), k)
     asked = materialize(integer_vectors(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors-asked")
     scored = exact_scores(candidates(exact, asked, k, cells, block_queries), exact, asked, k)

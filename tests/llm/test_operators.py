@@ -398,6 +398,8 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     few = vectors.top_k(df.where("vec_id < 3"), df.where("vec_id = 1"), k=5)
     assert few.count() == 2
     assert vectors.top_k(df.where("false"), df.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        vectors.top_k(df, df, cells=257)
     every = vectors.top_k(df, df.where("vec_id < 3"), k=500).groupBy("query_id").count().collect()
     assert [r["count"] for r in every] == [len([1 for i, v in padded if i is not None and plain.floor_vector(v) is not None]) - 1] * 3
 
