@@ -461,6 +461,17 @@ def test_ratio_equals_plain_one(spark):
         assert out[d] == pytest.approx(sum(map(ratio, own)) / max(len(own), 1), abs=1e-5)
 
 
+def test_ratio_counts_every_trusted_row(spark):
+    import math
+
+    n, smooth = 24_000, quality.BUCKETS / 2
+    df = spark.range(n).selectExpr("id AS doc_id", "'good' AS text").union(spark.createDataFrame([(n, "poor")], "doc_id long, text string"))
+    out = {r.text: r.llr for r in quality.quality_rules(df, df.where(f"doc_id < {n}")).join(df, "doc_id").select("text", "llr").distinct().collect()}
+    raw = n + 1 + smooth
+    assert out["good"] == pytest.approx(math.log((n + 0.5) / (n + smooth) / ((n + 0.5) / raw)), abs=1e-5)
+    assert out["poor"] == pytest.approx(math.log(0.5 / (n + smooth) / (1.5 / raw)), abs=1e-5)
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, given):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     out = quality.quality_rules(given, labels.where("quality = 1")).join(labels, "doc_id").collect()
