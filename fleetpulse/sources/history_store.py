@@ -76,14 +76,25 @@ def _current(spark: SparkSession, path: str, table: str, schema: StructType) ->
     return _table(spark, f"{path}/{table}", schema).filter(F.col("generation") == own)
 
 
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """Rows so placed that few tasks write to one partition of the store and a hot application is split over several.
+
+    A rebalance needs adaptive execution, which streams with state turn off for their batches; there ranges of sampled keys
+    do the same.
+    """
+    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return rows.hint("rebalance", "bucket", "day")
+    return rows.repartitionByRange("bucket", "day", "appId", "executor", "pollSeq")
+
+
 def append(history: DataFrame, path: str, version: int | None = None) -> None:
-    """Append recorded rows. The rebalance joins small output files and splits the files of a hot application."""
+    """Append recorded rows in files that are neither many nor of one task for a hot application."""
     known = generations(history.sparkSession, path)
     rows = conform(history).withColumns(
         {"version": F.lit(version or next_version()).cast("bigint"), "bucket": bucket_of(F.col("appId")), "day": day_of(F.col("timeMs"))}
     )
     rows = rows.withColumn("generation", _generation(known, F.col("bucket"))).select(*ROWS.fieldNames())
-    rows.hint("rebalance", "bucket", "day").write.mode("append").partitionBy("bucket", "generation", "day").parquet(f"{path}/rows")
+    _laid_out(rows).write.mode("append").partitionBy("bucket", "generation", "day").parquet(f"{path}/rows")
 
 
 def _bury(apps: DataFrame, path: str, up_to: int) -> None:
@@ -198,7 +209,7 @@ def compact(spark: SparkSession, path: str, max_rows: int | None = None, max_age
     before, generation = generations(spark, path), next_version()
     live = versioned(spark, path).filter(F.col("bucket").isin(buckets))
     kept = bounded_by_own_clock(live, max_rows, max_age_ms).withColumn("generation", F.lit(generation).cast("bigint")).select(*ROWS.fieldNames())
-    kept.hint("rebalance", "bucket", "day").write.mode("append").partitionBy("bucket", "generation", "day").parquet(f"{path}/rows")
+    _laid_out(kept).write.mode("append").partitionBy("bucket", "generation", "day").parquet(f"{path}/rows")
     now = spark.createDataFrame([(b, generation) for b in buckets], GENERATIONS)
     now.coalesce(1).write.mode("append").parquet(f"{path}/generations")
     # From here on readers use the new generation; the old one is overwritten with nothing. Its tombstones, a row for each

@@ -43,6 +43,8 @@ def record_new(path: str) -> Callable[[DataFrame, int], None]:
         rows = batch.groupBy(*HISTORY_KEYS).agg(best).select(*HISTORY_KEYS, *(F.col(f"row.{v}").alias(v) for v in values))
         rows = history_store.conform(rows).persist()
         try:
+            if rows.isEmpty():  # a batch that only drops old state; the stored rows need not be read
+                return
             places = rows.select(history_store.bucket_of(F.col("appId")).alias("bucket"), history_store.day_of(F.col("timeMs")).alias("day"))
             stored = history_store.versioned(spark, path).join(F.broadcast(places.distinct()), ["bucket", "day"], "left_semi")
             history_store.append(rows.join(stored.select(*HISTORY_KEYS), HISTORY_KEYS, "left_anti"), path)

@@ -199,3 +199,24 @@ def test_a_repeated_batch_changes_nothing_and_stored_rows_win(spark, derived, tm
     merge(batch.withColumns({"gcDeltaMs": F.lit(None).cast("bigint"), "heapMB": F.lit(-1.0)}), 1)
     assert rows == sorted(map(tuple, history_store.read(spark, path).collect()), key=str)
     assert len(rows) == batch.select("appId", "pollSeq", "executor").distinct().count()
+
+
+def test_batches_without_adaptive_execution_write_few_files(spark, samples, tmp_path, monkeypatch):
+    # Streams with state turn adaptive execution off, and with it the rebalance hint.
+    rows = samples(*({"app_id": f"a{i % 40}", "executor_id": str(i % 3), "poll_seq": 1 + i // 40} for i in range(1200)))
+    batch, path = H.to_history(R.executor_rows(rows)), f"{tmp_path}/history"
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        recording.record_new(path)(batch, 0)
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    stored = history_store.versioned(spark, path)
+    places = stored.select("bucket", "day").distinct().count()
+    assert len(list((tmp_path / "history").rglob("*.parquet"))) <= places + 16
+    assert stored.count() == 1200
+    # A batch without rows, as streams run to drop old state, reads nothing of the store.
+    monkeypatch.setattr(history_store, "versioned", None)
+    recording.record_new(path)(batch.filter("false"), 1)
