@@ -97,24 +97,27 @@ class Shard:
         self.pieces = pieces
         self.length = np.array([p[-1].size for p in pieces])
         self.free = np.ones(len(pieces), bool)
-        terms, counts = zip(*(np.unique(p[-1], return_counts=True) for p in pieces))
-        owner = np.repeat(np.arange(len(pieces)), [t.size for t in terms])
-        term, tf = np.concatenate(terms), np.concatenate(counts)
-        found, which, df = np.unique(term, return_inverse=True, return_counts=True)
+        # One sort by id, then piece, gives the postings and how often each piece holds the id.
+        ids = np.concatenate([p[-1] for p in pieces]).astype(np.int64)
+        places = np.sort(ids << 32 | np.repeat(np.arange(len(pieces)), self.length))
+        first = np.flatnonzero(np.diff(places, prepend=-1))
+        tf = np.diff(first, append=places.size)
+        term, owner = places[first] >> 32, places[first] & 0xFFFFFFFF
+        begin = np.flatnonzero(np.diff(term, prepend=-1))
+        found, df = term[begin], np.diff(begin, append=term.size)
+        which = np.repeat(np.arange(found.size), df)
         idf = known.idf[found] if known else np.log((len(pieces) - df + 0.5) / (df + 0.5))
         mean = known.mean if known else self.length.mean()
         # Ids that most pieces hold have no positive weight and are left out.
         use = idf[which] > 0
         owner, which, tf = owner[use], which[use], tf[use]
         norm = K1 * (1 - B + B * self.length / mean)
-        weight = idf[which] * tf * (K1 + 1) / (tf + norm[owner])
-        order = np.argsort(which, kind="stable")
-        self.known, self.owner, self.weight = found, owner[order], weight[order]
-        self.first = np.searchsorted(which[order], np.arange(found.size + 1))
+        self.known, self.owner, self.weight = found, owner, idf[which] * tf * (K1 + 1) / (tf + norm[owner])
+        self.first = np.searchsorted(which, np.arange(found.size + 1))
 
     def ranked(self, ids: np.ndarray) -> np.ndarray:
         """Unused pieces, best match with `ids` first; ties in the shard's order."""
-        query = np.unique(ids)
+        query = likeness.distinct_ids(ids)
         at = np.minimum(np.searchsorted(self.known, query), self.known.size - 1)
         at = at[self.known[at] == query]
         begin, size = self.first[at], self.first[at + 1] - self.first[at]

@@ -35,6 +35,12 @@ def _classes() -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def _codes() -> np.ndarray:
+    """A 64-bit code of each code point, for hashes of runs."""
+    return W.mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 def pretoken_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where pre-tokens start in texts that are given as code points."""
     kind = _classes()[points]
@@ -63,6 +69,15 @@ def pretoken_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, a place of each, and which of them stands at each place; hashed, not sorted."""
+    found = pa.array(values).dictionary_encode()
+    unique, which = found.dictionary.to_numpy(), found.indices.to_numpy()
+    sample = np.empty(unique.size, np.int64)
+    sample[which] = np.arange(which.size)
+    return unique, sample, which
+
+
 class IdCache:
     """Ids of text runs, kept by their hash until MAX_CACHED are known; `first` are the ids of slot 0."""
 
@@ -129,8 +144,8 @@ class Encoder:
             bounds = heads[offsets]
             begin = pretoken_starts(points, bounds) if points.size else np.zeros(0, np.int64)
             stop = np.append(begin[1:], points.size)[: begin.size]
-            runs = W.RunHashes(W.mix(points.astype(np.uint64) + np.uint64(1)))
-            unique, sample, which = np.unique(runs.of(begin, stop), return_index=True, return_inverse=True)
+            runs = W.RunHashes(_codes()[points])
+            unique, sample, which = distinct(runs.of(begin, stop))
             slots = self._cache.slots_of(unique, text, begin[sample], stop[sample])[which]
             per_text = np.searchsorted(begin, bounds)
             ids, position = self._cache.ids(np.insert(slots, per_text[1:], 0))
@@ -175,7 +190,7 @@ class PieceEncoder:
         start[offsets[:-1]] = True
         begin = np.flatnonzero(start)
         stop = np.append(begin[1:], data.size)
-        unique, sample, which = np.unique(W.byte_runs(data).of(begin, stop), return_index=True, return_inverse=True)
+        unique, sample, which = distinct(W.byte_runs(data).of(begin, stop))
         slots = self._cache.slots_of(unique, data.tobytes(), begin[sample], stop[sample])[which]
         ids, position = self._cache.ids(slots)
         return ids, position[np.searchsorted(begin, offsets)]

@@ -28,10 +28,11 @@ _inverses = np.ones(1, np.uint64)
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every input bit over the 64 bits."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:

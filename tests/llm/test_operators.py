@@ -514,6 +514,29 @@ def check_packing(rows, out, window=2048):
     return sequences
 
 
+def test_distinct_values_and_postings_equal_sorted_ones():
+    from fleetpulse.llm import tokens
+
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 500):
+        values = rng.integers(0, 200, size).astype(np.uint64) << np.uint64(55)
+        unique, sample, which = tokens.distinct(values)
+        assert sorted(unique.tolist()) == np.unique(values).tolist()
+        assert (unique[which] == values).all() and (values[sample] == unique).all()
+        assert likeness.distinct_ids(values).tolist() == np.unique(values).tolist()
+    pieces = [(i, rng.integers(0, 90, n).astype("<u4")) for i, n in enumerate((1, 7, 40, 300, 2))]
+    shard = packing.Shard(pieces)
+    for at, term in enumerate(shard.known):
+        held = [i for i, ids in pieces if term in ids]
+        own = slice(shard.first[at], shard.first[at + 1])
+        idf = np.log((len(pieces) - len(held) + 0.5) / (len(held) + 0.5))
+        assert shard.owner[own].tolist() == (held if idf > 0 else [])
+        for i, weight in zip(shard.owner[own], shard.weight[own]):
+            tf = (pieces[i][1] == term).sum()
+            norm = packing.K1 * (1 - packing.B + packing.B * shard.length[i] / shard.length.mean())
+            assert weight == pytest.approx(idf * tf * (packing.K1 + 1) / (tf + norm))
+
+
 def test_packing_is_an_exact_partition(documents, nothing, given):
     odd = documents.sparkSession.createDataFrame([(500, "a <|endoftext|> b"), (501, "it's  we'll\n'sx 12²é́ 　 x")], "doc_id long, text string")
     docs = documents.unionByName(odd, allowMissingColumns=True)
