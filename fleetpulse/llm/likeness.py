@@ -43,11 +43,11 @@ def weights(runs: DataFrame) -> Weights:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in _arrays(batch.column("ids")):
-                ids = distinct_ids(ids)
-                if ids.size and ids[-1] >= df.size:
-                    df = np.concatenate([df, np.zeros(2 * int(ids[-1]) + 1 - df.size, np.int64)])
-                df[ids] += 1
+            for ids in id_arrays(batch.column("ids")):
+                last = int(ids.max(initial=0))
+                if last >= df.size:
+                    df = np.concatenate([df, np.zeros(2 * last + 1 - df.size, np.int64)])
+                df[ids] += 1  # once for each distinct id, as numpy does not add up repeated places
         known = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(df[known])], ["id", "n"])
 
@@ -67,8 +67,15 @@ def distinct_ids(ids: np.ndarray) -> np.ndarray:
     return ids[new]
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
+def id_arrays(column: pa.Array) -> list[np.ndarray]:
+    """The ids of each row of a binary column, as views of its buffer."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return [np.zeros(0, "<u4")] * len(column)
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    ids, places = np.frombuffer(data, "<u4", data.size // 4), (offsets // 4).tolist()
+    return [ids[a:b] for a, b in zip(places, places[1:])]
 
 
 def sketches(runs: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
@@ -138,7 +145,7 @@ def learn(runs: DataFrame, known: Weights) -> Tree:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
-                found = sketches(_arrays(batch.column("ids")[at : at + BATCH_ROWS]), known.idf)
+                found = sketches(id_arrays(batch.column("ids").slice(at, BATCH_ROWS)), known.idf)
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in found], pa.binary())], ["vector"])
 
     sample = sampled(runs, known, SAMPLE_ROWS).select("ids")
@@ -184,7 +191,7 @@ def _placing(known: Weights, tree: Tree, borders: list[tuple] | None):
             # Only the vectors of a batch are held at once; the tree is walked once for all of them.
             vectors, alike = [], []
             for at in range(0, batch.num_rows, BATCH_ROWS):
-                ids = _arrays(batch.column("ids").slice(at, BATCH_ROWS))
+                ids = id_arrays(batch.column("ids").slice(at, BATCH_ROWS))
                 vectors.append(sketches(ids, known.idf))
                 alike.append(minhashes(ids, known.idf))
             keys = {"leaf": pa.array(tree.leaf(np.concatenate(vectors))), "alike": pa.array(np.concatenate(alike))}

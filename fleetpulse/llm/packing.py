@@ -203,7 +203,8 @@ def pack(
         def stream():
             for batch in batches:
                 own = (batch.column(c).to_pylist() for c in ("run", "doc_id", "start", "doc_tokens"))
-                yield from zip(*own, (np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()))
+                # Copies, as a piece may be held for longer than its batch.
+                yield from zip(*own, (x.copy() for x in likeness.id_arrays(batch.column("ids"))))
 
         names, rows = [f.split()[0] for f in PACKED.split(", ")], []
         task, next_id = TaskContext.get().partitionId(), 0

@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import unicodedata
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 MARK = "\u2581"  # stands for a space in pieces
-MAX_CACHED = 400_000
+MAX_CACHED = 500_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
@@ -55,10 +55,11 @@ def pretoken_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     start[after - 1] = True
     start[after[points[after - 1] == 32]] = False
     # 's 't 'd 'm 'll 've 're where an apostrophe begins a pre-token.
-    padded, is_first = np.concatenate([points, [0, 0, 0]]), np.concatenate([first, [True] * 3])
     at = np.flatnonzero((points == ord("'")) & start & change)
-    one, two = padded[at + 1], padded[at + 2]
-    open1, open2 = ~is_first[at + 1], ~is_first[at + 1] & ~is_first[at + 2]
+    at1, at2 = np.minimum(at + 1, points.size - 1), np.minimum(at + 2, points.size - 1)
+    one, two = points[at1], points[at2]
+    open1 = (at1 > at) & ~first[at1]
+    open2 = open1 & (at2 > at1) & ~first[at2]
     short = open1 & np.isin(one, [ord(c) for c in "stdm"])
     long = np.zeros(at.size, bool)
     for a, b in ("ll", "ve", "re"):
@@ -79,38 +80,93 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class IdCache:
-    """Ids of text runs, kept by their hash until MAX_CACHED are known; `first` are the ids of slot 0."""
+    """Ids of text runs, kept by their hash until MAX_CACHED are known; `first` are the ids of slot 0.
+
+    Slots stand in a hash table of two numpy arrays, probed place by place and at most half full, so that all runs of a
+    chunk are looked up at once.
+    """
 
     def __init__(self, encode, first: list[int]):
         self._encode, self._first = encode, first
         self._clear()
 
     def _clear(self) -> None:
-        self._slots: dict[int, int] = {}
-        # Ids of all known runs one after the other.
-        self._ids, self._begin = np.array(self._first, np.uint32), np.zeros(1, np.int64)
-        self.size = np.full(1, len(self._first), np.int64)
+        self._hash, self._slot = np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)
+        # Ids of all known runs one after the other; slot s has _ids[_begin[s] : _begin[s + 1]]. Both have room to grow.
+        self._ids, self._begin, self._known = np.array(self._first, np.uint32), np.array([0, len(self._first)]), 1
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 if there is none."""
+        last = self._hash.size - 1
+        at = (hashes & np.uint64(last)).astype(np.int64)
+        slots, other = self._slot[at], self._hash[at] != hashes
+        look = np.flatnonzero(other & (slots >= 0))
+        slots[other] = -1
+        at = at[look]
+        while look.size:
+            at = (at + 1) & last
+            found, other = self._slot[at], self._hash[at] != hashes[look]
+            slots[look[~other]] = found[~other]
+            on = other & (found >= 0)
+            look, at = look[on], at[on]
+        return slots
+
+    def _put(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        """Adds distinct hashes that the table does not have."""
+        last = self._hash.size - 1
+        at = (hashes & np.uint64(last)).astype(np.int64)
+        while hashes.size:
+            free = np.flatnonzero(self._slot[at] < 0)
+            self._slot[at[free]] = slots[free]  # of those that meet in a place one stays
+            free = free[self._slot[at[free]] == slots[free]]
+            self._hash[at[free]] = hashes[free]
+            rest = np.ones(hashes.size, bool)
+            rest[free] = False
+            hashes, slots, at = hashes[rest], slots[rest], (at[rest] + 1) & last
+
+    def _add(self, hashes: np.ndarray, found: list[list[int]]) -> None:
+        """Gives distinct new hashes the next slots, with their ids."""
+        old, self._known = self._known, self._known + hashes.size
+        ends = self._begin[old] + np.cumsum(np.fromiter(map(len, found), np.int64, hashes.size))
+        self._begin, self._ids = _room(self._begin, self._known + 1), _room(self._ids, int(ends[-1]))
+        self._ids[self._begin[old] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32)
+        self._begin[old + 1 : self._known + 1] = ends
+        slots = np.arange(old, self._known, dtype=np.int32)
+        if 2 * self._known > self._hash.size:
+            used = np.flatnonzero(self._slot >= 0)
+            hashes, slots = np.append(self._hash[used], hashes), np.append(self._slot[used], slots)
+            size = 1 << (2 * self._known).bit_length()
+            self._hash, self._slot = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self._put(hashes, slots)
 
     def slots_of(self, hashes: np.ndarray, text, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(self._slots) > MAX_CACHED:
+        """The slot of each run text[begin:end], given with its hash; runs may repeat."""
+        if self._known > MAX_CACHED:
             self._clear()
-        slots = np.fromiter(map(self._slots.get, hashes.tolist(), repeat(-1)), np.int64, hashes.size)
+        slots = self._find(hashes)
         new = np.flatnonzero(slots < 0)
         if new.size:
-            found = [self._encode(text[a:b]) for a, b in zip(begin[new].tolist(), end[new].tolist())]
-            size = np.fromiter(map(len, found), np.int64, new.size)
-            slots[new] = np.arange(self.size.size, self.size.size + new.size)
-            self._slots.update(zip(hashes[new].tolist(), slots[new].tolist()))
-            self._begin = np.concatenate([self._begin, self._ids.size + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+            unique, sample, which = distinct(hashes[new])
+            sample = new[sample]
+            slots[new] = self._known + which
+            self._add(unique, [self._encode(text[a:b]) for a, b in zip(begin[sample].tolist(), end[sample].tolist())])
         return slots
 
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of slots one after the other, and where each slot's begin."""
-        size = self.size[slots]
+        begin = self._begin[slots]
+        size = self._begin[slots + 1] - begin
         position = np.concatenate([[0], np.cumsum(size)])
-        return self._ids[np.arange(position[-1]) + np.repeat(self._begin[slots] - position[:-1], size)], position
+        return self._ids[np.arange(position[-1]) + np.repeat(begin - position[:-1], size)], position
+
+
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """`values`, copied to a quarter more space at least if it has fewer than `size` places."""
+    if size <= values.size:
+        return values
+    out = np.zeros(max(size, values.size + values.size // 4), values.dtype)
+    out[: values.size] = values
+    return out
 
 
 class Encoder:
@@ -140,13 +196,11 @@ class Encoder:
         for at, end, data, offsets in W.chunks(texts):
             text = data.tobytes().decode("utf-8", "replace")
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            bounds = heads[offsets]
+            bounds = offsets - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets)  # continuation bytes are no code points
             begin = pretoken_starts(points, bounds) if points.size else np.zeros(0, np.int64)
             stop = np.append(begin[1:], points.size)[: begin.size]
             runs = W.RunHashes(_codes()[points])
-            unique, sample, which = distinct(runs.of(begin, stop))
-            slots = self._cache.slots_of(unique, text, begin[sample], stop[sample])[which]
+            slots = self._cache.slots_of(runs.of(begin, stop), text, begin, stop)
             per_text = np.searchsorted(begin, bounds)
             ids, position = self._cache.ids(np.insert(slots, per_text[1:], 0))
             cut = position[per_text[1:] + np.arange(1, per_text.size)]
@@ -190,8 +244,7 @@ class PieceEncoder:
         start[offsets[:-1]] = True
         begin = np.flatnonzero(start)
         stop = np.append(begin[1:], data.size)
-        unique, sample, which = distinct(W.byte_runs(data).of(begin, stop))
-        slots = self._cache.slots_of(unique, data.tobytes(), begin[sample], stop[sample])[which]
+        slots = self._cache.slots_of(W.byte_runs(data).of(begin, stop), data.tobytes(), begin, stop)
         ids, position = self._cache.ids(slots)
         return ids, position[np.searchsorted(begin, offsets)]
 

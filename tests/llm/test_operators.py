@@ -537,6 +537,45 @@ def test_distinct_values_and_postings_equal_sorted_ones():
             assert weight == pytest.approx(idf * tf * (packing.K1 + 1) / (tf + norm))
 
 
+def test_known_runs_keep_their_ids():
+    """Hashes that meet in one place of the table, runs that repeat in a call, growth and clearing."""
+    from fleetpulse.llm import tokens
+
+    calls = []
+    cache = tokens.IdCache(lambda run: calls.append(run) or list(range(len(run))), [7])
+    # Equal low bits, the last place of the table, and 0.
+    hashes = np.array([5, 5 + (1 << 40), 5 + (2 << 40), 65535, 65535 + (1 << 40), 0, 5, 0, 5 + (2 << 40)], np.uint64)
+    size = np.array([1, 2, 3, 4, 5, 6, 1, 6, 3])
+    for _ in range(2):
+        ids, position = cache.ids(np.append(cache.slots_of(hashes, "x" * 9, np.zeros(9, np.int64), size), 0))
+        assert np.diff(position).tolist() == [*size.tolist(), 1] and ids[-1] == 7
+        assert ids[:-1].tolist() == [i for n in size for i in range(n)]
+    assert len(calls) == 6
+
+    n, step = tokens.MAX_CACHED + 100_000, 50_000
+    cache = tokens.IdCache(lambda run: [1, 2, len(run)], [7])
+    hashes = np.random.default_rng(1).permutation(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    begin, end, known = np.zeros(step, np.int64), np.arange(step) % 90, []
+    for at in [*range(0, n, step), 0]:
+        for _ in range(2):
+            ids, position = cache.ids(cache.slots_of(hashes[at : at + step], "x" * 90, begin, end))
+            assert (np.diff(position) == 3).all() and (ids[2::3] == end).all()
+        known.append(cache._known)
+        assert 2 * cache._known <= cache._hash.size <= 8 * max(cache._known, 1 << 15)
+    assert max(known) <= tokens.MAX_CACHED + step and sorted(known) != known
+
+
+def test_id_arrays_equal_the_rows_of_slices():
+    import pyarrow as pa
+
+    runs = [np.arange(n, dtype="<u4") + n for n in (3, 0, 1, 5, 0, 2)]
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array([r.tobytes() for r in runs], kind)
+        for at, size in ((0, 6), (1, 4), (2, 0), (4, 1), (6, 0)):
+            assert [r.tolist() for r in likeness.id_arrays(column.slice(at, size))] == [r.tolist() for r in runs[at : at + size]]
+    assert likeness.id_arrays(pa.array([], pa.binary())) == []
+
+
 def test_packing_is_an_exact_partition(documents, nothing, given):
     odd = documents.sparkSession.createDataFrame([(500, "a <|endoftext|> b"), (501, "it's  we'll\n'sx 12²é́ 　 x")], "doc_id long, text string")
     docs = documents.unionByName(odd, allowMissingColumns=True)
