@@ -48,6 +48,7 @@ def weights(runs: DataFrame) -> Weights:
                 if last >= df.size:
                     df = np.concatenate([df, np.zeros(2 * last + 1 - df.size, np.int64)])
                 df[ids] += 1  # once for each distinct id, as numpy does not add up repeated places
+            release()
         known = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(df[known])], ["id", "n"])
 
@@ -78,6 +79,11 @@ def id_arrays(column: pa.Array) -> list[np.ndarray]:
     return [ids[a:b] for a, b in zip(places, places[1:])]
 
 
+def release() -> None:
+    """Gives the memory of earlier batches, which a worker would keep for its next tasks, back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def sketches(runs: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     """A unit vector for each run, or zeros where no id has weight."""
     code = W.mix(np.arange(idf.size, dtype=np.uint64) + np.uint64(5))
@@ -199,5 +205,6 @@ def _placing(known: Weights, tree: Tree, borders: list[tuple] | None):
                 rows = zip(batch.column("run").to_pylist(), *(k.to_pylist() for k in keys.values()), batch.column("salt").to_pylist())
                 keys["part"] = pa.array([bisect_right(borders, row) for row in rows], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, *keys.values()], [*batch.schema.names, *keys])
+            release()
 
     return place

@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from fleetpulse.llm import likeness
 from fleetpulse.llm import words as W
 from fleetpulse.llm.tables import materialize
-from fleetpulse.llm.tokens import encoder
+from fleetpulse.llm.tokens import encoder, forget
 
 WINDOW = 2048
 END_ID = 1
 SHARD_PIECES = 512
 PARTITION_TOKENS = 4 << 20
+TEXT_BYTES = 1 << 18  # encoded at once: what a worker keeps of freed memory goes by its largest arrays
+BATCH_ROWS = 1024  # of packed rows that a task holds before it passes them on
 K1, B = 1.2, 0.75
 
 PIECES = "run long, doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -44,7 +46,7 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, token
         encode = encoder(tokenizer_dir, end_id).encode
         for batch in batches:
             runs, doc_ids = batch.column("run").to_pylist(), batch.column("doc_id").to_pylist()
-            for at, end, _, _ in W.chunks(batch.column("text")):
+            for at, end, _, _ in W.chunks(batch.column("text"), TEXT_BYTES):
                 rows = []
                 for run, doc_id, ids in zip(runs[at:end], doc_ids[at:end], encode(batch.column("text").slice(at, end - at))):
                     for start in range(0, ids.size, window):
@@ -54,6 +56,7 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, token
                     kinds = [pa.int64()] * 5 + [pa.binary()]
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                     yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PIECES.split(", ")])
+            likeness.release()
 
     return docs.select("run", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
@@ -200,11 +203,14 @@ def pack(
     keyed = likeness.dealt(rests.drop("length"), known, likeness.learn(rests, known), partitions)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # all texts are encoded by now, and the worker lives on for other work
+
         def stream():
             for batch in batches:
                 own = (batch.column(c).to_pylist() for c in ("run", "doc_id", "start", "doc_tokens"))
                 # Copies, as a piece may be held for longer than its batch.
                 yield from zip(*own, (x.copy() for x in likeness.id_arrays(batch.column("ids"))))
+                likeness.release()
 
         names, rows = [f.split()[0] for f in PACKED.split(", ")], []
         task, next_id = TaskContext.get().partitionId(), 0
@@ -214,7 +220,7 @@ def pack(
                 last = row[4]
                 number = last | task << 40 if run is None else in_run(int(of), task, last)
                 rows.append((*row[:4], number, *row[5:]))
-                if len(rows) == 4096:
+                if len(rows) == BATCH_ROWS:
                     yield frame(rows, names)
                     rows = []
             next_id = last + 1

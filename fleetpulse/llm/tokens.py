@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -180,13 +180,18 @@ class Encoder:
         with open(path_of(RANKS), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._whole = Tokenizer.from_file(path_of(VOCABULARY))
-        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
+        # The library's own vocabulary takes half as much memory again, and few texts need it: it is kept from the first one on.
+        self._load_whole = lambda: Tokenizer.from_file(path_of(VOCABULARY))
+        self._special = [t.content for t in self._load_whole().get_added_tokens_decoder().values()]
         self._end = end_id
         # Slot 0 ends a text.
         self._cache = IdCache(bpe.encode_ordinary, [end_id])
         self.n_bytes = np.array([len(token) for token, _ in sorted(ranks.items(), key=lambda item: item[1])], np.int64)
 
+    @cached_property
+    def _whole(self):
+        return self._load_whole()
+
     def encode(self, texts: pa.Array, specials: bool = True) -> list[np.ndarray]:
         """uint32 ids of each text followed by the end id; null counts as empty.
 
@@ -260,6 +265,12 @@ def encoder(directory: str | None, end_id: int) -> Encoder:
     return Encoder(_path_of(directory), end_id)
 
 
+def forget() -> None:
+    """Drops this worker's byte-level encoders and what they know; they are made anew where they are needed again."""
+    encoder.cache_clear()
+    _codes.cache_clear()
+
+
 def _path_of(directory: str | None):
     if directory:
         return lambda name: f"{directory}/{name}"

@@ -565,6 +565,30 @@ def test_known_runs_keep_their_ids():
     assert max(known) <= tokens.MAX_CACHED + step and sorted(known) != known
 
 
+def test_a_worker_keeps_the_whole_vocabulary_only_for_texts_with_special_tokens():
+    import pyarrow as pa
+
+    from fleetpulse.llm import tokens
+
+    encoder = tokens.Encoder(tokens._path_of(None), 1)
+    plain = encoder.encode(pa.array(["it's", "é'", "'", "we'l", "x''ll", None]))
+    assert "_whole" not in vars(encoder)
+    assert [len(encoder._whole.encode(t, add_special_tokens=False).ids) + 1 for t in ("it's", "é'", "'", "we'l", "x''ll", "")] == [r.size for r in plain]
+    assert encoder.encode(pa.array(["a<|endoftext|>"]))[0].tolist() == [*encoder._whole.encode("a<|endoftext|>").ids, 1]
+
+
+def test_forgotten_encoders_are_made_anew():
+    import pyarrow as pa
+
+    from fleetpulse.llm import tokens
+
+    texts = pa.array(["some words, some more", None])
+    before = tokens.encoder(None, 1)
+    ids = [r.tolist() for r in before.encode(texts)]
+    tokens.forget()
+    assert tokens.encoder(None, 1) is not before and [r.tolist() for r in tokens.encoder(None, 1).encode(texts)] == ids
+
+
 def test_id_arrays_equal_the_rows_of_slices():
     import pyarrow as pa
 
